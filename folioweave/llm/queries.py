@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import packing, tokenize
+from folioweave.llm import packing, quality, tokenize
 from folioweave.runtime import load, once_per_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,21 @@ def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with four permitted sequence lengths."""
     sizes = tokenize.encode(_documents(spark, sf_dir), "doc_id", "text", count_only=True)
     return packing.pack(sizes, "doc_id", "n_tokens", (256, 512, 1024, 2048))
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the list of common words is a fixed table of some two hundred rows
+    common = quality.common_word_table(load(spark, sf_dir, "common_words", ["word"]), "word")
+    return quality.classify(quality.statistics(_documents(spark, sf_dir), "doc_id", "text", common), "doc_id")
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't prose, with their kind."""
+    return _quality(spark, sf_dir).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+@query
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of every document, with the rules it fails."""
+    return _quality(spark, sf_dir)
