@@ -6,3 +6,14 @@ ORACLE: dict[str, str] = {}
 
 # every text survives the round trip
 ORACLE["p8_roundtrip"] = "select doc_id from documents where false"
+
+# groups are sets of lines all alike, so the lowest line that a line is like names its group
+ORACLE["p2_found"] = """
+with v as (select distinct book_id, line_id, x_unit x, y_unit y, font_ratio_to_body r from style_lines
+  where x_unit is not null and not isnan(x_unit) and y_unit is not null and not isnan(y_unit) and font_ratio_to_body is not null and not isnan(font_ratio_to_body)),
+c as (select *, floor(x * 2)::bigint cx, floor(y * 2)::bigint cy from v),
+n as (select a.book_id, a.line_id, min(b.line_id) g from c a join (select unnest([-1, 0, 1]) dx) on true join (select unnest([-1, 0, 1]) dy) on true
+  join c b on a.book_id = b.book_id and a.cx + dx = b.cx and a.cy + dy = b.cy
+  where abs(a.x - b.x) <= 0.5 and abs(a.y - b.y) <= 0.5 and greatest(a.r, b.r) <= 1.05 * least(a.r, b.r) group by all),
+o as (select line_id line_id_a, lead(line_id) over (partition by book_id, g order by line_id) line_id_b from n)
+select * from o where line_id_b is not null"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import packing, quality, tokenize
+from folioweave.llm import clustering, packing, quality, tokenize
 from folioweave.runtime import load, once_per_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,23 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics of every document, with the rules it fails."""
     return _quality(spark, sf_dir)
+
+
+STYLE = [clustering.Axis("x_unit", 0.5), clustering.Axis("y_unit", 0.5), clustering.Axis("font_ratio_to_body", 1.05, ratio=True)]
+
+
+def _style_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "style_lines", ["book_id", "line_id", *[a.column for a in STYLE]])
+    return clustering.clustered(lines, "line_id", "book_id", STYLE)
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each style line with the next line of its group."""
+    return clustering.consecutive(_style_clusters(spark, sf_dir), "line_id", ["book_id", "cluster"])
+
+
+@query
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group of two lines or more: size, centre and most typical lines."""
+    return clustering.described(_style_clusters(spark, sf_dir), "line_id", "book_id", STYLE).drop("cluster")
