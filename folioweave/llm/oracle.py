@@ -17,3 +17,7 @@ n as (select a.book_id, a.line_id, min(b.line_id) g from c a join (select unnest
   where abs(a.x - b.x) <= 0.5 and abs(a.y - b.y) <= 0.5 and greatest(a.r, b.r) <= 1.05 * least(a.r, b.r) group by all),
 o as (select line_id line_id_a, lead(line_id) over (partition by book_id, g order by line_id) line_id_b from n)
 select * from o where line_id_b is not null"""
+
+ORACLE["p1_found"] = r"""
+select distinct run_id, node_id from segments s join split_limits l using (export_mode)
+where len(regexp_extract_all(content_markdown, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > l.max_words"""

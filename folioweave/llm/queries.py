@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import clustering, packing, quality, tokenize
+from folioweave.llm import clustering, packing, quality, splitting, tokenize
 from folioweave.runtime import load, once_per_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every group of two lines or more: size, centre and most typical lines."""
     return clustering.described(_style_clusters(spark, sf_dir), "line_id", "book_id", STYLE).drop("cluster")
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = load(spark, sf_dir, "segments", ["run_id", "node_id", "export_mode", "content_markdown"])
+    # the limits are a fixed table with a row for each export mode
+    limits = load(spark, sf_dir, "split_limits", ["export_mode", "max_words", "overlap_words"])
+    return splitting.split(seg.join(F.broadcast(limits), "export_mode"), ["run_id", "node_id"], "content_markdown", "max_words", "overlap_words")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that had to be cut."""
+    return _pieces(spark, sf_dir).where("piece = 1 and n_pieces > 1").select("run_id", "node_id")
+
+
+@query
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of the oversized segments."""
+    return _pieces(spark, sf_dir)
