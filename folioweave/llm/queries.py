@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import clustering, packing, quality, splitting, tokenize
+from folioweave.llm import clustering, mojibake, packing, quality, splitting, tokenize
 from folioweave.runtime import load, once_per_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of the oversized segments."""
     return _pieces(spark, sf_dir)
+
+
+GARBLED = (("ocr_line_stats", "stat_id", "text"), ("bpe_headings", "heading_id", "title"))
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [load(spark, sf_dir, t, [k, c]).select(F.lit(t).alias("source_table"), F.col(k).alias("row_id"), F.col(c).alias("text")) for t, k, c in GARBLED]
+    return mojibake.find(parts[0].unionByName(parts[1]), ["source_table", "row_id"], "text")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that hold wrongly decoded characters."""
+    return _garbled(spark, sf_dir).select("source_table", "row_id")
+
+
+@query
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with their restored text and the encoding chain."""
+    return _garbled(spark, sf_dir)
