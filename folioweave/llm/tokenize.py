@@ -187,21 +187,29 @@ def _long_words(path: str):
 def word_dictionary(texts: DataFrame, text: str, path: str) -> DataFrame:
     """(word, ids) of every distinct word of a text column, each merged once."""
     table = merge_table(path)
-    words = texts.select(F.explode(F.array_distinct(words_of(text))).alias("word")).distinct()
+    words = cut(texts.select(F.explode(F.array_distinct(words_of(text))).alias("word")).distinct())
     words = words.withColumn("long", F.octet_length("word") > FOLD_BYTES)
     short = words.where(~F.col("long")).select("word", fold_ids(F.col("word"), table).alias("ids"))
     long = words.where("long").select("word", _long_words(path)("word").alias("ids"))
     return short.unionByName(long)
 
 
-def _lookup(entries: list[tuple[str, list[int]]]):
-    """word -> ids as an expression over a literal of hashed buckets."""
-    size = 1 << max(1, len(entries)).bit_length()
-    # buckets come with their number from Spark's own hash
-    buckets: list[dict[str, list[int]]] = [{} for _ in range(size)]
-    for at, word, ids in entries:
-        buckets[at % size][word] = ids
-    literal = _literal(json.dumps(buckets, ensure_ascii=False, separators=(",", ":")), "array<map<string,array<int>>>")
+def _lookup(words: DataFrame, n: int):
+    """word -> ids as an expression over a literal of hashed buckets.
+
+    The buckets are written as JSON by the executors, under the number that the expression will
+    compute, so the driver only puts them into a row.
+    """
+    size = 1 << max(1, n).bit_length()
+    slot = F.hash("word").bitwiseAND(F.lit(size - 1))
+    entry = F.to_json(F.create_map("word", "ids"))
+    filled = words.select(slot.alias("slot"), F.substr(entry, F.lit(2), F.length(entry) - 2).alias("entry")).groupBy("slot").agg(F.concat_ws(",", F.collect_list("entry")).alias("entry"))
+    buckets = [""] * size
+    for batch in filled.toArrow().to_batches():
+        for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            buckets[at] = text
+    literal = _literal("[{" + "},{".join(buckets) + "}]", "array<map<string,array<int>>>")
+    del buckets
     return lambda w: F.try_element_at(F.get(literal, F.hash(w).bitwiseAND(F.lit(size - 1))), w)
 
 
@@ -213,14 +221,12 @@ def encode(docs: DataFrame, key: str, text: str, path: str | None = None, count_
     regrouped by ``key``, which must then be unique. Both ways give the same ids.
     """
     path = path or vocabulary_path()
-    spark = docs.sparkSession
     # a table of ranks has no place in a plan's description
-    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "20000")
     words = cut(word_dictionary(docs, text, path))
-    out = F.lit(None)
-    if words.count() <= dictionary_words:
-        rows = words.select(F.hash("word").alias("h"), "word", "ids").toPandas()
-        find = _lookup([(int(h) & 0xFFFFFFFF, w, [int(i) for i in ids]) for h, w, ids in rows.itertuples(index=False)])
+    n = words.count()
+    if n <= dictionary_words:
+        find = _lookup(words, n)
         if count_only:
             out = F.aggregate(words_of(text), F.lit(0), lambda n, w: n + F.size(find(w)))
             return docs.select(key, out.alias("n_tokens"))
