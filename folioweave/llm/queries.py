@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import clustering, mojibake, packing, quality, splitting, tokenize
+from folioweave.llm import clustering, linkage, mojibake, packing, quality, splitting, tokenize
 from folioweave.runtime import load, once_per_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows with their restored text and the encoding chain."""
     return _garbled(spark, sf_dir)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = load(spark, sf_dir, "items", ["source_item_id", "book_id", "arm", "title", "pdf_page", "predicted_level", "category"]).toDF("id", "book", "arm", "title", "page", "level", "kind")
+    ol = load(spark, sf_dir, "existing_outline", ["outline_id", "book_id", "ord", "title", "pdf_page", "level"]).toDF("id", "book", "ord", "title", "page", "level")
+    return linkage.link(it, ol)
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and outline rows that stand for the same heading."""
+    return _links(spark, sf_dir).select(F.col("item_id").alias("source_item_id"), "outline_id")
+
+
+@query
+def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with their confidence."""
+    return _links(spark, sf_dir).withColumnRenamed("item_id", "source_item_id")
