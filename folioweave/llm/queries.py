@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import clustering, linkage, mojibake, packing, quality, splitting, tokenize
+from folioweave.llm import clustering, linkage, mojibake, ocrnoise, packing, quality, splitting, tokenize
 from folioweave.runtime import load, once_per_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with their confidence."""
     return _links(spark, sf_dir).withColumnRenamed("item_id", "source_item_id")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocrnoise.rows_of(
+        load(spark, sf_dir, "visual_rows", ["row_id", "book_id", "pdf_page", "row_seq", "y0", "page_height", "text"]),
+        load(spark, sf_dir, "ocr_line_stats", ["stat_id", "book_id", "pdf_page", "y_center_ratio", "text"]),
+        load(spark, sf_dir, "subsection_report", ["sub_id", "report_id", "chapter", "raw_line"]),
+    )
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise of every kind in the rows of scanned pages and contents lists."""
+    return ocrnoise.noise(_scanned(spark, sf_dir))
+
+
+@query
+def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as continuous paragraphs and contents entries."""
+    return ocrnoise.paragraphs(_scanned(spark, sf_dir))
