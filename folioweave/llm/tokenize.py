@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from folioweave.runtime import cut
 
 #: The characters of Unicode's White_Space property, as a class body.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the published word pattern of the byte_bpe_50k vocabulary, with that class for white space.
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{WHITE}\p{{L}}\p{{N}}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
