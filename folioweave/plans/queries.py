@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioweave.config import MarkdownSplitConfig, OutlineQualityConfig, TypographyConfig
+from folioweave.functions import text as X
+from folioweave.functions.similarity import blocked_pairs
+from folioweave.operators import contents as T
+from folioweave.operators import density as D
+from folioweave.operators import evaluation as V
+from folioweave.operators import export as E
+from folioweave.operators import geometry as G
 from folioweave.operators import hierarchy as H
 from folioweave.operators import intervals as I
+from folioweave.operators import lines as L
+from folioweave.operators import outline as O
+from folioweave.operators import review as R
+from folioweave.operators import scans as S
+from folioweave.plans import pipeline as P
 from folioweave.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +68,451 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All (ancestor, descendant) pairs of every export."""
     h = H.hierarchy(_segments(spark, sf_dir), "run_id", "node_id", "parent_id", "children_ids")
     return H.descendant_pairs(h, "run_id")
+
+
+# ---- the reference's operators, over the tables of this project -----------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.line_rows(load(spark, sf_dir, "style_lines", L.LINE))
+
+
+def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with the size classes that the oracles can tell as well: three fixed bounds."""
+    size = F.col("font_size")
+    return _lines(spark, sf_dir).withColumn("tier", F.when(size >= 20, 1).when(size >= 14, 2).when(size >= 11, 3).otherwise(4))
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored outlines as plans: rows with a page, in order."""
+    rows = load(spark, sf_dir, "existing_outline", ["outline_id", "book_id", "ord", "title", "level", "pdf_page"]).dropDuplicates(["outline_id"]).where("pdf_page is not null and title is not null")
+    order = Window.partitionBy("book_id").orderBy("ord", "outline_id")
+    return rows.withColumn("ord", F.row_number().over(order)).select("book_id", "ord", "title", "level", "pdf_page", F.lit("existing_outline").alias("source"), F.lit(1.0).alias("confidence"))
+
+
+def _totals(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("book_id").agg((F.max("pdf_page") + 9).alias("total_pages"))
+
+
+def _found(spark: SparkSession, sf_dir: str, arm: str) -> DataFrame:
+    """The headings of one arm as a plan."""
+    rows = load(spark, sf_dir, "items", ["source_item_id", "book_id", "arm", "title", "pdf_page", "predicted_level", "category"]).dropDuplicates(["source_item_id"])
+    rows = rows.where((F.col("arm") == arm) & F.col("pdf_page").isNotNull() & F.col("title").isNotNull() & (F.coalesce("category", F.lit("")) != "caption"))
+    order = Window.partitionBy("book_id").orderBy("pdf_page", "source_item_id")
+    return rows.select("book_id", F.row_number().over(order).alias("ord"), "title", F.col("predicted_level").alias("level"), "pdf_page", F.lit(arm).alias("source"), F.lit(0.8).alias("confidence"))
+
+
+def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "ocr_line_stats", ["stat_id", "book_id", "pdf_page", "text"]).dropDuplicates(["stat_id"])
+    return rows.groupBy("book_id", "pdf_page").agg(F.coalesce(F.sum(X.word_count("text")), F.lit(0)).alias("words"))
+
+
+def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["stat_id", "book_id", "pdf_page", "element_id", "category", "text", "x0_pt", "y0_pt", "x1_pt", "y1_pt", "height_pt", "y_center_ratio"]
+    return load(spark, sf_dir, "ocr_line_stats", columns).dropDuplicates(["stat_id"])
+
+
+@query
+def inferred_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole inference: levelled headings of every book."""
+    return P.infer(_lines(spark, sf_dir)).plan.select("book_id", "ord", "title", "level", "pdf_page", "source")
+
+
+@query
+def inferred_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.infer(_lines(spark, sf_dir)).warnings
+
+
+@query
+def position_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings by repeated position alone."""
+    return P.infer(_lines(spark, sf_dir), TypographyConfig(heading_candidate_mode="position")).headings.select("book_id", "chunk_id", "title", "pdf_page", "tier")
+
+
+@query
+def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line_id", "text", X.word_count("text").alias("words"))
+
+
+@query
+def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).select("book_id", "ord", X.match_key("title").alias("match_key"))
+
+
+@query
+def numbering_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return p.select("book_id", "ord", X.numbering_depth("title").cast("int").alias("depth"), X.ocr_numbering_depth("title").cast("int").alias("ocr_depth"))
+
+
+@query
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return d.select("doc_id", F.posexplode(X.text_lines("text")).alias("line_no", "line"))
+
+
+@query
+def title_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).where(X.title_shaped("text")).select("line_id")
+
+
+@query
+def repeated_margin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.repeated_margin_lines(_lines(spark, sf_dir)).select("book_id", "side", "bucket", "key", "count")
+
+
+@query
+def printed_page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.reliable_page_offsets(_lines(spark, sf_dir), TypographyConfig(margin_min_consecutive_pages=2))
+
+
+@query
+def margin_removed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.without_margins(_lines(spark, sf_dir), TypographyConfig(margin_min_consecutive_pages=2)).select("book_id", "line_id")
+
+
+@query
+def font_tier_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.font_cuts(_lines(spark, sf_dir)).select("book_id", "cuts")
+
+
+@query
+def height_tier_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.height_cuts(_lines(spark, sf_dir)).select("book_id", "cuts", "peaks", "raw_tiers")
+
+
+@query
+def tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.tier_summary(_tiered(spark, sf_dir))
+
+
+@query
+def tier_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.tier_coverage(_tiered(spark, sf_dir)).select("book_id", "tier", "body")
+
+
+@query
+def font_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.font_profile(_tiered(spark, sf_dir)).select("book_id", "body_tiers", "candidate_tiers", "body_size")
+
+
+@query
+def body_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tiered(spark, sf_dir)
+    return D.body_gaps(t, D.font_profile(t)).groupBy("book_id").agg(F.count("*").alias("gaps"), F.percentile("value", F.lit(0.5)).alias("median_gap"))
+
+
+@query
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    limit = lines.select("book_id").distinct().withColumn("continuation_upper", F.lit(14.0))
+    return G.chunks(lines, limit).select("book_id", "chunk_id", "pdf_page", "x0", "y0", "line_count", "font_size")
+
+
+@query
+def anchor_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    limit = lines.select("book_id").distinct().withColumn("continuation_upper", F.lit(14.0)).withColumn("body_spacing", F.lit(12.0))
+    return G.anchor_patterns(G.chunks(lines, limit.drop("body_spacing")), limit).select("book_id", "chunk_id", *[F.round(F.col("values")[k], 6).alias(f"v{k}") for k in range(4)])
+
+
+@query
+def position_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    limit = lines.select("book_id").distinct().withColumn("continuation_upper", F.lit(14.0)).withColumn("body_spacing", F.lit(12.0))
+    return G.cluster_statistics(G.position_clusters(G.anchor_patterns(G.chunks(lines, limit.drop("body_spacing")), limit)))
+
+
+@query
+def heading_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = G.evidence_candidates(_tiered(spark, sf_dir))
+    return e.select("book_id", "line_id", "confidence", F.array_join("evidence", "|").alias("evidence"))
+
+
+@query
+def strongest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.strongest_per_page(G.evidence_candidates(_tiered(spark, sf_dir))).select("book_id", "pdf_page", "line_id")
+
+
+@query
+def page_cap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crowd = F.count("*").over(Window.partitionBy("book_id", "pdf_page"))
+    return _tiered(spark, sf_dir).where("tier <= 2").withColumn("n", crowd).where("n <= 2").select("book_id", "line_id")
+
+
+@query
+def plan_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.normalized_plan(_plan(spark, sf_dir)).select("book_id", "ord", "title", "level", "pdf_page")
+
+
+@query
+def plan_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.parents(_plan(spark, sf_dir)).select("book_id", "ord", "parent_ord")
+
+
+@query
+def plan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return O.ranges(p, _totals(p)).select("book_id", "ord", "start_page", "end_page")
+
+
+@query
+def plan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return O.validation(p, _totals(p))
+
+
+@query
+def deepest_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    pages = _found(spark, sf_dir, "vision_pass").select("book_id", "pdf_page").distinct()
+    return O.deepest_parent(pages, O.ranges(p, _totals(p)))
+
+
+@query
+def outline_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    q = O.quality(p, _totals(p), OutlineQualityConfig(max_item_to_page_ratio=0.2))
+    return q.select("book_id", "items", "low_quality", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query
+def clean_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.bookmark_sets(_plan(spark, sf_dir))
+
+
+@query
+def outline_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    t = _totals(p)
+    return O.reuse_decision(O.quality(p, t, OutlineQualityConfig(max_item_to_page_ratio=0.2)), O.validation(p, t), replace_low=True)
+
+
+@query
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return E.graph_nodes(p, _totals(p)).drop("title", "ord")
+
+
+@query
+def page_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return E.ownership(E.graph_nodes(p, _totals(p)))
+
+
+@query
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return E.coverage(E.graph_nodes(p, _totals(p), "inclusive"), _totals(p), _page_words(spark, sf_dir))
+
+
+@query
+def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return E.split_segments(p, _totals(p), _page_words(spark, sf_dir))
+
+
+@query
+def split_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return E.split_statistics(E.split_segments(p, _totals(p), _page_words(spark, sf_dir)), 300)
+
+
+@query
+def split_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return E.split_level(E.split_segments(p, _totals(p), _page_words(spark, sf_dir)), MarkdownSplitConfig(max_words=300))
+
+
+@query
+def ancestor_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.ancestor_titles(_plan(spark, sf_dir)).select("book_id", "ord", F.array_join("ancestors", " > ").alias("ancestors"))
+
+
+@query
+def node_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    texts = _ocr(spark, sf_dir).where("text is not null").groupBy("book_id", "pdf_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stat_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return E.node_markdown(E.graph_nodes(p, _totals(p)), texts)
+
+
+@query
+def toc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return E.toc_markdown(E.graph_nodes(p, _totals(p)))
+
+
+@query
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    nodes = E.graph_nodes(p, _totals(p))
+    return E.manifest(nodes, E.coverage(nodes, _totals(p), _page_words(spark, sf_dir)))
+
+
+@query
+def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = load(spark, sf_dir, "segments", ["run_id", "node_id", "parent_id", "children_ids", "previous_id", "next_id"]).dropDuplicates(["run_id", "node_id"])
+    return E.graph_validation(seg, "run_id")
+
+
+@query
+def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = V.scored_pairs(_plan(spark, sf_dir), _found(spark, sf_dir, "vision_pass"))
+    return V.greedy_matches(pairs).select("book_id", "gold_ord", "pred_ord", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, pred = _plan(spark, sf_dir), _found(spark, sf_dir, "vision_pass")
+    return V.metrics(gold, pred, V.greedy_matches(V.scored_pairs(gold, pred)))
+
+
+@query
+def plan_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.plan_difference(_found(spark, sf_dir, "vision_pass"), _found(spark, sf_dir, "stack_refine"), tolerance=1)
+
+
+@query
+def title_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs near in page whose title words overlap by more than half."""
+    a = _plan(spark, sf_dir).select("book_id", F.col("ord").alias("a_ord"), F.col("pdf_page").alias("a_page"), X.match_key("title").alias("ka"))
+    b = _found(spark, sf_dir, "vision_pass").select("book_id", F.col("ord").alias("b_ord"), F.col("pdf_page").alias("b_page"), X.match_key("title").alias("kb"))
+    pairs = blocked_pairs(a, b, ["book_id"], "a_page", "b_page", 1).withColumn("dice", F.round(X.token_dice(F.col("ka"), F.col("kb")), 6))
+    return pairs.where("dice > 0.5").select("book_id", "a_ord", "b_ord", "dice")
+
+
+@query
+def node_set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (_found(spark, sf_dir, arm).withColumnRenamed("pdf_page", "start_page") for arm in ("vision_pass", "stack_refine"))
+    return V.node_set_difference(a, b)
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    per_page = _ocr(spark, sf_dir).groupBy("book_id", "pdf_page").agg(F.count("*").alias("lines"))
+    return R.attention(p, per_page, _found(spark, sf_dir, "vision_pass"))
+
+
+@query
+def attention_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(spark, sf_dir).select("book_id", "ord", F.array_join("signals", "|").alias("signals"))
+
+
+@query
+def review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.priority(_reviewed(spark, sf_dir)).select("book_id", "rank", "ord")
+
+
+@query
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    s = R.summary(_reviewed(spark, sf_dir), _totals(p))
+    return s.select("book_id", "items", "attention_items", "attention_ratio", "items_per_page")
+
+
+@query
+def density_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _plan(spark, sf_dir)
+    return R.density(p, _totals(p))
+
+
+def _graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = load(spark, sf_dir, "segments", ["run_id", "node_id", "title", "level", "content_start_page", "content_end_page", "parent_id", "children_ids", "previous_id", "next_id", "word_count"]).dropDuplicates(["run_id", "node_id"])
+    good = (F.col("content_end_page") >= F.col("content_start_page")) & F.col("content_start_page").isNotNull()
+    pages = F.when(good, F.col("content_end_page") - F.col("content_start_page") + 1).otherwise(0)
+    stats = R.node_statistics(seg, "run_id", pages)
+    owned = seg.where(good).select("run_id", F.explode(F.sequence("content_start_page", "content_end_page")).alias("p")).groupBy("run_id", "p").agg(F.count("*").alias("n"))
+    own = owned.groupBy("run_id").agg(F.max("p").alias("pages"), F.count("*").alias("assigned"), F.count_if(F.col("n") > 1).alias("duplicated_pages"))
+    valid = E.graph_validation(seg, "run_id").select("run_id", (F.col("unreachable") == 0).alias("valid"))
+    full = stats.join(own, "run_id", "left").join(valid, "run_id").na.fill(0, ["pages", "assigned", "duplicated_pages"])
+    return full.withColumn("unassigned_ratio", F.round(F.coalesce(F.try_divide(F.col("pages") - F.col("assigned"), "pages"), F.lit(0.0)), 4))
+
+
+@query
+def node_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph_stats(spark, sf_dir).select("run_id", "nodes", "mean_pages", "has_words", "words_median", "words_p90", "fragment_ratio")
+
+
+@query
+def graph_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.findings(_graph_stats(spark, sf_dir)).select("run_id", F.array_join("findings", "|").alias("findings"), "verdict")
+
+
+@query
+def title_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).select("book_id", "ord", F.array_join(R.fragment_reasons("title"), "|").alias("reasons")).where("reasons <> ''")
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tiered(spark, sf_dir)
+    return R.sweep(t.where("tier <= 3").select("book_id", "pdf_page", F.col("text").alias("title"), F.col("tier").alias("size_rank")), P.page_totals(t))
+
+
+@query
+def knob_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sweep(spark, sf_dir)
+
+
+@query
+def knob_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.knob_direction(_sweep(spark, sf_dir), "size_class_depth").unionByName(R.knob_direction(_sweep(spark, sf_dir), "min_words"))
+
+
+@query
+def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sampled_pages(_totals(_plan(spark, sf_dir)))
+
+
+@query
+def ocr_page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.page_statistics(_ocr(spark, sf_dir)).drop("category_counts")
+
+
+@query
+def ocr_element_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.element_statistics(_ocr(spark, sf_dir))
+
+
+@query
+def scan_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of OCR lines as signals: text that a viewer sees is that of numeric lines here."""
+    o = _ocr(spark, sf_dir)
+    images = o.groupBy("book_id", "pdf_page").agg(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(100.0).alias("x1"), F.max(F.col("y_center_ratio") * 100).alias("y1")).withColumn("page_width", F.lit(100.0)).withColumn("page_height", F.lit(100.0))
+    texts = o.select("book_id", "pdf_page", F.when(X.is_numeric_only("text"), 0).otherwise(3).alias("mode"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    return S.scan_verdicts(S.page_signals(images, texts)).select("book_id", "pages", F.round("scan_fraction", 6).alias("scan_fraction"), "visible_chars", "is_scanned")
+
+
+@query
+def contents_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = load(spark, sf_dir, "subsection_report", ["sub_id", "raw_line"]).dropDuplicates(["sub_id"]).where("raw_line is not null")
+    return T.entries(r).select("sub_id", "entry_no", "entry_title", "entry_page")
+
+
+@query
+def inferred_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = load(spark, sf_dir, "subsection_report", ["sub_id", "report_id", "page"]).dropDuplicates(["sub_id"])
+    return T.filled_pages(r, "report_id", "sub_id", "page").select("sub_id", "inferred_page")
+
+
+@query
+def chapter_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = load(spark, sf_dir, "subsection_report", ["sub_id", "report_id", "chapter", "start_page", "end_page", "page"]).dropDuplicates(["sub_id"])
+    chapters = r.select("report_id", "chapter", "start_page", "end_page").distinct()
+    return T.chapter_of_page(r.where("page is not null").select("report_id", "page").distinct(), chapters)
+
+
+@query
+def unwrapped_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents", ["doc_id", "text"]).where("text is not null")
+    return T.unwrapped(d.select(F.col("doc_id").cast("string").alias("book_id"), F.lit(1).alias("pdf_page"), "text")).drop("pdf_page")
+
+
+@query
+def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents", ["doc_id", "text"])
+    return d.select("doc_id", F.posexplode(T.text_pieces(F.col("text"))).alias("piece", "content"))
+
+
+@query
+def character_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", *T.class_counts("text"))
