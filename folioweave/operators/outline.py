@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from folioweave.config import OutlineQualityConfig
 from folioweave.functions import text as X
+from folioweave.runtime import cut
 
 
 def _ranked(plan: DataFrame, tier: str) -> tuple[DataFrame, int]:
+    # the depth decides the columns, so what the plan is made from is computed once, here
+    plan = cut(plan)
     ranks = plan.select("book_id", tier).distinct().withColumn("__t", F.dense_rank().over(Window.partitionBy("book_id").orderBy(tier)))
     depth = ranks.agg(F.max("__t")).first()[0] or 1
     return plan.join(ranks, ["book_id", tier]), int(depth)

@@ -49,7 +49,7 @@ def infer(lines: DataFrame, config: TypographyConfig = TypographyConfig()) -> In
     restored = cut(D.with_tier(L.merge_print_fragments(body), cuts, "font_size"))
     spacing = cut(D.gap_limit(D.body_gaps(restored, profile)))
     blocks = cut(G.merge_non_body(G.chunks(restored, spacing), profile, spacing, cuts))
-    headings = G.headings(blocks, profile, cuts, spacing, config)
+    headings = cut(G.headings(blocks, profile, cuts, spacing, config))
     font_plan = O.normalized_plan(O.plan_of_headings(headings, config.bpe_max_node_words, config.bpe_level_pollution_ratio))
     legacy = legacy_plan(tiered.join(headings.select("book_id").distinct(), "book_id", "left_anti"), config)
     font_plan = cut(font_plan.unionByName(legacy))
@@ -69,7 +69,7 @@ def legacy_plan(tiered: DataFrame, config: TypographyConfig = TypographyConfig()
     best = G.strongest_per_page(G.evidence_candidates(L.merge_same_tier_lines(tiered, config), config))
     raw = best.withColumn("raw", F.least(F.greatest(F.coalesce("numbering_depth", "tier"), F.lit(1)), F.lit(6)))
     order = Window.partitionBy("book_id").orderBy("pdf_page", "y0", "line_id")
-    ranked = raw.withColumn("ord", F.row_number().over(order))
+    ranked = cut(raw.withColumn("ord", F.row_number().over(order)))
     # the clamp depends on the level before it, so a book's levels are folded as one array of small numbers
     levels = ranked.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "raw"))), lambda x: x["raw"]).alias("raws"))
     clamp = F.aggregate("raws", F.array().cast("array<int>"), lambda acc, r: F.concat(acc, F.array(F.least(r, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + 1))))
