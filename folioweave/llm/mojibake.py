@@ -165,7 +165,9 @@ class Judge:
             beyond = sum(not c.isascii() for c in got)
             score, sure = float(scores[k]), True
             if write == "utf-8":
-                score += STRICT_BONUS * beyond * (read != "cp949")
+                # every step back explains sequences of its own
+                steps = beyond + sum(sum(not c.isascii() for c in restore(w, chain[n:]) or "") for n in range(1, len(chain)))
+                score += STRICT_BONUS * steps * (read != "cp949")
             elif write == "euc_kr":
                 if not all(c.isascii() or "가" <= c <= "힣" for c in got):
                     continue
