@@ -26,7 +26,7 @@ def test_cycles_case_blanks_lists_and_lost_parents(spark):
 def test_random_forest_against_walks(spark):
     rng = random.Random(3)
     rows, parent = [], {}
-    for n in range(120):
+    for n in range(30):
         p = None if n == 0 or rng.random() < 0.05 else f"n{rng.randrange(max(0, n - 3), n)}"
         parent[f"n{n}"] = p
         rows.append(("r", f"n{n}", p, None, 0, 0))
