@@ -22,12 +22,15 @@ from folioweave.runtime import cut
 CONFUSIONS = (
     ("rn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("c", "e"), ("b", "h"), ("f", "t"), ("q", "g"), ("h", "li"), ("m", "in"),
     ("5", "s"), ("0", "o"), ("1", "l"), ("1", "i"), ("8", "b"), ("@", "a"), ("6", "b"), ("6", "g"), ("9", "g"), ("2", "z"), ("l", "i"), ("i", "l"), ("o", "a"), ("tl", "d"), ("ni", "m"), ("|", "l"), ("!", "l"),
+    ("|", "i"), ("!", "i"), ("m", "rn"),
 )
 #: Parts of a page's height that hold nothing but headers and page numbers.
 TOP, FOOT = 0.065, 0.93
 #: A word is taken for a misreading if a likely original is so many times as frequent.
 DOMINANCE = 25.0
 EDIT = math.log(0.004)
+#: Digits and signs that stand for letters.
+SIGNS = frozenset(c for seen, _ in CONFUSIONS for c in seen if not c.isalpha())
 
 HYPHENS = "-‐\xad¬"
 TOKEN = r"(?:[|!](?=\p{L}))?+[\p{L}\p{M}\p{N}@]++(?:[|!]++[\p{L}\p{M}\p{N}@]++)*+"
@@ -111,8 +114,14 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def originals(word: str, edits: int = 2) -> dict[str, int]:
-    """Words that may have been misread as ``word``, with the number of confusions."""
+def originals(word: str) -> dict[str, int]:
+    """Words that may have been misread as ``word``, with the number of confusions.
+
+    Two confusions at every length; where digits or signs stand among the letters, each of them
+    (up to four) and one more.
+    """
+    signs = sum(c in SIGNS for c in word)
+    edits = max(2, min(signs, 4) + 1)
     found, edge = {word: 0}, {word}
     for n in range(1, edits + 1):
         new = set()
@@ -121,7 +130,8 @@ def originals(word: str, edits: int = 2) -> dict[str, int]:
                 at = w.find(seen)
                 while at >= 0:
                     x = w[:at] + true + w[at + len(seen) :]
-                    if x not in found:
+                    # what has more signs left than confusions can't become a word
+                    if x not in found and sum(c in SIGNS for c in x) <= edits - n:
                         found[x] = n
                         new.add(x)
                     at = w.find(seen, at + 1)
@@ -133,7 +143,7 @@ def originals(word: str, edits: int = 2) -> dict[str, int]:
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("edits", T.IntegerType())])))
 def _originals(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:
-        yield s.map(lambda w: [{"word": x, "edits": n} for x, n in originals(w, 2 if len(w) > 5 else 1).items() if x.isalpha()])
+        yield s.map(lambda w: [{"word": x, "edits": n} for x, n in originals(w).items() if x.isalpha()])
 
 
 def misreadings(counts: DataFrame) -> DataFrame:
@@ -164,8 +174,9 @@ def _decode(total: float):
             pair = {(b["a"], b["b"]): float(b["n"]) for b in (bigrams if bigrams is not None else [])}
             state: dict[str, tuple[float, list[str]]] = {"": (0.0, [])}
             for i, seen in enumerate(tokens):
-                # a word that something far more frequent explains has no count of its own
-                cands = [(seen, floor if i in by_pos else 0.0)] + [(o["word"], math.log(-float(o["minus"]) / total) + EDIT * float(o["edits"])) for o in by_pos.get(i, ())]
+                # a word that something far more frequent explains has no count of its own; every further sign in it is one more confusion
+                own = floor + EDIT * max(0, sum(c in SIGNS for c in seen) - 1)
+                cands = [(seen, own if i in by_pos else 0.0)] + [(o["word"], math.log(-float(o["minus"]) / total) + EDIT * float(o["edits"])) for o in by_pos.get(i, ())]
                 new = {}
                 for word, cost in cands:
                     best = None

@@ -128,3 +128,19 @@ def test_noise_of_scanned_rows(spark):
     rep = spark.createDataFrame([(1, "r", 1, "CONTENTS"), (2, "r", 1, "Alpha . . . lO"), (3, "r", 1, None)], "sub_id bigint, report_id string, chapter int, raw_line string")
     got = {(r.source_table, r.row_id, r.noise) for r in ocrnoise.noise(ocrnoise.rows_of(visual, ocr, rep)).collect()}
     assert got == {("visual_rows", 1, "running_header"), ("visual_rows", 2, "hyphenated"), ("visual_rows", 4, "page_number"), ("visual_rows", 7, "misread"), ("subsection_report", 1, "running_header"), ("subsection_report", 2, "misread")}
+
+
+def _misread(spark, texts):
+    """Those of ``texts``, the rows of one page, that hold a misread word."""
+    rows = spark.createDataFrame([(i, "b", 1, i, 300.0, 800.0, t) for i, t in enumerate(texts)], "row_id bigint, book_id string, pdf_page int, row_seq int, y0 double, page_height double, text string")
+    ocr = spark.createDataFrame([], "stat_id bigint, book_id string, pdf_page int, y_center_ratio double, text string")
+    rep = spark.createDataFrame([], "sub_id bigint, report_id string, chapter int, raw_line string")
+    return {texts[r.row_id] for r in ocrnoise.noise(ocrnoise.rows_of(rows, ocr, rep)).where("noise = 'misread'").collect()}
+
+
+def test_confusions_of_short_words_and_signs(spark):
+    assert ocrnoise.originals("ze!gt")["zeigt"] == 1 and ocrnoise.originals("pr|sm")["prism"] == 1 and ocrnoise.originals("retum")["return"] == 1
+    assert ocrnoise.originals("wbicb")["which"] == 2 and ocrnoise.originals("f00tn0te")["footnote"] == 3
+    bad = ["the ze!gt turns", "they retum to it", "the tree wbicb grows", "a late f00tn0te here"]
+    good = ["the zeigt turns", "they return to it", "the tree which grows", "a late footnote here"]
+    assert _misread(spark, good * 30 + bad) == set(bad)
