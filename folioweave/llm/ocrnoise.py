@@ -26,9 +26,11 @@ CONFUSIONS = (
 )
 #: Parts of a page's height that hold nothing but headers and page numbers.
 TOP, FOOT = 0.065, 0.93
-#: A word is taken for a misreading if a likely original is so many times as frequent.
-DOMINANCE = 25.0
 EDIT = math.log(0.004)
+#: What the same confusion weighs when a word has it again.
+AGAIN = 0.25
+#: Share of a word's occurrences that may be misread in the same way, where a misreading recurs.
+RECURS = 0.04
 #: Digits and signs that stand for letters.
 SIGNS = frozenset(c for seen, _ in CONFUSIONS for c in seen if not c.isalpha())
 
@@ -43,16 +45,22 @@ ENTRY_PAGE = rf"(?:\.\s?){{3,}}\s*({DIGITS_SEEN}{{1,4}})(?=\s*(?:$|[|/I]\s|\s{{2
 
 
 def rows_of(visual: DataFrame, ocr: DataFrame, report: DataFrame) -> DataFrame:
-    """The three tables as (source_table, row_id, flow, page, seq, height, text), once for each key.
+    """The three tables as (source_table, row_id, flow, page, seq, height, text, counted), once for each key.
 
     ``flow`` is what is read in one go: a book, or a report's contents list. ``height`` is the
-    place on the page from 0 to 1, null where it is not known and for contents lines.
+    place on the page from 0 to 1, null where it is not known and for contents lines. ``counted``
+    is false for rows whose line another row of the report already stands for: the corpus's words
+    are counted once for each line.
     """
     none = F.lit(None).cast("double")
     v = visual.select(F.lit("visual_rows").alias("source_table"), F.col("row_id").cast("long").alias("row_id"), F.col("book_id").alias("flow"), F.col("pdf_page").alias("page"), F.col("row_seq").cast("long").alias("seq"), F.try_divide("y0", "page_height").alias("height"), "text")
     o = ocr.select(F.lit("ocr_line_stats").alias("source_table"), F.col("stat_id").cast("long").alias("row_id"), F.col("book_id").alias("flow"), F.col("pdf_page").alias("page"), F.col("stat_id").cast("long").alias("seq"), F.col("y_center_ratio").alias("height"), "text")
     r = report.select(F.lit("subsection_report").alias("source_table"), F.col("sub_id").cast("long").alias("row_id"), F.col("report_id").alias("flow"), F.col("chapter").alias("page"), F.col("sub_id").cast("long").alias("seq"), none.alias("height"), F.col("raw_line").alias("text"))
-    return v.unionByName(o).unionByName(r).dropDuplicates(["source_table", "row_id"])
+    # grouped, not windowed, so that a line that very many rows share is no single task
+    lines = r.groupBy("flow", "text").agg(F.min("row_id").alias("row_id")).select("row_id", F.lit(True).alias("first"))
+    r = r.join(lines, "row_id", "left").withColumn("counted", F.coalesce("first", F.lit(False))).drop("first")
+    books = v.unionByName(o).withColumn("counted", F.lit(True))
+    return books.unionByName(r).dropDuplicates(["source_table", "row_id"])
 
 
 def margins(rows: DataFrame) -> DataFrame:
@@ -114,7 +122,7 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def originals(word: str) -> dict[str, int]:
+def originals(word: str, confusions: tuple[tuple[str, str], ...] = CONFUSIONS) -> dict[str, int]:
     """Words that may have been misread as ``word``, with the number of confusions.
 
     Two confusions at every length; where digits or signs stand among the letters, each of them
@@ -126,7 +134,7 @@ def originals(word: str) -> dict[str, int]:
     for n in range(1, edits + 1):
         new = set()
         for w in edge:
-            for seen, true in CONFUSIONS:
+            for seen, true in confusions:
                 at = w.find(seen)
                 while at >= 0:
                     x = w[:at] + true + w[at + len(seen) :]
@@ -140,17 +148,28 @@ def originals(word: str) -> dict[str, int]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("edits", T.IntegerType())])))
+def weighed(word: str) -> dict[str, float]:
+    """``originals`` that are words, with confusions weighed: the same one again in a word is a part of one, as a misread shape recurs."""
+    found = {x: float(n) for x, n in originals(word).items() if x.isalpha()}
+    for one in CONFUSIONS:
+        if word.count(one[0]) > 1:
+            found |= {x: 1 + AGAIN * (n - 1) for x, n in originals(word, (one,)).items() if x.isalpha()}
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("edits", T.DoubleType())])))
 def _originals(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:
-        yield s.map(lambda w: [{"word": x, "edits": n} for x, n in originals(w).items() if x.isalpha()])
+        yield s.map(lambda w: [{"word": x, "edits": n} for x, n in weighed(w).items()])
 
 
 def misreadings(counts: DataFrame) -> DataFrame:
-    """(seen, options): words that a far more frequent word explains, with (word, edits, count) of each explanation.
+    """(seen, own, options): words that a more frequent word may explain, with (word, edits, count) of each explanation.
 
-    ``counts`` has (word, n). Words of two letters and less are too alike to be told apart, unless
-    a digit or sign stands among the letters.
+    ``counts`` has (word, n). ``own`` is how often the word was seen beside the place that is judged,
+    less what recurring misreadings of its most frequent original may come to; a word with a digit or sign
+    among its letters has none. Words of two letters and less are too alike to be told apart,
+    unless a digit or sign stands among the letters.
     """
     odd = F.col("word").rlike(r"\p{L}[0-9@|!]|[0-9@|!]\p{L}")
     latin = F.col("word").rlike(r"^[\p{IsLatin}0-9@|!]+$") & F.col("word").rlike(r"\p{L}")
@@ -158,8 +177,9 @@ def misreadings(counts: DataFrame) -> DataFrame:
     asked = asked.select(F.col("word").alias("seen"), F.col("n").alias("n_seen"), "odd", F.explode(_originals("word")).alias("o"))
     known = counts.select(F.col("word"), F.col("n"))
     pairs = asked.select("seen", "n_seen", "odd", F.col("o.word").alias("word"), F.col("o.edits").alias("edits")).join(known, "word")
-    likely = pairs.where(F.when(F.col("odd"), F.col("n") >= 2).otherwise(F.col("n") >= DOMINANCE * F.col("n_seen")))
-    return likely.groupBy("seen").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word", "edits"))), 1, 8).alias("options"))
+    likely = pairs.where(F.when(F.col("odd"), F.col("n") >= 2).otherwise(F.col("n") > F.col("n_seen")))
+    own = F.when(F.first("odd"), 0.0).otherwise(F.greatest(F.lit(0.0), F.first("n_seen") - 1 - RECURS * F.max("n")))
+    return likely.groupBy("seen").agg(own.alias("own"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word", "edits"))), 1, 8).alias("options"))
 
 
 def _decode(total: float):
@@ -167,16 +187,21 @@ def _decode(total: float):
 
     @F.pandas_udf("array<string>")
     def decode(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        floor = math.log(0.02 / total)
-
         def line(tokens, options, bigrams) -> list[str]:
-            by_pos = {int(o["pos"]): o["options"] for o in options}
+            by_pos = {int(o["pos"]): o for o in options}
             pair = {(b["a"], b["b"]): float(b["n"]) for b in (bigrams if bigrams is not None else [])}
+            for i in range(len(tokens) - 1):
+                # what stands here can't bear itself out
+                here = (tokens[i], tokens[i + 1])
+                if here in pair:
+                    pair[here] = max(0.0, pair[here] - 1)
             state: dict[str, tuple[float, list[str]]] = {"": (0.0, [])}
             for i, seen in enumerate(tokens):
-                # a word that something far more frequent explains has no count of its own; every further sign in it is one more confusion
-                own = floor + EDIT * max(0, sum(c in SIGNS for c in seen) - 1)
-                cands = [(seen, own if i in by_pos else 0.0)] + [(o["word"], math.log(-float(o["minus"]) / total) + EDIT * float(o["edits"])) for o in by_pos.get(i, ())]
+                cands = [(seen, 0.0)]
+                if i in by_pos:
+                    # every further sign in a word is one more confusion
+                    own = math.log(max(0.02, float(by_pos[i]["own"])) / total) + EDIT * max(0, sum(c in SIGNS for c in seen) - 1)
+                    cands = [(seen, own)] + [(o["word"], math.log(-float(o["minus"]) / total) + EDIT * float(o["edits"])) for o in by_pos[i]["options"]]
                 new = {}
                 for word, cost in cands:
                     best = None
@@ -201,8 +226,8 @@ def _small(big: DataFrame, few: DataFrame, on: list[str], bound: int = 400_000)
 
 
 def word_counts(body: DataFrame) -> DataFrame:
-    """(word, n) over all rows."""
-    return cut(body.select(F.explode(_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    """(word, n) over all rows, a line that rows of a report share once."""
+    return cut(body.where("counted").select(F.explode(_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
 
 
 def corrected(body: DataFrame, counts: DataFrame) -> DataFrame:
@@ -210,18 +235,18 @@ def corrected(body: DataFrame, counts: DataFrame) -> DataFrame:
     keys = ["source_table", "row_id"]
     # the last word of a cut line and the first of the next one are pieces of a word
     cut_end = F.col("text").rlike(rf"\p{{L}}[{HYPHENS}]\s*$")
-    words = body.select(*keys, _tokens(F.col("text")).alias("tokens"), cut_end.alias("cut_end"), F.coalesce("cut_start", F.lit(False)).alias("cut_start"))
+    words = body.select(*keys, "counted", _tokens(F.col("text")).alias("tokens"), cut_end.alias("cut_end"), F.coalesce("cut_start", F.lit(False)).alias("cut_start"))
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     wrong = cut(misreadings(counts))
     at = words.select(*keys, "tokens", "cut_end", "cut_start", F.posexplode("tokens").alias("pos", "seen"))
     at = _small(at, wrong.select("seen"), ["seen"]).where(~(F.col("cut_end") & (F.col("pos") == F.size("tokens") - 1)) & ~(F.col("cut_start") & (F.col("pos") == 0)))
-    hits = cut(at.join(wrong, "seen").select(*keys, "tokens", "pos", "options"))
-    lattice = hits.groupBy(*keys).agg(F.collect_list(F.struct("pos", "options")).alias("options"), F.first("tokens").alias("tokens"))
+    hits = cut(at.join(wrong, "seen").select(*keys, "tokens", "pos", "seen", "own", "options"))
+    lattice = hits.groupBy(*keys).agg(F.collect_list(F.struct("pos", "own", "options")).alias("options"), F.first("tokens").alias("tokens"))
     # only the bigrams around a doubtful word are counted, over all rows
     before, after = F.get("tokens", F.col("pos") - 1), F.get("tokens", F.col("pos") + 1)
-    asked = hits.select(*keys, F.explode(F.flatten(F.transform("options", lambda o: F.array(F.struct(before.alias("a"), o["word"].alias("b")), F.struct(o["word"].alias("a"), after.alias("b")))))).alias("p")).select(*keys, "p.a", "p.b").where("a is not null and b is not null").distinct()
+    asked = hits.select(*keys, F.explode(F.flatten(F.transform(F.concat(F.array("seen"), F.transform("options", lambda o: o["word"])), lambda w: F.array(F.struct(before.alias("a"), w.alias("b")), F.struct(w.alias("a"), after.alias("b")))))).alias("p")).select(*keys, "p.a", "p.b").where("a is not null and b is not null").distinct()
     asked = cut(asked)
-    pairs = words.where(F.size("tokens") > 1).select(F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), F.size("tokens") - 1).alias("a"), F.slice("tokens", F.lit(2), F.size("tokens") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
+    pairs = words.where(F.col("counted") & (F.size("tokens") > 1)).select(F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), F.size("tokens") - 1).alias("a"), F.slice("tokens", F.lit(2), F.size("tokens") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
     all_pairs = _small(pairs, asked.select("a", "b").distinct(), ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
     bigrams = asked.join(all_pairs, ["a", "b"]).groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n")).alias("bigrams"))
     full = lattice.join(bigrams, keys, "left")
@@ -237,7 +262,7 @@ def hyphenated(body: DataFrame, words: DataFrame) -> DataFrame:
     cutrows = cut(following(body).where("b <> ''"))
     asked = cutrows.select(F.explode(F.array(F.concat("a", "b"), F.concat_ws("-", "a", "b"), F.concat("a", F.lit("-")))).alias("word")).distinct()
     inside = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)+"), F.lit(0))
-    seen = body.where(F.col("text").rlike(r"\p{L}-\p{L}")).select(F.explode(inside).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    seen = body.where(F.col("counted") & F.col("text").rlike(r"\p{L}-\p{L}")).select(F.explode(inside).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     heads = seen.groupBy(F.concat(F.substring_index("word", "-", 1), F.lit("-")).alias("word")).agg(F.sum("n").alias("n"))
     counts = cut(seen.unionByName(heads).unionByName(words.select("word", "n")).join(asked, "word", "left_semi"))
     out = cutrows

@@ -144,3 +144,13 @@ def test_confusions_of_short_words_and_signs(spark):
     bad = ["the ze!gt turns", "they retum to it", "the tree wbicb grows", "a late f00tn0te here"]
     good = ["the zeigt turns", "they return to it", "the tree which grows", "a late footnote here"]
     assert _misread(spark, good * 30 + bad) == set(bad)
+
+
+def test_rare_and_recurring_misreadings(spark):
+    rows = ["the old orbits turn"] * 9 + ["the old memories stay"] * 20 + ["some quarries grow"] * 18 + ["same quarries grow"] * 20
+    visual = spark.createDataFrame([(i, "b", 1, i, 300.0, 800.0, t) for i, t in enumerate(rows)] + [(900, "b", 1, 900, 300.0, 800.0, "the old orbifs turn")], "row_id bigint, book_id string, pdf_page int, row_seq int, y0 double, page_height double, text string")
+    ocr = spark.createDataFrame([], "stat_id bigint, book_id string, pdf_page int, y_center_ratio double, text string")
+    # one misread line that many rows share is seen once
+    rep = spark.createDataFrame([(i, "r", 1, "Porous Memorics") for i in range(40)], "sub_id bigint, report_id string, chapter int, raw_line string")
+    got = {(r.source_table, r.row_id) for r in ocrnoise.noise(ocrnoise.rows_of(visual, ocr, rep)).where("noise = 'misread'").collect()}
+    assert got == {("visual_rows", 900)} | {("subsection_report", i) for i in range(40)}
