@@ -164,7 +164,7 @@ def _originals(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def misreadings(counts: DataFrame) -> DataFrame:
-    """(seen, own, options): words that a more frequent word may explain, with (word, edits, count) of each explanation.
+    """(seen, own, options): words that a more frequent word may explain, with (word, edits, count) of every explanation.
 
     ``counts`` has (word, n). ``own`` is how often the word was seen beside the place that is judged,
     less what recurring misreadings of its most frequent original may come to; a word with a digit or sign
@@ -179,7 +179,7 @@ def misreadings(counts: DataFrame) -> DataFrame:
     pairs = asked.select("seen", "n_seen", "odd", F.col("o.word").alias("word"), F.col("o.edits").alias("edits")).join(known, "word")
     likely = pairs.where(F.when(F.col("odd"), F.col("n") >= 2).otherwise(F.col("n") > F.col("n_seen")))
     own = F.when(F.first("odd"), 0.0).otherwise(F.greatest(F.lit(0.0), F.first("n_seen") - 1 - RECURS * F.max("n")))
-    return likely.groupBy("seen").agg(own.alias("own"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word", "edits"))), 1, 8).alias("options"))
+    return likely.groupBy("seen").agg(own.alias("own"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word", "edits"))).alias("options"))
 
 
 def _decode(total: float):

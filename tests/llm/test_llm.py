@@ -154,3 +154,13 @@ def test_rare_and_recurring_misreadings(spark):
     rep = spark.createDataFrame([(i, "r", 1, "Porous Memorics") for i in range(40)], "sub_id bigint, report_id string, chapter int, raw_line string")
     got = {(r.source_table, r.row_id) for r in ocrnoise.noise(ocrnoise.rows_of(visual, ocr, rep)).where("noise = 'misread'").collect()}
     assert got == {("visual_rows", 900)} | {("subsection_report", i) for i in range(40)}
+
+
+def test_a_rare_original_wins_by_its_neighbours(spark):
+    others = sorted(w for w, n in ocrnoise.originals("coif").items() if w not in ("calf", "coif"))[:10]
+    rows = [w for w in others for _ in range(40)] + ["brown calf grazes"] * 30 + ["brown coif grazes"]
+    visual = spark.createDataFrame([(i, "b", 1, i, 300.0, 800.0, t) for i, t in enumerate(rows)], "row_id bigint, book_id string, pdf_page int, row_seq int, y0 double, page_height double, text string")
+    ocr = spark.createDataFrame([], "stat_id bigint, book_id string, pdf_page int, y_center_ratio double, text string")
+    rep = spark.createDataFrame([], "sub_id bigint, report_id string, chapter int, raw_line string")
+    text = " ".join(r.text for r in ocrnoise.paragraphs(ocrnoise.rows_of(visual, ocr, rep)).collect())
+    assert text.count("brown calf grazes") == 31
