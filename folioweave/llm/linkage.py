@@ -1,6 +1,6 @@
 """Matching headings of two sources without a shared key: collective graph linkage.
 
-Candidates share rare pieces of their titles (or a page), the weak edges of the candidate graph
+Candidates share pieces of their titles (or a page), the weak edges of the candidate graph
 are pruned by the weights of their neighbourhood, and what is left is scored by title, page and
 level and then by how well the neighbours in reading order match, until nothing changes.
 """
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from folioweave.runtime import cut
 
 PAGE_TOLERANCE = 2
-#: How many of a title's rarest pieces stand for it where no page is known.
-RAREST = 12
 MIN_TITLE = 0.86
 MIN_SCORE = 0.6
 NEIGHBOUR_SHARE = 0.2
@@ -88,7 +86,7 @@ def _grams(key: str) -> Column:
 
 
 def _weighted(rows: DataFrame, rarity: DataFrame) -> DataFrame:
-    """Rows with ``grams``: (piece, weight), the rarest first; a piece's weight falls with its share of the book's titles."""
+    """Rows with ``grams``: (piece, weight); a piece's weight falls with its share of the book's titles."""
     parts = rows.select("book", "id", F.explode(_grams("key")).alias("gram")).join(rarity, ["book", "gram"])
     lists = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("df"), F.col("gram"), F.col("weight")))).alias("grams"))
     return rows.join(lists, "id")
@@ -97,8 +95,8 @@ def _weighted(rows: DataFrame, rarity: DataFrame) -> DataFrame:
 def candidates(items: DataFrame, outline: DataFrame) -> DataFrame:
     """(i, o, weight) of pairs of one book that share pieces: pages within the tolerance, or one unknown.
 
-    Rows with a page meet on (book, page). A row without one meets the others on its rarest
-    pieces. The weight is the shared pieces' share of the smaller title's weight.
+    Rows with a page meet on (book, page). A row without one meets the others on all its pieces,
+    as misread pieces are themselves the rarest. The weight is the shared pieces' share of the smaller title's weight.
     """
     both = items.select("book", "id", "key").unionByName(outline.select("book", "id", "key"))
     grams = both.select("book", F.explode(_grams("key")).alias("gram")).groupBy("book", "gram").count()
@@ -108,14 +106,11 @@ def candidates(items: DataFrame, outline: DataFrame) -> DataFrame:
     near = left.where("page is not null").withColumn("at", F.explode(F.sequence(F.col("page") - PAGE_TOLERANCE, F.col("page") + PAGE_TOLERANCE)))
     by_page = near.select("book", F.col("at").alias("page"), F.col("id").alias("i")).join(right.where("page is not null").select("book", "page", F.col("id").alias("o")), ["book", "page"]).select("i", "o")
 
-    def rarest(df: DataFrame, name: str) -> DataFrame:
-        return df.select("book", F.col("id").alias(name), F.explode(F.slice("grams", 1, RAREST)).alias("g")).select("book", name, F.col("g.gram").alias("gram"))
-
     def all_pieces(df: DataFrame, name: str) -> DataFrame:
         return df.select("book", F.col("id").alias(name), F.explode("grams").alias("g")).select("book", name, F.col("g.gram").alias("gram"))
 
-    lost_i = rarest(left.where("page is null"), "i").join(all_pieces(right, "o"), ["book", "gram"]).select("i", "o")
-    lost_o = all_pieces(left.where("page is not null"), "i").join(rarest(right.where("page is null"), "o"), ["book", "gram"]).select("i", "o")
+    lost_i = all_pieces(left.where("page is null"), "i").join(all_pieces(right, "o"), ["book", "gram"]).select("i", "o")
+    lost_o = all_pieces(left.where("page is not null"), "i").join(all_pieces(right.where("page is null"), "o"), ["book", "gram"]).select("i", "o")
     pairs = by_page.unionByName(lost_i).unionByName(lost_o).distinct()
     full = pairs.join(left.select(F.col("id").alias("i"), F.col("grams").alias("gi")), "i").join(right.select(F.col("id").alias("o"), F.col("grams").alias("go")), "o")
 

@@ -164,3 +164,10 @@ def test_a_rare_original_wins_by_its_neighbours(spark):
     rep = spark.createDataFrame([], "sub_id bigint, report_id string, chapter int, raw_line string")
     text = " ".join(r.text for r in ocrnoise.paragraphs(ocrnoise.rows_of(visual, ocr, rep)).collect())
     assert text.count("brown calf grazes") == 31
+
+
+def test_a_long_title_without_page_survives_four_errors(spark):
+    good, bad = "Practical Geometry of Seasonal Markets Upper Vineyards", "Practical Geometry of Sessonal Marxets Uxper zineyards"
+    it = spark.createDataFrame([(1, "b", "a", bad, None, 1, None), (2, "c", "a", bad, 5, 1, None)], "id bigint, book string, arm string, title string, page int, level int, kind string")
+    ol = spark.createDataFrame([(10, "b", 1, good, 5, 1), (20, "c", 1, good, None, 1)], "id bigint, book string, ord int, title string, page int, level int")
+    assert {(r.item_id, r.outline_id) for r in linkage.link(it, ol).collect()} == {(1, 10), (2, 20)}
