@@ -144,7 +144,27 @@ def _title_similarity() -> Column:
     return F.when(series_differs, 0.0).otherwise(best - F.when(number_differs, 0.1).otherwise(0.0))
 
 
-def link(items: DataFrame, outline: DataFrame, rounds: int = 6, tolerance: float = 1e-3) -> DataFrame:
+def propagate(edges: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """``edges`` (i, o, book, arm, pi, po, own) with ``score``, in rounds until no score moves by ``tolerance`` or more.
+
+    The rounds end: a score moves by at most NEIGHBOUR_SHARE / 2 for each of its eight neighbours,
+    so the largest change falls to 0.8 of itself or less in every round.
+    """
+    edges = edges.withColumn("score", F.col("own"))
+    # neighbours at the same small distance before or behind on both sides bear a pair out
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-2, -1, 1, 2) for b in (-2, -1, 1, 2) if a * b > 0]))
+    while True:
+        shift = edges.select("i", "o", "book", "arm", "pi", "po", steps.alias("s")).select("i", "o", "book", "arm", (F.col("pi") + F.col("s.a")).alias("pi"), (F.col("po") + F.col("s.b")).alias("po"))
+        support = shift.join(edges.select("book", "arm", "pi", "po", F.col("score").alias("near")), ["book", "arm", "pi", "po"]).groupBy("i", "o").agg(F.least(F.lit(1.0), F.sum("near") / 2).alias("support"))
+        new = edges.join(support, ["i", "o"], "left").withColumn("was", F.col("score")).withColumn("score", (1 - NEIGHBOUR_SHARE) * F.col("own") + NEIGHBOUR_SHARE * F.coalesce("support", F.lit(0.0)))
+        new = cut(new)
+        moved = new.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
+        edges = new.drop("was", "support")
+        if moved is None or moved < tolerance:
+            return edges
+
+
+def link(items: DataFrame, outline: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """(item_id, outline_id, confidence) of the pairs that stand for the same heading.
 
     ``items`` has (id, book, arm, title, page, level, kind), ``outline`` (id, book, ord, title,
@@ -168,18 +188,7 @@ def link(items: DataFrame, outline: DataFrame, rounds: int = 6, tolerance: float
     page = F.coalesce(1 - apart / (2 * PAGE_TOLERANCE), F.lit(0.4))
     level = F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(F.col("li") - F.col("lo")) / 3), F.lit(0.5))
     own = 0.7 * F.col("title") + 0.2 * page + 0.1 * level
-    edges = cut(scored.select("i", "o", "book", "arm", "pi", "po", own.alias("own")).withColumn("score", F.col("own")))
-    for _ in range(rounds):
-        # neighbours at the same small distance before or behind on both sides bear a pair out
-        steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-2, -1, 1, 2) for b in (-2, -1, 1, 2) if a * b > 0]))
-        shift = edges.select("i", "o", "book", "arm", "pi", "po", steps.alias("s")).select("i", "o", "book", "arm", (F.col("pi") + F.col("s.a")).alias("pi"), (F.col("po") + F.col("s.b")).alias("po"))
-        support = shift.join(edges.select("book", "arm", "pi", "po", F.col("score").alias("near")), ["book", "arm", "pi", "po"]).groupBy("i", "o").agg(F.least(F.lit(1.0), F.sum("near") / 2).alias("support"))
-        new = edges.join(support, ["i", "o"], "left").withColumn("was", F.col("score")).withColumn("score", (1 - NEIGHBOUR_SHARE) * F.col("own") + NEIGHBOUR_SHARE * F.coalesce("support", F.lit(0.0)))
-        new = cut(new)
-        moved = new.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
-        edges = new.drop("was", "support")
-        if moved is None or moved < tolerance:
-            break
+    edges = propagate(cut(scored.select("i", "o", "book", "arm", "pi", "po", own.alias("own"))), tolerance)
     edges = edges.where(F.col("score") >= MIN_SCORE)
     taken = None
     while True:

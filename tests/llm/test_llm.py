@@ -171,3 +171,14 @@ def test_a_long_title_without_page_survives_four_errors(spark):
     it = spark.createDataFrame([(1, "b", "a", bad, None, 1, None), (2, "c", "a", bad, 5, 1, None)], "id bigint, book string, arm string, title string, page int, level int, kind string")
     ol = spark.createDataFrame([(10, "b", 1, good, 5, 1), (20, "c", 1, good, None, 1)], "id bigint, book string, ord int, title string, page int, level int")
     assert {(r.item_id, r.outline_id) for r in linkage.link(it, ol).collect()} == {(1, 10), (2, 20)}
+
+
+def test_neighbour_scores_settle(spark):
+    # pairs in threes of four, so that no support reaches its bound and changes go on along the chain
+    at = [p for p in range(40) if p % 4 != 3]
+    rows = [(p, 100 + p, "b", "a", p, p, 0.3 + 0.3 * (p == 0)) for p in at]
+    edges = spark.createDataFrame(rows, "i bigint, o bigint, book string, arm string, pi int, po int, own double")
+    got = {r.i: r.score for r in linkage.propagate(edges, 1e-9).collect()}
+    for p, _, _, _, _, _, own in rows:
+        support = min(1.0, sum(got.get(p + d, 0.0) for d in (-2, -1, 1, 2)) / 2)
+        assert abs(got[p] - (0.8 * own + 0.2 * support)) < 1e-8
