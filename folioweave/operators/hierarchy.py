@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioweave.runtime import cut, rounds_for
+from folioweave.runtime import cut
 
 #: Children of one parent are ordered within this many hashed parts, so no parent is one task.
 SPREAD = 64
@@ -39,38 +39,38 @@ def resolve_parents(nodes: DataFrame, group: str, node: str, parent: str, childr
         .groupBy("g", "v")
         .agg(F.min("lister").alias("lister"))
     )
-    wanted = own.join(listed, ["g", "v"], "left").select("g", "v", "node", F.coalesce("named", "lister").alias("want"))
+    wanted = _beside(own, listed, ["g", "v"], "left").select("g", "v", "node", F.coalesce("named", "lister").alias("want"))
     there = own.select("g", F.col("v").alias("want"), F.lit(True).alias("there"))
-    return wanted.join(there, ["g", "want"], "left").select("g", "v", "node", F.when(F.col("there"), F.col("want")).alias("p"))
+    return _beside(wanted, there, ["g", "want"], "left").select("g", "v", "node", F.when(F.col("there"), F.col("want")).alias("p"))
 
 
-def classify_cycles(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def _beside(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle and merge: loop tables grow with the data, so none is ever sent to the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def classify_cycles(links: DataFrame) -> DataFrame:
     """``links`` with ``state``: ``tree``, ``cycle`` or ``below_cycle``.
 
     Peeling the leaves m times leaves exactly the image of the m-fold parent map. The map is
-    squared until m passes the largest group, so the image that is left is the cycles; the nodes
-    that still have an m-fold parent without being in that image hang below one.
+    squared until its image is empty or, from one round to the next, as large as before: then the
+    map only permutes it, so the image is the cycles; the nodes that still have an m-fold parent
+    without being in it hang below one. The rounds follow the longest chain, not the largest group.
     """
     links = cut(links)
-    if rounds is None:
-        rounds = rounds_for(links.groupBy("g").count().agg(F.max("count")).first()[0])
-    jump = links.where("p is not null").select("g", "v", F.col("p").alias("j"))
-    for k in range(rounds):
-        right = jump.select("g", F.col("v").alias("j"), F.col("j").alias("jj"))
-        jump = jump.join(right, ["g", "j"]).select("g", "v", F.col("jj").alias("j"))
-        if k % 3 == 2:
-            jump = cut(jump)
-    jump = cut(jump)
-    endless = jump.select("g", "v", F.lit(True).alias("endless"))
-    image = jump.select("g", F.col("j").alias("v"), F.lit(True).alias("left")).distinct()
-    return (
-        links.join(endless, ["g", "v"], "left")
-        .join(image, ["g", "v"], "left")
-        .select("g", "v", "node", "p", F.when(F.col("left"), "cycle").when(F.col("endless"), "below_cycle").otherwise("tree").alias("state"))
-    )
-
-
-def euler_intervals(tree: DataFrame, rounds: int | None = None) -> DataFrame:
+    jump = cut(links.where("p is not null").select("g", "v", F.col("p").alias("j")))
+    left, before = jump.select("g", "j").distinct().count(), -1
+    while left and left != before:
+        jump = cut(_beside(jump, jump.select("g", F.col("v").alias("j"), F.col("j").alias("jj")), ["g", "j"]).select("g", "v", F.col("jj").alias("j")))
+        before, left = left, jump.select("g", "j").distinct().count()
+    endless = jump.select("g", "v", F.lit(1).alias("mark"))
+    image = jump.select("g", F.col("j").alias("v"), F.lit(2).alias("mark"))
+    marks = endless.unionByName(image).groupBy("g", "v").agg(F.max("mark").alias("mark"))
+    state = F.when(F.col("mark") == 2, "cycle").when(F.col("mark") == 1, "below_cycle").otherwise("tree")
+    return cut(_beside(links, marks, ["g", "v"], "left").select("g", "v", "node", "p", state.alias("state")))
+
+
+def euler_intervals(tree: DataFrame) -> DataFrame:
     """(g, v, root, depth, entry, exit) of a forest (g, v, p).
 
     The tour of a tree has two elements for each node; each element knows only its successor.
@@ -83,9 +83,9 @@ def euler_intervals(tree: DataFrame, rounds: int | None = None) -> DataFrame:
     over = Window.partitionBy("g", "p").orderBy("b")
     heads = heads.withColumn("next_head", F.lead("head").over(over)).withColumn("rank", F.row_number().over(over))
     near = Window.partitionBy("g", "p", "b").orderBy("v")
-    kids = kids.withColumn("near", F.lead("v").over(near)).join(heads, ["g", "p", "b"]).select("g", "v", F.coalesce("near", "next_head").alias("sib"))
+    kids = _beside(kids.withColumn("near", F.lead("v").over(near)), heads, ["g", "p", "b"]).select("g", "v", F.coalesce("near", "next_head").alias("sib"))
     first = heads.where("rank = 1").select("g", F.col("p").alias("v"), F.col("head").alias("kid"))
-    nodes = tree.select("g", "v", "p").join(kids, ["g", "v"], "left").join(first, ["g", "v"], "left")
+    nodes = _beside(_beside(tree.select("g", "v", "p"), kids, ["g", "v"], "left"), first, ["g", "v"], "left")
     # an element is (v, 0) on entry and (v, 1) on exit; w counts the depth that is left to the end
     enter = nodes.select("g", "v", F.lit(0).alias("o"), F.coalesce("kid", "v").alias("nv"), F.when(F.col("kid").isNull(), 1).otherwise(0).alias("no"), F.lit(-1).alias("w"))
     leave = nodes.select("g", "v", F.lit(1).alias("o"), F.coalesce("sib", "p").alias("nv"), F.when(F.col("sib").isNotNull(), 0).otherwise(1).alias("no"), F.lit(1).alias("w"))
@@ -95,26 +95,26 @@ def euler_intervals(tree: DataFrame, rounds: int | None = None) -> DataFrame:
         F.when(F.col("nv").isNull(), F.col("v")).alias("end"),
     )
     tour = cut(tour)
-    if rounds is None:
-        rounds = rounds_for(tour.groupBy("g").count().agg(F.max("count")).first()[0])
-    for k in range(rounds):
-        # finished elements stay as they are and are not joined again as left side
-        right = tour.select("g", F.col("v").alias("nv"), F.col("o").alias("no"), F.col("nv").alias("n2"), F.col("no").alias("o2"), F.col("dist").alias("d2"), F.col("sum").alias("s2"), F.col("end").alias("e2"))
-        open_ = tour.where("nv is not null").join(right, ["g", "nv", "no"])
-        done = tour.where("nv is null")
-        tour = done.unionByName(
-            open_.select("g", "v", "o", F.col("n2").alias("nv"), F.col("o2").alias("no"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("sum") + F.col("s2")).alias("sum"), F.coalesce("end", "e2").alias("end"))
+    ranked, open_ = tour.where("nv is null"), tour.where("nv is not null")
+    while not open_.isEmpty():
+        # an element that has reached its end is written once and only read as a target from then on
+        right = ranked.unionByName(open_).select("g", F.col("v").alias("nv"), F.col("o").alias("no"), F.col("nv").alias("n2"), F.col("no").alias("o2"), F.col("dist").alias("d2"), F.col("sum").alias("s2"), F.col("end").alias("e2"))
+        moved = cut(
+            _beside(open_, right, ["g", "nv", "no"]).select(
+                "g", "v", "o", F.col("n2").alias("nv"), F.col("o2").alias("no"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("sum") + F.col("s2")).alias("sum"), F.coalesce("end", "e2").alias("end")
+            )
         )
-        if k % 2 == 1 or k == rounds - 1:
-            tour = cut(tour)
+        ranked, open_ = ranked.unionByName(moved.where("nv is null")), moved.where("nv is not null")
+    tour = ranked
     both = tour.groupBy("g", "v").agg(
         F.max(F.when(F.col("o") == 0, F.col("dist"))).alias("din"),
         F.max(F.when(F.col("o") == 1, F.col("dist"))).alias("dout"),
         F.max(F.when(F.col("o") == 1, F.col("sum"))).alias("depth"),
         F.max("end").alias("root"),
     )
+    both = cut(both)
     span = both.where("v = root").select("g", "root", F.col("din").alias("whole"))
-    return both.join(span, ["g", "root"]).select("g", "v", "root", "depth", (F.col("whole") - F.col("din")).alias("entry"), (F.col("whole") - F.col("dout")).alias("exit"))
+    return _beside(both, span, ["g", "root"]).select("g", "v", "root", "depth", (F.col("whole") - F.col("din")).alias("entry"), (F.col("whole") - F.col("dout")).alias("exit"))
 
 
 def hierarchy(nodes: DataFrame, group: str, node: str, parent: str, children: str) -> DataFrame:
@@ -125,11 +125,11 @@ def hierarchy(nodes: DataFrame, group: str, node: str, parent: str, children: st
     one whose chain of parents runs into a cycle ``below_cycle``; both have depth -1 and null
     interval. Extra columns are ignored, repeated rows count once, an empty table gives no rows.
     """
-    states = cut(classify_cycles(resolve_parents(nodes, group, node, parent, children)))
+    states = classify_cycles(resolve_parents(nodes, group, node, parent, children))
     tours = euler_intervals(states.where("state = 'tree'").select("g", "v", "p"))
     names = states.select("g", F.col("v").alias("root"), F.col("node").alias("root_name"))
-    placed = states.join(tours, ["g", "v"], "left").join(names, ["g", "root"], "left")
-    return placed.select(
+    placed = _beside(_beside(states, tours, ["g", "v"], "left"), names, ["g", "root"], "left")
+    return cut(placed).select(
         F.col("g").alias(group),
         F.col("node").alias("node_id"),
         F.when(F.col("state") == "tree", F.col("root_name")).otherwise(F.col("state")).alias("root_id"),
@@ -149,15 +149,13 @@ def paths(links: DataFrame) -> DataFrame:
     Ancestor arrays are doubled as the parent map is squared; their total length is that of the
     result, and no group is gathered in one place.
     """
-    rounds = rounds_for(links.groupBy("g").count().agg(F.max("count")).first()[0])
     up = cut(links.select("g", "v", "p", F.array("node").alias("path")))
-    for _ in range(rounds):
-        if up.where("p is not null").limit(1).count() == 0:
-            break
-        right = up.select("g", F.col("v").alias("p"), F.col("p").alias("p2"), F.col("path").alias("above"))
-        moved = up.where("p is not null").join(right, ["g", "p"]).select("g", "v", F.col("p2").alias("p"), F.concat("above", "path").alias("path"))
-        up = cut(up.where("p is null").unionByName(moved))
-    return up.select("g", "v", "path")
+    done, open_ = up.where("p is null"), up.where("p is not null")
+    while not open_.isEmpty():
+        right = done.unionByName(open_).select("g", F.col("v").alias("p"), F.col("p").alias("p2"), F.col("path").alias("above"))
+        moved = cut(_beside(open_, right, ["g", "p"]).select("g", "v", F.col("p2").alias("p"), F.concat("above", "path").alias("path")))
+        done, open_ = done.unionByName(moved.where("p is null")), moved.where("p is not null")
+    return done.select("g", "v", "path")
 
 
 def descendant_pairs(placed: DataFrame, group: str, block: int = 1 << 10) -> DataFrame:
@@ -173,7 +171,7 @@ def descendant_pairs(placed: DataFrame, group: str, block: int = 1 << 10) -> Dat
     )
     des = tree.select(group, "root_id", F.col("node_id").alias("descendant_id"), "entry", F.floor(F.col("entry") / block).alias("blk"))
     return (
-        anc.join(des, [group, "root_id", "blk"])
+        _beside(anc, des, [group, "root_id", "blk"])
         .where((F.col("entry") > F.col("a_in")) & (F.col("entry") < F.col("a_out")))
         .select(group, "ancestor_id", "descendant_id")
     )

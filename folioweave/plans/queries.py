@@ -60,7 +60,7 @@ def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = H.hierarchy(_segments(spark, sf_dir), "run_id", "node_id", "parent_id", "children_ids").where("state = 'tree'")
     links = h.select(F.col("run_id").alias("g"), "v", F.col("node_id").alias("node"), "p")
     p = H.paths(links).withColumnRenamed("g", "run_id")
-    return h.join(p, ["run_id", "v"]).select("run_id", "node_id", F.concat_ws("/", "path").alias("path"), "depth", "n_descendants")
+    return h.join(p.hint("merge"), ["run_id", "v"]).select("run_id", "node_id", F.concat_ws("/", "path").alias("path"), "depth", "n_descendants")
 
 
 @query
