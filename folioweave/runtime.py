@@ -27,20 +27,29 @@ def once_per_key(df: DataFrame, *keys: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a folder of our own is made.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset on a single machine
+    (tests) a folder of our own is made, as executors elsewhere could not read it.
     """
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not there and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="folioweave-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+
+    A checkpointed plan still carries the constraints that were known of its columns. In a loop of self joins
+    each round would take over, rename and combine those of the round before, until the driver's
+    memory is full of them; so the result is built anew from the stored rows and their schema alone.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    stored = df.checkpoint(eager=eager)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
 def rounds_for(n: int | None) -> int:
