@@ -1,8 +1,10 @@
 """Byte-level BPE as Spark expressions.
 
-A text is cut into words by the vocabulary's published pattern, each distinct word of the corpus
-is merged once by a fold over its byte tokens, and the texts are then rewritten word by word.
-The merge ranks are a literal hash table inside the plan: its size is that of the vocabulary.
+A text is cut into words by the vocabulary's published pattern. The corpus's distinct words are
+counted, the most frequent of them are merged once by a fold over their byte tokens, and the texts
+are rewritten word by word: a frequent word by its ids, any other by the same fold where it stands.
+No text is shuffled. Merge ranks and frequent words are literals of the plan; both are bounded, the
+one by the vocabulary and the other by :data:`HEAD_WORDS`, whatever the corpus holds.
 
 Null and empty texts have the empty list of ids.
 """
@@ -12,12 +14,10 @@ from __future__ import annotations
 import base64
 import json
 import os
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.runtime import cut
@@ -27,10 +27,12 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the published word pattern of the byte_bpe_50k vocabulary, with that class for white space.
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}++| ?\p{{N}}++| ?[^{WHITE}\p{{L}}\p{{N}}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
-#: Words of more bytes than this are merged outside the fold, whose cost is quadratic in the word.
-FOLD_BYTES = 96
-#: A dictionary of at most so many distinct words travels as a literal; beyond it words are joined.
-DICTIONARY_WORDS = 600_000
+#: Words of more bytes than this are folded rank by rank instead of pair by pair.
+PAIR_BYTES = 96
+#: At most so many of the corpus's most frequent words travel as a literal with their ids.
+HEAD_WORDS = 20_000
+#: Ids as characters: one code point each, from here on (ids of the vocabulary end below the surrogates).
+FIRST_CHAR = 0x100
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -66,6 +68,7 @@ class MergeTable:
     mix: tuple[int, int]
     probes: int
     byte_ids: tuple[int, ...]
+    size: int
 
 
 @lru_cache(maxsize=4)
@@ -85,7 +88,7 @@ def merge_table(path: str) -> MergeTable:
         while keys[h] >= 0:
             h, n = (h + 1) & (size - 1), n + 1
         keys[h], values[h], far = a * 65536 + b, rank, max(far, n)
-    return MergeTable(json.dumps(keys), json.dumps(values), size - 1, mix, far, tuple(ranks[bytes([b])] for b in range(256)))
+    return MergeTable(json.dumps(keys), json.dumps(values), size - 1, mix, far, tuple(ranks[bytes([b])] for b in range(256)), max(ranks.values()) + 1)
 
 
 def words_of(text: Column | str) -> Column:
@@ -119,8 +122,13 @@ def fold_ids(word: Column, table: MergeTable) -> Column:
     only the two ranks that it changes.
     """
     # bound once as a lambda's argument, so that the plan holds a single copy
-    literal = F.array(F.struct(_literal(table.keys, "array<bigint>").alias("k"), _literal(table.values, "array<int>").alias("v"), _literal(json.dumps(table.byte_ids), "array<int>").alias("b")))
-    return F.get(F.transform(literal, lambda ranks: _fold(word, table, ranks)), F.lit(0))
+    literal = F.array(
+        F.struct(
+            _literal(table.keys, "array<bigint>").alias("k"), _literal(table.values, "array<int>").alias("v"), _literal(json.dumps(table.byte_ids), "array<int>").alias("b"),
+            F.split(F.lit("".join(chr(FIRST_CHAR + i) for i in range(table.size))), "").alias("c"),
+        )
+    )
+    return F.get(F.transform(literal, lambda lit: F.when(F.octet_length(word) <= PAIR_BYTES, _fold(word, table, lit)).otherwise(_fold_by_rank(word, table, lit))), F.lit(0))
 
 
 def _fold(word: Column, table: MergeTable, lit: Column) -> Column:
@@ -149,100 +157,95 @@ def _fold(word: Column, table: MergeTable, lit: Column) -> Column:
     return done["t"]
 
 
-def _long_words(path: str):
-    """Ids of long words by linked-list merging with a heap: n log n in the word's length."""
+def _fold_by_rank(word: Column, table: MergeTable, lit: Column) -> Column:
+    """The same fold for long words: the tokens are a string of one character each, and a step merges
+    every place of the lowest rank at once, left to right, as pairs of a later rank can't come before it.
 
-    @F.pandas_udf("array<int>")
-    def encode(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import heapq
+    The work is the word's length times the number of different merges in it, not the length squared.
+    """
+    none = F.array().cast("array<int>")
+
+    def ranked(text: Column) -> Column:
+        chars = F.split(text, "")
+        at = lambda c: F.ascii(c) - FIRST_CHAR
+        two = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.struct(_rank_of(table, lit, at(a), at(b)).alias("r"), F.concat(a, b).alias("ab")))
+        return F.array_min(F.filter(F.when(F.size(chars) > 1, two), lambda x: x["r"].isNotNull()))
 
-        ranks = read_ranks(path)
+    def state(text: Column) -> Column:
+        return F.get(F.transform(F.array(text), lambda t: F.struct(t.alias("t"), ranked(t).alias("low"))), F.lit(0))
 
-        def one(word: str) -> list[int]:
-            raw = word.encode()
-            parts: list[bytes | None] = [raw[i : i + 1] for i in range(len(raw))]
-            nxt, prv = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
-            heap = [(ranks[raw[i : i + 2]], i, raw[i : i + 2]) for i in range(len(raw) - 1) if raw[i : i + 2] in ranks]
-            heapq.heapify(heap)
-            while heap:
-                _, i, both = heapq.heappop(heap)
-                j = nxt[i] if parts[i] is not None else len(raw)
-                if j >= len(raw) or parts[i] + parts[j] != both:
-                    continue
-                parts[i], parts[j], nxt[i] = both, None, nxt[j]
-                if nxt[j] < len(raw):
-                    prv[nxt[j]] = i
-                    if (m := both + parts[nxt[j]]) in ranks:
-                        heapq.heappush(heap, (ranks[m], i, m))
-                if prv[i] >= 0 and (m := parts[prv[i]] + both) in ranks:
-                    heapq.heappush(heap, (ranks[m], prv[i], m))
-            return [ranks[p] for p in parts if p is not None]
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(acc["low"].isNull(), acc).otherwise(state(F.replace(acc["t"], acc["low"]["ab"], F.get(lit["c"], acc["low"]["r"]))))
 
-        for s in words:
-            yield s.map(one)
+    raw = F.decode(word.cast("binary"), "ISO-8859-1")
+    start = F.array_join(F.transform(F.split(raw, ""), lambda c: F.get(lit["c"], F.get(lit["b"], F.ascii(c)))), "")
+    done = F.aggregate(F.sequence(F.lit(1), F.octet_length(word) - 1), state(start), step)
+    return F.when(F.octet_length(word) > 1, F.transform(F.split(done["t"], ""), lambda c: F.ascii(c) - FIRST_CHAR)).otherwise(none)
 
-    return encode
 
+def word_counts(texts: DataFrame, text: str) -> DataFrame:
+    """(word, n) of every distinct word of a text column with the number of texts that hold it."""
+    return texts.select(F.explode(F.array_distinct(words_of(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-def word_dictionary(texts: DataFrame, text: str, path: str) -> DataFrame:
-    """(word, ids) of every distinct word of a text column, each merged once."""
-    table = merge_table(path)
-    words = cut(texts.select(F.explode(F.array_distinct(words_of(text))).alias("word")).distinct())
-    words = words.withColumn("long", F.octet_length("word") > FOLD_BYTES)
-    short = words.where(~F.col("long")).select("word", fold_ids(F.col("word"), table).alias("ids"))
-    long = words.where("long").select("word", _long_words(path)("word").alias("ids"))
-    return short.unionByName(long)
 
+def frequent_words(counts: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
+    """The rows of ``counts`` down to the lowest class of frequency that keeps them at ``most`` or fewer.
 
-def _lookup(words: DataFrame, n: int):
-    """word -> ids as an expression over a literal of hashed buckets.
+    Classes are eighths of a doubling, so the histogram that the driver sees has a few hundred rows.
+    Words over PAIR_BYTES are never among them, which bounds the bytes as well.
+    """
+    short = counts.where(F.octet_length("word") <= PAIR_BYTES).withColumn("class", F.floor(8 * F.log2("n")).cast("int"))
+    kept, lowest = 0, 1 << 20
+    for cls, n in sorted(((r["class"], r["count"]) for r in short.groupBy("class").count().collect()), reverse=True):
+        kept += n
+        if kept > most:
+            break
+        lowest = cls
+    return short.where(F.col("class") >= lowest).drop("class")
+
+
+def _lookup(words: DataFrame, most: int = HEAD_WORDS):
+    """word -> ids (null for a word that isn't there) as an expression over a literal of hashed buckets.
 
     The buckets are written as JSON by the executors, under the number that the expression will
     compute, so the driver only puts them into a row.
     """
-    size = 1 << max(1, n).bit_length()
+    size = 1 << max(1, most).bit_length()
     slot = F.hash("word").bitwiseAND(F.lit(size - 1))
     entry = F.to_json(F.create_map("word", "ids"))
     filled = words.select(slot.alias("slot"), F.substr(entry, F.lit(2), F.length(entry) - 2).alias("entry")).groupBy("slot").agg(F.concat_ws(",", F.collect_list("entry")).alias("entry"))
     buckets = [""] * size
-    for batch in filled.toArrow().to_batches():
-        for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            buckets[at] = text
+    for at, text in filled.collect():
+        buckets[at] = text
     literal = _literal("[{" + "},{".join(buckets) + "}]", "array<map<string,array<int>>>")
-    del buckets
     return lambda w: F.try_element_at(F.get(literal, F.hash(w).bitwiseAND(F.lit(size - 1))), w)
 
 
-def encode(docs: DataFrame, key: str, text: str, path: str | None = None, count_only: bool = False, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
-    """(key, ids), or (key, n_tokens) with ``count_only``; one row for each row of ``docs``.
+def encode(docs: DataFrame, key: str, text: str, path: str | None = None, count_only: bool = False, head_words: int = HEAD_WORDS) -> DataFrame:
+    """(key, ids), or (key, n_tokens) with ``count_only``; one row for each row of ``docs``, repeated keys included.
 
-    The dictionary of distinct words is counted first. Up to ``dictionary_words`` it is a literal
-    of the plan, and no text is shuffled; beyond it the words are joined to the dictionary and
-    regrouped by ``key``, which must then be unique. Both ways give the same ids.
+    ``head_words`` bounds the literal of frequent words and changes no id: a word outside it is
+    folded in its text. Plans that hold literals of a vocabulary have no place in a description, so
+    ``spark.sql.maxPlanStringLength`` is set to 20,000 in the session.
     """
-    path = path or vocabulary_path()
-    # a table of ranks has no place in a plan's description
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "20000")
-    words = cut(word_dictionary(docs, text, path))
-    n = words.count()
-    if n <= dictionary_words:
-        find = _lookup(words, n)
-        if count_only:
-            out = F.aggregate(words_of(text), F.lit(0), lambda n, w: n + F.size(find(w)))
-            return docs.select(key, out.alias("n_tokens"))
-        return docs.select(key, F.flatten(F.transform(words_of(text), find)).alias("ids"))
-    pieces = docs.select(key, F.posexplode(words_of(text)).alias("pos", "word")).join(words, "word")
+    table = merge_table(path or vocabulary_path())
+    _short_descriptions(docs)
+    counts = cut(word_counts(docs, text))
+    find = _lookup(cut(frequent_words(counts, head_words).select("word", fold_ids(F.col("word"), table).alias("ids"))), head_words)
+    ids = lambda w: F.coalesce(find(w), fold_ids(w, table))
     if count_only:
-        got = pieces.groupBy(key).agg(F.sum(F.size("ids")).cast("int").alias("n_tokens"))
-        return docs.select(key).join(got, key, "left").select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
-    got = pieces.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return docs.select(key).join(got, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+        return docs.select(key, F.aggregate(words_of(text), F.lit(0), lambda n, w: n + F.size(ids(w))).alias("n_tokens"))
+    return docs.select(key, F.flatten(F.transform(words_of(text), ids)).alias("ids"))
+
+
+def _short_descriptions(df: DataFrame) -> None:
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "20000")
 
 
 def decode(encoded: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:
     """(key, text): the binary pieces of the ids, put together and read as UTF-8."""
     ranks = load_ranks(path or vocabulary_path())
-    encoded.sparkSession.conf.set("spark.sql.maxPlanStringLength", "20000")
+    _short_descriptions(encoded)
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()

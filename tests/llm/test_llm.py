@@ -13,13 +13,13 @@ def test_tokens_equal_the_library_on_hard_texts(spark):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(tokenize.vocabulary_path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    texts = ["", None, " ", "\n\n \t x", "a  b   c", "don't WE'LL it's", "안녕하세요 세계", "Привет, мир!", "naïve 𝑥 👩‍🏫", "x" * 300 + "=" * 500, "a b　c d", "<|endoftext|>", "12345678901234567890", "tab\tand\r\nline", LONG]
+    texts = ["", None, " ", "\n\n \t x", "a  b   c", "don't WE'LL it's", "안녕하세요 세계", "Привет, мир!", "naïve 𝑥 👩‍🏫", "x" * 300 + "=" * 500, "a b　c d", "<|endoftext|>", "12345678901234567890", "tab\tand\r\nline", LONG, "안녕하세요" * 90, "Donaudampfschifffahrtsgesellschaft" * 9, "." * 1001, " " * 777 + "x", "0123456789" * 40]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
-    for limit in (10**6, 0):  # the literal dictionary and the join
-        got = tokenize.encode(docs, "doc_id", "text", dictionary_words=limit)
+    for most in (10**5, 0):  # every word from the literal, every word folded in its text
+        got = tokenize.encode(docs, "doc_id", "text", head_words=most)
         assert {r.doc_id: r.ids for r in got.collect()} == want
-        n = tokenize.encode(docs, "doc_id", "text", count_only=True, dictionary_words=limit)
+        n = tokenize.encode(docs, "doc_id", "text", count_only=True, head_words=most)
         assert {r.doc_id: r.n_tokens for r in n.collect()} == {k: len(v) for k, v in want.items()}
     back = tokenize.decode(got, "doc_id")
     assert {r.doc_id: r.text for r in back.collect()} == {i: x or "" for i, x in enumerate(texts)}
