@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioweave.functions.unicode import nfkc
+
 # Control characters that count as blanks, and characters written otherwise for matching.
 BLANKS = r"[\x00\x01\x08\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\s]+"
 FOLDED = (("ﬁ", "fi"), ("ﬂ", "fl"), ("–", "-"), ("—", "-"), ("’", "'"), ("“", '"'), ("”", '"'))
@@ -56,27 +58,30 @@ def text_lines(text: Column | str) -> Column:
 
 
 def numbering_depth(text: Column | str) -> Column:
-    """Depth that a title's own numbering claims, null without numbering."""
+    """Depth that a title's own numbering claims, null without numbering.
+
+    A chapter, part or appendix with its number or letter is 1, dotted numbers are as deep as they
+    have parts, and a bare number is 1. Roman numerals are no numbering.
+    """
     t = normalized(text)
-    dotted = F.regexp_extract(t, r"^(\d+(?:\.\d+)+)", 1)
+    dotted = F.regexp_extract(t, r"(?U)^(\d+(?:\.\d+)+)\b", 1)
     return (
-        F.when(t.rlike(r"(?i)^(?:chapter|part)\s+(?:\d+|[ivxlc]+)\b"), 1)
-        .when(t.rlike(r"^제\s*\d+\s*[장편부]"), 1)
-        .when(t.rlike(r"(?i)^appendix\s+[a-z0-9]\b"), 1)
+        F.when(t.rlike(r"(?iU)^(?:(?:chapter|part)\s+\d+\b|제\s*\d+\s*장|appendix\s+[a-z]\b)"), 1)
         .when(dotted != "", F.regexp_count(dotted, F.lit(r"\.")) + 1)
-        .when(t.rlike(r"^\d+[.)]?\s+\S"), 1)
+        .when(t.rlike(r"(?U)^\d+\b"), 1)
     )
 
 
 def ocr_numbering_depth(text: Column | str) -> Column:
-    """Depth for OCR statistics: 0 for a bare number, 1 for a chapter word, -1 for none, else the number of parts."""
+    """Depth for OCR statistics: 0 for a bare number, 1 for a chapter word alone, -1 for none, else the number of parts."""
     t = normalized(text)
-    number = F.regexp_extract(t, r"^(\d+(?:\.\d+)*)", 1)
-    return F.when(is_numeric_only(t), 0).when(t.rlike(r"(?i)^(?:chapter|part)\s+\d+|^제\s*\d+\s*[장편부]"), 1).when(number == "", -1).otherwise(F.regexp_count(number, F.lit(r"\.")) + 1)
+    number = F.regexp_extract(t, r"(?U)^(\d+(?:\.\d+)*)\b", 1)
+    return F.when(is_numeric_only(t), 0).when(t.rlike(r"(?iU)^(?:chapter|part|appendix|제\s*\d+\s*장)\b"), 1).when(number == "", -1).otherwise(F.regexp_count(number, F.lit(r"\.")) + 1)
 
 
 def is_numeric_only(text: Column | str) -> Column:
-    return _c(text).rlike(r"^[\d\s.·\-]+$")
+    """Digits, blanks, dots and hyphens only, and not blank."""
+    return _c(text).rlike(r"(?U)^[\d\s.·\-]+$") & (normalized(text) != "")
 
 
 def title_shaped(text: Column | str, max_length: int = 160) -> Column:
@@ -94,12 +99,21 @@ def markdown_heading(title: Column, level: Column) -> Column:
     return F.concat(F.repeat(F.lit("#"), F.least(F.greatest(level, F.lit(1)), F.lit(6))), F.lit(" "), title)
 
 
+# Device names that no file may have.
+DEVICES = r"(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])$"
+
+
 def file_slug(title: Column | str) -> Column:
-    """A file name's middle part: word characters, dots and hyphens, at most 64."""
-    t = F.regexp_replace(_c(title), r"[^\p{L}\p{N}_.\-]+", "-")
-    t = F.regexp_replace(F.regexp_replace(t, "-{2,}", "-"), r"^[-.]+|[-.]+$", "")
-    t = F.substring(t, 1, 64)
-    return F.when(t.rlike(r"(?i)^(?:con|prn|aux|nul|com\d|lpt\d)(?:\.|$)"), F.concat(F.lit("_"), t)).otherwise(t)
+    """A file name's last part: word characters, dots and hyphens of the compatibility form, at most 64, ``untitled`` if none is left."""
+    t = F.regexp_replace(nfkc(_c(title)), r"(?U)[^\w.-]+", "-")
+    t = F.regexp_replace(F.regexp_replace(t, "-{2,}", "-"), r"^[ ._-]+|[ ._-]+$", "")
+    t = F.regexp_replace(F.substring(F.when(F.coalesce(t, F.lit("")) == "", "untitled").otherwise(t), 1, 64), r"[ .]+$", "")
+    return F.when(t.rlike(DEVICES), F.concat(F.lit("_"), t)).otherwise(t)
+
+
+def node_file_name(order: Column, level: Column, page: Column, title: Column | str) -> Column:
+    """Name of a node's file: its place, level, page and slug."""
+    return F.concat(F.format_string("%04d_L%d_p%04d_", order, level, page), file_slug(title), F.lit(".md"))
 
 
 def safe_file_name(name: Column | str) -> Column:
@@ -108,7 +122,8 @@ def safe_file_name(name: Column | str) -> Column:
 
 
 def wiki_link(target: Column, label: Column) -> Column:
-    plain = F.replace(F.replace(F.replace(label, F.lit("|"), F.lit("-")), F.lit("["), F.lit("(")), F.lit("]"), F.lit(")"))
+    """A link whose label has its backslashes, bars and closing brackets escaped."""
+    plain = F.replace(F.replace(F.replace(label, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("]"), F.lit("\\]"))
     return F.concat(F.lit("[["), target, F.lit("|"), plain, F.lit("]]"))
 
 

@@ -41,12 +41,31 @@ def mapped_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     return wanted.join(hit, ["book_id", "printed_page", "low", "high"], "left")
 
 
-def filled_pages(rows: DataFrame, group: str, order: str, page: str) -> DataFrame:
-    """``rows`` with ``inferred_page``: its own page, else the one before it in order, else the one after."""
-    w = Window.partitionBy(group).orderBy(order)
-    before = F.last(page, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(page, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("inferred_page", F.coalesce(page, before, after))
+def filled_pages(rows: DataFrame, group: list[str], order: str, page: str) -> DataFrame:
+    """``rows`` (with start_page and end_page of their chapter) with ``inferred_page``.
+
+    A page inside the chapter stands. The others, in order, lie half way (rounded up) between the page given to the row
+    before and the next one that stands; behind the last that stands they go on by one, at most to the chapter's end; before the
+    first that stands they begin one before it, at the chapter's start at the earliest. A chapter in which no page stands counts up from
+    its start. The distance d to the next standing page halves from row to row, so the k-th row of a run is d / 2^k before it: no fold is needed.
+    """
+    p, lo, hi = F.col(page), F.col("start_page"), F.col("end_page")
+    stands = F.coalesce(p.isNotNull() & (p > 0) & (lo.isNull() | (p >= lo)) & (hi.isNull() | (p <= hi)), F.lit(False))
+    w = Window.partitionBy(*group).orderBy(order)
+    near = rows.withColumn("__ok", F.when(stands, p)).withColumn("__n", F.row_number().over(w))
+    last = F.last(F.when(F.col("__ok").isNotNull(), F.struct("__ok", "__n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("__b", last).withColumn("__f", F.first("__ok", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    k = F.col("__n") - F.coalesce("__b.__n", F.lit(0))
+    before, after = F.col("__b.__ok"), F.col("__f")
+    halved = lambda d, times: F.floor(d / F.pow(F.lit(2.0), times))
+    head = F.greatest(lo, after - 1)
+    inferred = (
+        F.when(before.isNotNull() & after.isNotNull(), after - halved(after - before, k))
+        .when(before.isNotNull(), F.least(before + k, hi))
+        .when(after.isNotNull(), after - halved(after - head, k - 1))
+        .otherwise(F.least(lo + k - 1, hi))
+    )
+    return near.withColumn("inferred_page", F.coalesce("__ok", inferred).cast("int")).drop("__ok", "__n", "__b", "__f")
 
 
 def chapter_of_page(pages: DataFrame, chapters: DataFrame) -> DataFrame:

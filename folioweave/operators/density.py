@@ -61,44 +61,57 @@ def peak_cuts(values: np.ndarray, counts: np.ndarray, few: int = 8) -> tuple[lis
         return _midpoints(values), [float(v) for v in values]
     width = 1.06 * _deviation(values, counts) * counts.sum() ** -0.2
     if not width > 0:
-        return [], [float(values[0])]
+        return [], [_quantile(values, counts, 0.5)]
     grid = np.linspace(values[0] - 1, values[-1] + 1, 1024)
     d = _density(grid, values, counts, width)
     tops = np.flatnonzero((d[:-2] < d[1:-1]) & (d[1:-1] > d[2:])) + 1
+    if not len(tops):
+        return [], [_quantile(values, counts, 0.5)]
     return [float(grid[a + int(np.argmin(d[a : b + 1]))]) for a, b in zip(tops, tops[1:])], [float(grid[t]) for t in tops]
 
 
-def merge_sparse(values: np.ndarray, counts: np.ndarray, cuts: list[float], peaks: list[float], least: int) -> tuple[list[float], list[float]]:
-    """Tiers of fewer than ``least`` lines join the neighbour with the nearer peak, the left one on a tie."""
+def merge_sparse(values: np.ndarray, counts: np.ndarray, seen: np.ndarray, cuts: list[float], peaks: list[float], least: int) -> tuple[list[float], list[float]]:
+    """The sparsest tier of fewer than ``least`` lines joins the neighbour with the nearer peak, the lower one on a tie, until none is left.
+
+    Lines are counted anew under the cuts of every round; a tier without lines is no sparse one. Of equally sparse tiers the one
+    whose first line comes first (``seen``: each value's first place) goes first.
+    """
     cuts, peaks = list(cuts), list(peaks)
-    sizes = [int(counts[np.searchsorted(cuts, values, side="right") == k].sum()) for k in range(len(peaks))]
-    while len(peaks) > 1 and min(sizes) < least:
-        k = sizes.index(min(sizes))
-        left = abs(peaks[k] - peaks[k - 1]) if k else float("inf")
-        right = abs(peaks[k + 1] - peaks[k]) if k + 1 < len(peaks) else float("inf")
-        a = k - 1 if left <= right else k
+    while len(peaks) > 1:
+        tier = np.searchsorted(cuts, values, side="right")
+        there = [(counts[tier == k].sum(), seen[tier == k].min(), k) for k in range(len(peaks)) if (tier == k).any()]
+        thin = [t for t in there if t[0] < least]
+        if not thin:
+            break
+        k = min(thin)[2]
+        gap = np.diff(peaks)
+        a = k if k == 0 or (k < len(gap) and gap[k] < gap[k - 1]) else k - 1
         peaks[a : a + 2] = [(peaks[a] + peaks[a + 1]) / 2]
-        sizes[a : a + 2] = [sizes[a] + sizes[a + 1]]
         cuts = _midpoints(np.array(peaks))
     return cuts, peaks
 
 
-def _of_books(values: DataFrame, function) -> DataFrame:
-    """(book_id, cuts, peaks, raw_tiers): ``function(values, counts)`` of every book's histogram."""
+def _of_books(values: DataFrame, function, first: str | None = None) -> DataFrame:
+    """(book_id, cuts, peaks, raw_tiers): ``function(values, counts, seen)`` of every book's histogram.
+
+    ``first`` names a column that orders the rows; without it ``seen`` is zero throughout.
+    """
 
     def of_book(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
-        v, c = pdf["value"].to_numpy(float), pdf["count"].to_numpy(float)
-        cuts, peaks, raw = function(v, c)
+        seen = pdf["seen"].rank(method="dense").to_numpy(float)
+        cuts, peaks, raw = function(pdf["value"].to_numpy(float), pdf["count"].to_numpy(float), seen)
         return pd.DataFrame({"book_id": [pdf["book_id"].iloc[0]], "cuts": [cuts], "peaks": [peaks], "raw_tiers": [raw]})
 
-    return values.groupBy("book_id", "value").count().groupBy("book_id").applyInPandas(of_book, "book_id string, cuts array<double>, peaks array<double>, raw_tiers int")
+    place = F.min(first).cast("string") if first else F.lit("")
+    histogram = values.groupBy("book_id", "value").agg(F.count("*").alias("count"), place.alias("seen"))
+    return histogram.groupBy("book_id").applyInPandas(of_book, "book_id string, cuts array<double>, peaks array<double>, raw_tiers int")
 
 
 def font_cuts(lines: DataFrame) -> DataFrame:
     """Cuts between the font sizes of each book (robust valleys, nothing merged)."""
 
-    def f(v, c):
+    def f(v, c, _):
         cuts = robust_valleys(v, c)
         return cuts, [], len(cuts) + 1
 
@@ -106,15 +119,17 @@ def font_cuts(lines: DataFrame) -> DataFrame:
 
 
 def height_cuts(lines: DataFrame, min_tier_count: int = 5) -> DataFrame:
-    """Cuts and peaks of the line heights of each book, sparse tiers merged."""
+    """Cuts (to four places) and peaks of the positive line heights of each book, sparse tiers merged; ``lines`` in order of page, y0, x0, line_id."""
 
-    def f(v, c):
+    def f(v, c, seen):
         cuts, peaks = peak_cuts(v, c)
         raw = len(peaks)
-        cuts, peaks = merge_sparse(v, c, cuts, peaks, min_tier_count)
-        return cuts, peaks, raw
+        cuts, peaks = merge_sparse(v, c, seen, cuts, peaks, min_tier_count)
+        return [round(x, 4) for x in cuts], peaks, raw
 
-    return _of_books(lines.select("book_id", F.round("height", 2).alias("value")).where("value is not null"), f)
+    # a text that sorts as the place does
+    place = F.format_string("%09d %016.4f %016.4f %020d", F.col("pdf_page").cast("int"), F.col("y0") + 1e6, F.col("x0") + 1e6, F.col("line_id").cast("long"))
+    return _of_books(lines.where("height > 0").select("book_id", F.round("height", 2).alias("value"), place.alias("place")), f, "place")
 
 
 def gap_limit(gaps: DataFrame) -> DataFrame:
@@ -124,7 +139,7 @@ def gap_limit(gaps: DataFrame) -> DataFrame:
     gaps below Q3 + 1.5 IQR, or up to the largest of those.
     """
 
-    def f(v, c):
+    def f(v, c, _):
         middle = _quantile(v, c, 0.5)
         q1, q3 = _quantile(v, c, 0.25), _quantile(v, c, 0.75)
         core = v <= q3 + 1.5 * (q3 - q1)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioweave.functions import text as X
 from folioweave.functions.similarity import blocked_pairs, with_similarity
-
+from folioweave.functions.unicode import title_key
 
 
 def scored_pairs(gold: DataFrame, pred: DataFrame, tolerance: int = 1, threshold: float = 0.7) -> DataFrame:
@@ -65,8 +64,8 @@ def plan_difference(before: DataFrame, after: DataFrame, tolerance: int = 0, thr
 
 
 def node_set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(book_id, added, removed, common) nodes by (level, start page, title without case and odd blanks)."""
+    """(book_id, added, removed, common) nodes by (level, start page, title key); null levels and pages are equal to each other."""
     key = ["book_id", "level", "start_page", "k"]
-    x, y = (d.select("book_id", "level", "start_page", X.lowered("title").alias("k")).distinct() for d in (a, b))
-    full = x.withColumn("l", F.lit(1)).join(y.withColumn("r", F.lit(1)), key, "full")
-    return full.groupBy("book_id").agg(F.count_if(F.col("l").isNull()).alias("added"), F.count_if(F.col("r").isNull()).alias("removed"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common"))
+    sides = [d.select("book_id", "level", "start_page", title_key("title").alias("k")).distinct().withColumn("side", F.lit(n)) for n, d in ((1, a), (2, b))]
+    each = sides[0].unionByName(sides[1]).groupBy(*key).agg(F.sum("side").alias("s"))
+    return each.groupBy("book_id").agg(F.count_if(F.col("s") == 2).alias("added"), F.count_if(F.col("s") == 1).alias("removed"), F.count_if(F.col("s") == 3).alias("common"))

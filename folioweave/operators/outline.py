@@ -58,6 +58,19 @@ def parents(plan: DataFrame, tier: str = "level") -> DataFrame:
     return wide.withColumn("parent_ord", _of([F.when(F.col("__t") > t, F.col(f"__s{t}")) for t in range(1, depth + 1)] + [F.lit(None)], F.greatest)).select(*plan.columns, "parent_ord")
 
 
+def nearest_above(plan: DataFrame) -> DataFrame:
+    """(book_id, ord, above_ord): the nearest earlier item exactly one level up, null without one.
+
+    Every item asks under the level above its own and answers under its own, so a window holds two
+    levels of a book and no column depends on how deep the books are.
+    """
+    asks = plan.where("level > 1").select("book_id", (F.col("level") - 1).alias("k"), "ord", F.lit(None).cast("int").alias("own"))
+    answers = plan.select("book_id", F.col("level").alias("k"), "ord", F.col("ord").cast("int").alias("own"))
+    by = Window.partitionBy("book_id", "k").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asks.unionByName(answers).withColumn("above_ord", F.last("own", ignorenulls=True).over(by)).where("own is null")
+    return plan.select("book_id", "ord").join(asked.select("book_id", "ord", "above_ord"), ["book_id", "ord"], "left")
+
+
 def ranges(plan: DataFrame, totals: DataFrame, tier: str = "level") -> DataFrame:
     """``plan`` with ``start_page`` and ``end_page``: up to the page before the next item of its tier or a higher one.
 
@@ -100,10 +113,13 @@ def deepest_parent(pages: DataFrame, ranged: DataFrame) -> DataFrame:
 
 
 def insert_fallback(plan: DataFrame, extra: DataFrame, totals: DataFrame) -> DataFrame:
-    """The plan with further titles (book_id, pdf_page, y0, title, confidence), each one level below the range that holds its page."""
+    """The plan with further titles (book_id, pdf_page, y0, title, confidence), each one level below the range that holds its page.
+
+    A title whose page no range holds is left out; so a book without a plan gets none.
+    """
     order = Window.partitionBy("book_id").orderBy("pdf_page", "y0")
     late = deepest_parent(extra.withColumn("ord", F.row_number().over(order)), ranges(plan, totals))
-    late = late.select("book_id", "ord", "title", (F.coalesce("parent_level", F.lit(0)) + 1).cast("int").alias("level"), "pdf_page", F.lit("geometry_position_fallback").alias("source"), "confidence", F.lit(1).alias("tag"))
+    late = late.where("parent_ord is not null").select("book_id", "ord", "title", (F.col("parent_level") + 1).cast("int").alias("level"), "pdf_page", F.lit("geometry_position_fallback").alias("source"), "confidence", F.lit(1).alias("tag"))
     both = plan.select("book_id", "ord", "title", "level", "pdf_page", "source", "confidence", F.lit(0).alias("tag")).unionByName(late)
     by = Window.partitionBy("book_id").orderBy("pdf_page", "tag", "ord")
     return normalized_plan(both.withColumn("ord", F.row_number().over(by)).drop("tag"))
@@ -123,28 +139,40 @@ def validation(plan: DataFrame, totals: DataFrame) -> DataFrame:
     return seen.select("book_id", "ord", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in faults]))).alias("warning"))
 
 
+# Digits of every kind that make a title a mere number: decimal, raised, lowered, circled.
+DIGITS = r"^[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}]+$"
+
+
 def quality(outline: DataFrame, totals: DataFrame, config: OutlineQualityConfig = OutlineQualityConfig()) -> DataFrame:
-    """(book_id, items, low_quality, reasons, evidence) of stored outlines; books without one have no row."""
-    numeric = X.normalized("title").rlike(r"^\p{Nd}+$")
-    by_book = outline.groupBy("book_id").agg(
-        F.count("*").alias("items"), F.count_if(numeric).alias("numeric"), F.slice(F.transform(F.array_sort(F.collect_list(F.when(numeric, F.struct("ord", "title")))), lambda x: x["title"]), 1, 5).alias("evidence")
-    )
+    """(book_id, items, low_quality, reasons, evidence) of stored outlines; books without one have no row.
+
+    ``evidence`` has a sentence for each reason, in the same order; the mere numbers are the first five.
+    """
+    name = F.trim("title")
+    numeric = name.rlike(DIGITS)
+    numbers = F.slice(F.transform(F.array_sort(F.collect_list(F.when(numeric, F.struct(F.col("ord"), name.alias("t"))))), lambda x: x["t"]), 1, 5)
+    by_book = outline.groupBy("book_id").agg(F.count("*").alias("items"), F.count_if(numeric).alias("numeric"), numbers.alias("numbers"))
     joined = by_book.join(totals, "book_id", "left")
+    least, ratio = config.min_item_count, config.max_item_to_page_ratio
     rules = [
-        (F.col("items") < config.min_item_count, "too_few_items"),
-        ((F.col("total_pages") > 0) & (F.col("items") >= F.col("total_pages") * config.max_item_to_page_ratio), "too_many_items"),
-        (F.lit(config.flag_numeric_only_titles) & (F.col("numeric") > 0), "numeric_only_titles"),
+        (F.col("items") < least, "too_few_items", F.format_string(f"item_count=%d < min_item_count={least}", "items")),
+        ((F.col("total_pages") > 0) & (F.col("items") >= F.col("total_pages") * ratio), "near_one_bookmark_per_page", F.format_string(f"item_count=%d >= total_pages(%d) * max_item_to_page_ratio({ratio})", "items", "total_pages")),
+        (F.lit(config.flag_numeric_only_titles) & (F.col("numeric") > 0), "numeric_only_title", F.concat(F.lit("numeric_only_titles=['"), F.array_join("numbers", "', '"), F.lit("']"))),
     ]
-    return joined.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules]))).select("book_id", "items", (F.size("reasons") > 0).alias("low_quality"), "reasons", "evidence")
+    told = lambda k: F.array_compact(F.array(*[F.when(r[0], F.lit(r[k]) if k == 1 else r[k]) for r in rules]))
+    return joined.withColumn("reasons", told(1)).withColumn("evidence", told(2)).select("book_id", "items", (F.size("reasons") > 0).alias("low_quality"), "reasons", "evidence")
 
 
 def bookmark_sets(outline: DataFrame) -> DataFrame:
-    """(book_id, meaningful, clean, has_letter): two levels or more; and the stricter conditions of a reference outline."""
+    """(book_id, meaningful, clean, has_letter): two levels or more; and the stricter conditions of a reference outline.
+
+    Pages are compared with the page of the last item before that has one.
+    """
     by = Window.partitionBy("book_id").orderBy("ord")
-    keyword = F.lower("title").rlike(r"chapter|section|appendix|part") | F.col("title").rlike(r"\d+\.\d+")
-    rows = outline.withColumn("__p", F.lag("pdf_page").over(by))
-    agg = rows.groupBy("book_id").agg(
-        F.count("*").alias("n"), F.count_if(F.coalesce(X.normalized("title"), F.lit("")) == "").alias("blank"), F.count("pdf_page").alias("paged"),
+    keyword = F.lower("title").rlike(r"(?U)\b(?:chapter|section|appendix|part)\b|\d+\.\d+")
+    before = F.last("pdf_page", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    agg = outline.withColumn("__p", before).groupBy("book_id").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce("title", F.lit("")) == "").alias("blank"), F.count("pdf_page").alias("paged"),
         F.count_if(F.col("pdf_page") >= F.col("__p")).alias("rising"), F.count_if(F.col("pdf_page").isNotNull() & F.col("__p").isNotNull()).alias("steps"),
         F.count_distinct("level").alias("levels"), F.coalesce(F.bool_or(keyword), F.lit(False)).alias("keyword"), F.coalesce(F.bool_or(F.col("title").rlike(r"\p{L}")), F.lit(False)).alias("has_letter"),
     )
@@ -152,6 +180,11 @@ def bookmark_sets(outline: DataFrame) -> DataFrame:
     return agg.select("book_id", (F.col("levels") >= 2).alias("meaningful"), clean.alias("clean"), "has_letter")
 
 
+def skip_reasons(outline: DataFrame) -> DataFrame:
+    """(book_id, items): the books that a run which skips stored outlines leaves out, with how many items they have."""
+    return outline.groupBy("book_id").agg(F.count("*").alias("items"))
+
+
 def reuse_decision(quality_rows: DataFrame, warnings: DataFrame, skip_existing: bool = True, replace_low: bool = False) -> DataFrame:
     """(book_id, reuse, reason): whether a stored outline is used as it is, else why not, the graver reason first."""
     bad = warnings.select("book_id").distinct().withColumn("bad", F.lit(True))

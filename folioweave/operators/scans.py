@@ -75,19 +75,26 @@ def overlay_modes(elements: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def page_statistics(lines: DataFrame, top: float = 0.33) -> DataFrame:
-    """(book_id, pdf_page, lines, words, chars, height quantiles, large_lines, top_lines, numeric_lines, categories) of OCR lines.
+    """Lines, words, characters, heights, inserted sizes, large and numeric lines and element categories of each page of OCR lines.
 
-    A line is large from its page's 90th percentile of height on; quantiles are linear.
+    A line is large from its page's 90th percentile of height on, and ``top_region_large_line_count`` counts the large
+    ones in the upper third; quantiles are linear. Categories are counted by element, and one without is ``unknown``. Null
+    counts are 0; null heights and sizes take no part.
     """
-    h = F.col("height_pt")
-    page = Window.partitionBy("book_id", "pdf_page")
-    wide = lines.withColumn("p90", F.percentile(h, F.lit(0.9)).over(page))
-    cats = lines.where("category is not null").groupBy("book_id", "pdf_page", "category").count().groupBy("book_id", "pdf_page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "count")))).alias("category_counts"))
-    stats = wide.groupBy("book_id", "pdf_page").agg(
-        F.count("*").alias("lines"), F.sum(X.word_count("text")).alias("words"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"), F.percentile(h, F.lit(0.5)).alias("height_p50"), F.max("p90").alias("height_p90"), F.max(h).alias("height_max"),
-        F.count_if(h >= F.col("p90")).alias("large_lines"), F.count_if(F.col("y_center_ratio") <= top).alias("top_lines"), F.count_if(X.is_numeric_only("text")).alias("numeric_lines"),
+    h, key = F.col("height_pt"), ["book_id", "pdf_page"]
+    size = F.col("inserted_font_size_median_pt")
+    limits = lines.groupBy(*key).agg(F.percentile(h, F.lit(0.9)).alias("cut"))
+    wide = lines.join(limits, key)
+    elements = lines.groupBy(*key, "element_id").agg(F.max("category").alias("category")).select(*key, F.when(F.coalesce("category", F.lit("")) == "", "unknown").otherwise(F.col("category")).alias("category"))
+    cats = elements.groupBy(*key, "category").count().groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "count")))).alias("category_counts"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    stats = wide.groupBy(*key).agg(
+        F.count("*").alias("line_count"), total("word_count").alias("word_count"), total("char_count").alias("char_count"),
+        F.min(h).alias("line_height_min_pt"), *[F.percentile(h, F.lit(q)).alias(f"line_height_{n}_pt") for q, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90"))], F.max(h).alias("line_height_max_pt"),
+        F.percentile(size, F.lit(0.5)).alias("inserted_font_size_median_pt"), F.max(size).alias("inserted_font_size_max_pt"),
+        F.count_if(h >= F.col("cut")).alias("large_line_count"), F.count_if((h >= F.col("cut")) & (F.col("y_center_ratio") <= top)).alias("top_region_large_line_count"), F.count_if("is_numeric_only").alias("numeric_only_line_count"),
     )
-    return stats.join(cats, ["book_id", "pdf_page"], "left")
+    return stats.join(cats, key)
 
 
 def element_statistics(lines: DataFrame) -> DataFrame:

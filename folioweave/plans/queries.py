@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from folioweave.operators import outline as O
 from folioweave.operators import review as R
 from folioweave.operators import scans as S
 from folioweave.plans import pipeline as P
-from folioweave.runtime import load
+from folioweave.runtime import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,9 +79,28 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the size classes that the oracles can tell as well: three fixed bounds."""
-    size = F.col("font_size")
-    return _lines(spark, sf_dir).withColumn("tier", F.when(size >= 20, 1).when(size >= 14, 2).when(size >= 11, 3).otherwise(4))
+    """Lines with the size class that the density of their book's sizes puts them in."""
+    lines = _lines(spark, sf_dir)
+    return D.with_tier(lines, D.font_cuts(lines), "font_size")
+
+
+def _spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book's spacing of body lines, from the gaps between them."""
+    t = _tiered(spark, sf_dir)
+    return D.gap_limit(D.body_gaps(t, D.font_profile(t)))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.chunks(_lines(spark, sf_dir), _spacing(spark, sf_dir))
+
+
+def _candidates(spark: SparkSession, sf_dir: str, config: TypographyConfig = TypographyConfig()) -> DataFrame:
+    """Blocks of a candidate class with ``size_rank``, 1 for the largest class of their book that is one."""
+    lines = _lines(spark, sf_dir)
+    profile = D.font_profile(_tiered(spark, sf_dir))
+    found = G.font_candidates(_chunks(spark, sf_dir), profile, D.font_cuts(lines), config)
+    ranks = profile.select("book_id", F.posexplode("candidate_tiers").alias("n", "tier")).withColumn("size_rank", F.col("n") + 1).drop("n")
+    return found.join(ranks, ["book_id", "tier"]).withColumnRenamed("text", "title")
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +110,11 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(order)).select("book_id", "ord", "title", "level", "pdf_page", F.lit("existing_outline").alias("source"), F.lit(1.0).alias("confidence"))
 
 
-def _totals(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("book_id").agg((F.max("pdf_page") + 9).alias("total_pages"))
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, total_pages): the last page of each book that any of its lines or outline rows is on."""
+    rows = [load(spark, sf_dir, t, ["book_id", "pdf_page"]) for t in ("existing_outline", "style_lines", "ocr_line_stats", "visual_rows")]
+    each = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return each.where("book_id is not null and pdf_page is not null").groupBy("book_id").agg(F.max("pdf_page").alias("total_pages"))
 
 
 def _found(spark: SparkSession, sf_dir: str, arm: str) -> DataFrame:
@@ -102,13 +125,21 @@ def _found(spark: SparkSession, sf_dir: str, arm: str) -> DataFrame:
     return rows.select("book_id", F.row_number().over(order).alias("ord"), "title", F.col("predicted_level").alias("level"), "pdf_page", F.lit(arm).alias("source"), F.lit(0.8).alias("confidence"))
 
 
+ARMS = ("vision_pass", "stack_refine")
+
+
+def _of_arms(spark: SparkSession, sf_dir: str, of_arm) -> DataFrame:
+    """``of_arm(headings)`` of each arm's headings, one below the other, with ``arm``."""
+    return reduce(DataFrame.unionByName, [of_arm(_found(spark, sf_dir, a)).withColumn("arm", F.lit(a)) for a in ARMS])
+
+
 def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "ocr_line_stats", ["stat_id", "book_id", "pdf_page", "text"]).dropDuplicates(["stat_id"])
     return rows.groupBy("book_id", "pdf_page").agg(F.coalesce(F.sum(X.word_count("text")), F.lit(0)).alias("words"))
 
 
 def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["stat_id", "book_id", "pdf_page", "element_id", "category", "text", "x0_pt", "y0_pt", "x1_pt", "y1_pt", "height_pt", "y_center_ratio"]
+    columns = ["stat_id", "book_id", "pdf_page", "element_id", "category", "text", "char_count", "word_count", "is_numeric_only", "inserted_font_size_median_pt", "x0_pt", "y0_pt", "x1_pt", "y1_pt", "height_pt", "y_center_ratio"]
     return load(spark, sf_dir, "ocr_line_stats", columns).dropDuplicates(["stat_id"])
 
 
@@ -129,6 +160,12 @@ def position_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.infer(_lines(spark, sf_dir), TypographyConfig(heading_candidate_mode="position")).headings.select("book_id", "chunk_id", "title", "pdf_page", "tier")
 
 
+def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, pdf_page, text): the OCR lines of each page in reading order, white space normalised."""
+    lines = _ocr(spark, sf_dir).where("text is not null")
+    return lines.groupBy("book_id", "pdf_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stat_id", X.normalized("text").alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+
+
 @query
 def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("line_id", "text", X.word_count("text").alias("words"))
@@ -173,7 +210,12 @@ def margin_removed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def font_tier_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.font_cuts(_lines(spark, sf_dir)).select("book_id", "cuts")
+    return D.font_cuts(_lines(spark, sf_dir)).select("book_id", F.posexplode("cuts").alias("n", "cut")).select("book_id", "n", F.round("cut", 6).alias("cut"))
+
+
+@query
+def body_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spacing(spark, sf_dir).select("book_id", F.round("body_spacing", 6).alias("body_spacing"), F.round("continuation_upper", 6).alias("continuation_upper"))
 
 
 @query
@@ -204,23 +246,17 @@ def body_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    limit = lines.select("book_id").distinct().withColumn("continuation_upper", F.lit(14.0))
-    return G.chunks(lines, limit).select("book_id", "chunk_id", "pdf_page", "x0", "y0", "line_count", "font_size")
+    return _chunks(spark, sf_dir).select("book_id", "chunk_id", "pdf_page", "x0", "y0", "line_count", "font_size")
 
 
 @query
 def anchor_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    limit = lines.select("book_id").distinct().withColumn("continuation_upper", F.lit(14.0)).withColumn("body_spacing", F.lit(12.0))
-    return G.anchor_patterns(G.chunks(lines, limit.drop("body_spacing")), limit).select("book_id", "chunk_id", *[F.round(F.col("values")[k], 6).alias(f"v{k}") for k in range(4)])
+    return G.anchor_patterns(_chunks(spark, sf_dir), _spacing(spark, sf_dir)).select("book_id", "chunk_id", *[F.round(F.col("values")[k], 6).alias(f"v{k}") for k in range(4)])
 
 
 @query
 def position_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    limit = lines.select("book_id").distinct().withColumn("continuation_upper", F.lit(14.0)).withColumn("body_spacing", F.lit(12.0))
-    return G.cluster_statistics(G.position_clusters(G.anchor_patterns(G.chunks(lines, limit.drop("body_spacing")), limit)))
+    return G.cluster_statistics(G.position_clusters(G.anchor_patterns(_chunks(spark, sf_dir), _spacing(spark, sf_dir))))
 
 
 @query
@@ -236,8 +272,10 @@ def strongest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_cap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crowd = F.count("*").over(Window.partitionBy("book_id", "pdf_page"))
-    return _tiered(spark, sf_dir).where("tier <= 2").withColumn("n", crowd).where("n <= 2").select("book_id", "line_id")
+    """Headings by size on the pages that hold at most two of them."""
+    lines = _lines(spark, sf_dir)
+    config = TypographyConfig(heading_candidate_mode="font", max_headings_per_page=2)
+    return G.headings(_chunks(spark, sf_dir), D.font_profile(_tiered(spark, sf_dir)), D.font_cuts(lines), _spacing(spark, sf_dir), config).select("book_id", "chunk_id", "tier")
 
 
 @query
@@ -253,27 +291,25 @@ def plan_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def plan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return O.ranges(p, _totals(p)).select("book_id", "ord", "start_page", "end_page")
+    return O.ranges(p, _totals(spark, sf_dir)).select("book_id", "ord", "start_page", "end_page")
 
 
 @query
 def plan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return O.validation(p, _totals(p))
+    return O.validation(p, _totals(spark, sf_dir))
 
 
 @query
 def deepest_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _plan(spark, sf_dir)
-    pages = _found(spark, sf_dir, "vision_pass").select("book_id", "pdf_page").distinct()
-    return O.deepest_parent(pages, O.ranges(p, _totals(p)))
+    ranged = O.ranges(_plan(spark, sf_dir), _totals(spark, sf_dir))
+    return _of_arms(spark, sf_dir, lambda found: O.deepest_parent(found.select("book_id", "pdf_page").distinct(), ranged))
 
 
 @query
 def outline_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _plan(spark, sf_dir)
-    q = O.quality(p, _totals(p), OutlineQualityConfig(max_item_to_page_ratio=0.2))
-    return q.select("book_id", "items", "low_quality", F.array_join("reasons", "|").alias("reasons"))
+    q = O.quality(_plan(spark, sf_dir), _totals(spark, sf_dir), OutlineQualityConfig(max_item_to_page_ratio=0.2))
+    return q.select("book_id", "items", "low_quality", F.array_join("reasons", "|").alias("reasons"), F.array_join("evidence", "|").alias("evidence"))
 
 
 @query
@@ -284,44 +320,44 @@ def clean_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def outline_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    t = _totals(p)
+    t = _totals(spark, sf_dir)
     return O.reuse_decision(O.quality(p, t, OutlineQualityConfig(max_item_to_page_ratio=0.2)), O.validation(p, t), replace_low=True)
 
 
 @query
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return E.graph_nodes(p, _totals(p)).drop("title", "ord")
+    return E.graph_nodes(p, _totals(spark, sf_dir)).drop("title", "ord", "source", "confidence")
 
 
 @query
 def page_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return E.ownership(E.graph_nodes(p, _totals(p)))
+    return E.ownership(E.graph_nodes(p, _totals(spark, sf_dir)))
 
 
 @query
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return E.coverage(E.graph_nodes(p, _totals(p), "inclusive"), _totals(p), _page_words(spark, sf_dir))
+    return E.coverage(E.graph_nodes(p, _totals(spark, sf_dir), "inclusive"), _totals(spark, sf_dir), _page_words(spark, sf_dir))
 
 
 @query
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return E.split_segments(p, _totals(p), _page_words(spark, sf_dir))
+    return E.split_segments(p, _totals(spark, sf_dir), _page_words(spark, sf_dir))
 
 
 @query
 def split_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return E.split_statistics(E.split_segments(p, _totals(p), _page_words(spark, sf_dir)), 300)
+    return E.split_statistics(E.split_segments(p, _totals(spark, sf_dir), _page_words(spark, sf_dir)), 300)
 
 
 @query
 def split_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return E.split_level(E.split_segments(p, _totals(p), _page_words(spark, sf_dir)), MarkdownSplitConfig(max_words=300))
+    return E.split_level(E.split_segments(p, _totals(spark, sf_dir), _page_words(spark, sf_dir)), MarkdownSplitConfig(max_words=300))
 
 
 @query
@@ -331,22 +367,41 @@ def ancestor_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def node_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _plan(spark, sf_dir)
-    texts = _ocr(spark, sf_dir).where("text is not null").groupBy("book_id", "pdf_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stat_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return E.node_markdown(E.graph_nodes(p, _totals(p)), texts)
+    nodes = E.graph_nodes(_plan(spark, sf_dir), _totals(spark, sf_dir))
+    return E.node_markdown(nodes, _page_texts(spark, sf_dir)).drop("ord", "children_ids")
+
+
+def _split_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each book's split at the level that 300 words ask for, as nodes."""
+    p = O.normalized_plan(_plan(spark, sf_dir))
+    totals = _totals(spark, sf_dir)
+    level = E.split_level(E.split_segments(p, totals, _page_words(spark, sf_dir)), MarkdownSplitConfig(max_words=300))
+    return E.split_nodes(E.split_documents(p, totals, _page_texts(spark, sf_dir), level))
+
+
+@query
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, ranges, words and text of the documents of every book's split."""
+    return _split_nodes(spark, sf_dir).select("book_id", "node_id", "ord", "level", "content_start_page", "content_end_page", "parent_id", "previous_id", "next_id", F.array_join("contained_ids", "|").alias("contained_ids"), "word_count", F.md5("content_markdown").alias("content_md5"), F.length("content_markdown").alias("content_length"))
+
+
+@query
+def split_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the split."""
+    return E.split_markdown(_split_nodes(spark, sf_dir)).drop("ord", "children_ids")
 
 
 @query
 def toc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return E.toc_markdown(E.graph_nodes(p, _totals(p)))
+    return E.toc_markdown(E.graph_nodes(p, _totals(spark, sf_dir)))
 
 
 @query
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    nodes = E.graph_nodes(p, _totals(p))
-    return E.manifest(nodes, E.coverage(nodes, _totals(p), _page_words(spark, sf_dir)))
+    nodes = E.graph_nodes(p, _totals(spark, sf_dir))
+    return E.manifest(nodes, E.coverage(nodes, _totals(spark, sf_dir), _page_words(spark, sf_dir)))
 
 
 @query
@@ -357,14 +412,15 @@ def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = V.scored_pairs(_plan(spark, sf_dir), _found(spark, sf_dir, "vision_pass"))
-    return V.greedy_matches(pairs).select("book_id", "gold_ord", "pred_ord", F.round("similarity", 6).alias("similarity"))
+    gold = _plan(spark, sf_dir)
+    matched = _of_arms(spark, sf_dir, lambda found: V.greedy_matches(V.scored_pairs(gold, found)))
+    return matched.select("arm", "book_id", "gold_ord", "pred_ord", F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, pred = _plan(spark, sf_dir), _found(spark, sf_dir, "vision_pass")
-    return V.metrics(gold, pred, V.greedy_matches(V.scored_pairs(gold, pred)))
+    gold = _plan(spark, sf_dir)
+    return _of_arms(spark, sf_dir, lambda found: V.metrics(gold, found, V.greedy_matches(V.scored_pairs(gold, found))))
 
 
 @query
@@ -376,9 +432,13 @@ def plan_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs near in page whose title words overlap by more than half."""
     a = _plan(spark, sf_dir).select("book_id", F.col("ord").alias("a_ord"), F.col("pdf_page").alias("a_page"), X.match_key("title").alias("ka"))
-    b = _found(spark, sf_dir, "vision_pass").select("book_id", F.col("ord").alias("b_ord"), F.col("pdf_page").alias("b_page"), X.match_key("title").alias("kb"))
-    pairs = blocked_pairs(a, b, ["book_id"], "a_page", "b_page", 1).withColumn("dice", F.round(X.token_dice(F.col("ka"), F.col("kb")), 6))
-    return pairs.where("dice > 0.5").select("book_id", "a_ord", "b_ord", "dice")
+
+    def near(found: DataFrame) -> DataFrame:
+        b = found.select("book_id", F.col("ord").alias("b_ord"), F.col("pdf_page").alias("b_page"), X.match_key("title").alias("kb"))
+        pairs = blocked_pairs(a, b, ["book_id"], "a_page", "b_page", 1).withColumn("dice", F.round(X.token_dice(F.col("ka"), F.col("kb")), 6))
+        return pairs.where("dice > 0.5").select("book_id", "a_ord", "b_ord", "dice")
+
+    return _of_arms(spark, sf_dir, near)
 
 
 @query
@@ -390,7 +450,9 @@ def node_set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
     per_page = _ocr(spark, sf_dir).groupBy("book_id", "pdf_page").agg(F.count("*").alias("lines"))
-    return R.attention(p, per_page, _found(spark, sf_dir, "vision_pass"))
+    # an item's candidates are the headings of both arms
+    found = _of_arms(spark, sf_dir, lambda found: found)
+    return R.attention(p, per_page, found)
 
 
 @query
@@ -406,14 +468,14 @@ def review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    s = R.summary(_reviewed(spark, sf_dir), _totals(p))
+    s = R.summary(_reviewed(spark, sf_dir), _totals(spark, sf_dir))
     return s.select("book_id", "items", "attention_items", "attention_ratio", "items_per_page")
 
 
 @query
 def density_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return R.density(p, _totals(p))
+    return R.density(p, _totals(spark, sf_dir))
 
 
 def _graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,8 +506,7 @@ def title_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tiered(spark, sf_dir)
-    return R.sweep(t.where("tier <= 3").select("book_id", "pdf_page", F.col("text").alias("title"), F.col("tier").alias("size_rank")), P.page_totals(t))
+    return R.sweep(_candidates(spark, sf_dir), P.page_totals(_lines(spark, sf_dir)))
 
 
 @query
@@ -453,14 +514,21 @@ def knob_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir)
 
 
+@query
+def plausible_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings that give a sensible number of headings."""
+    return R.plausible_settings(_sweep(spark, sf_dir)).select("book_id", *R.KNOBS, "candidate_count")
+
+
 @query
 def knob_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.knob_direction(_sweep(spark, sf_dir), "size_class_depth").unionByName(R.knob_direction(_sweep(spark, sf_dir), "min_words"))
+    swept = cut(_sweep(spark, sf_dir))
+    return reduce(DataFrame.unionByName, [R.knob_direction(swept, k) for k in R.KNOBS])
 
 
 @query
 def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.sampled_pages(_totals(_plan(spark, sf_dir)))
+    return S.sampled_pages(_totals(spark, sf_dir))
 
 
 @query
@@ -490,8 +558,9 @@ def contents_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inferred_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = load(spark, sf_dir, "subsection_report", ["sub_id", "report_id", "page"]).dropDuplicates(["sub_id"])
-    return T.filled_pages(r, "report_id", "sub_id", "page").select("sub_id", "inferred_page")
+    """Every contents row's page, taken from its neighbours in the chapter where it has none that the chapter holds."""
+    r = load(spark, sf_dir, "subsection_report", ["sub_id", "report_id", "chapter", "start_page", "end_page", "page"]).dropDuplicates(["sub_id"])
+    return T.filled_pages(r, ["report_id", "chapter"], "sub_id", "page").select("sub_id", "inferred_page")
 
 
 @query
