@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioweave.config import TypographyConfig
+from folioweave.functions import folds
 from folioweave.functions import text as X
 
 LINE = ["book_id", "line_id", "pdf_page", "text", "x0", "y0", "x1", "y1", "page_width", "page_height", "font_size", "height", "is_bold", "font_names"]
-SPAN_LINE = "book_id string, pdf_page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, height double, is_bold boolean, font_names array<string>"
 
 
 def line_rows(style_lines: DataFrame) -> DataFrame:
@@ -25,37 +24,32 @@ def line_rows(style_lines: DataFrame) -> DataFrame:
 def spans_to_lines(spans: DataFrame, config: TypographyConfig = TypographyConfig()) -> DataFrame:
     """Lines from positioned spans, page by page.
 
-    Spans with content, in order of (centre, x0), join the current line while their centre is
-    within the tolerance of the line's running median centre; the tolerance is 0.55 of its median
-    height, at least 1.5. A page is the unit of work, however large its book is.
+    Spans with content, in order of (centre, x0), belong to the line before them while their centre is
+    within a share of the line's median height of its median centre (heights count as 1 at least, the share as 1.5 points).
+    A page's spans are parted where a centre lies beyond what the tallest span of the page could reach, and only
+    the spans between two such places are folded in order.
     """
     bold = ((F.col("flags").bitwiseAND(F.lit(16))) != 0) | F.lower("font").contains("bold")
     clean = spans.withColumn("text", X.normalized("text")).where(X.has_content("text")).withColumn("bold", F.coalesce(bold, F.lit(False)))
-    ratio = config.line_y_tolerance_ratio
-
-    def of_page(pdf: pd.DataFrame) -> pd.DataFrame:
-        from statistics import median
-
-        pdf = pdf.assign(c=(pdf.y0 + pdf.y1) / 2, h=(pdf.y1 - pdf.y0).clip(lower=0)).sort_values(["c", "x0", "span_seq"], kind="stable")
-        groups: list[list] = []
-        for s in pdf.itertuples():
-            if groups:
-                now = groups[-1]
-                tolerance = max(1.5, max(median(x.h for x in now), 1.0) * ratio)
-                if abs(s.c - median(x.c for x in now)) <= tolerance:
-                    now.append(s)
-                    continue
-            groups.append([s])
-        out = []
-        for n, g in enumerate(groups, 1):
-            g = sorted(g, key=lambda s: s.x0)
-            out.append((
-                g[0].book_id, g[0].pdf_page, n, " ".join(s.text for s in g), round(min(s.x0 for s in g), 2), round(min(s.y0 for s in g), 2), round(max(s.x1 for s in g), 2), round(max(s.y1 for s in g), 2),
-                round(float(median(s.size for s in g)), 2), round(float(median(s.h for s in g)), 2), any(s.bold for s in g), sorted({s.font for s in g if s.font}),
-            ))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SPAN_LINE.split(", ")])
-
-    return clean.groupBy("book_id", "pdf_page").applyInPandas(of_page, SPAN_LINE)
+    clean = clean.withColumn("c", (F.col("y0") + F.col("y1")) / 2).withColumn("h", F.greatest(F.lit(0.0), F.col("y1") - F.col("y0")))
+    reach = lambda h: F.greatest(F.lit(1.5), F.greatest(h, F.lit(1.0)) * config.line_y_tolerance_ratio)
+    by = Window.partitionBy("book_id", "pdf_page").orderBy("c", "x0", "span_seq")
+    apart = F.coalesce(F.col("c") - F.lag("c").over(by) > reach(F.max("h").over(Window.partitionBy("book_id", "pdf_page"))), F.lit(True))
+    runs = clean.withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(by))
+    row = F.struct("n", "c", "h", "x0", "y0", "x1", "y1", "size", "text", "bold", "font")
+    kind = runs.select(row.alias("r")).schema["r"].dataType.simpleString()
+    fits = lambda g, s: F.abs(s["c"] - folds.median(folds.members(g, "c"))) <= reach(folds.median(folds.members(g, "h")))
+    lines = runs.groupBy("book_id", "pdf_page", "run").agg(F.array_sort(F.collect_list(row)).alias("s")).select("book_id", "pdf_page", F.explode(folds.grouped(F.col("s"), kind, fits)).alias("g"))
+    of = lambda k: folds.members(F.col("g"), k)
+    across = F.array_sort(F.transform("g", lambda s: F.struct(s["x0"].alias("x"), s["n"].alias("n"), s["text"].alias("t"))))
+    two = lambda c, name: F.round(c, 2).alias(name)
+    order = Window.partitionBy("book_id", "pdf_page").orderBy(F.col("g")[0]["n"])
+    return lines.select(
+        "book_id", "pdf_page", F.row_number().over(order).alias("line_no"), F.array_join(F.transform(across, lambda x: x["t"]), " ").alias("text"),
+        two(folds.low(of("x0")), "x0"), two(folds.low(of("y0")), "y0"), two(folds.high(of("x1")), "x1"), two(folds.high(of("y1")), "y1"),
+        two(folds.median(of("size")), "font_size"), two(folds.median(of("h")), "height"), F.exists("g", lambda s: s["bold"]).alias("is_bold"),
+        F.array_sort(F.array_distinct(F.filter(of("font"), lambda f: f != ""))).alias("font_names"),
+    )
 
 
 def center_ratio() -> Column:
@@ -105,76 +99,77 @@ def without_margins(lines: DataFrame, config: TypographyConfig = TypographyConfi
     return kept.join(bad, ["book_id", "line_id"], "left_anti").select(*lines.columns)
 
 
+_ROW = ["y0", "x0", "line_id", "x1", "y1", "text", "font_size", "height", "is_bold", "font_names", "page_width", "page_height"]
+
+
+def _joined(groups: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Lines of groups (an array ``g`` of rows in order): the first one's id, the common box, sizes by their median, texts from left to right."""
+    g = F.col("g")
+    of = lambda k: folds.members(g, k)
+    across = F.array_sort(F.transform(g, lambda r: F.struct(r["x0"].alias("x"), r["y0"].alias("y"), r["line_id"].alias("i"), r["text"].alias("t"))))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform(g, lambda r: F.coalesce(r["font_names"], F.array().cast("array<string>"))))))
+    one = F.size(g) == 1
+    made = {
+        "line_id": of("line_id")[0], "text": F.when(one, of("text")[0]).otherwise(X.normalized(F.array_join(F.transform(across, lambda x: x["t"]), " "))),
+        "x0": folds.low(of("x0")), "y0": folds.low(of("y0")), "x1": folds.high(of("x1")), "y1": folds.high(of("y1")), "page_width": of("page_width")[0], "page_height": of("page_height")[0],
+        "font_size": folds.median(of("font_size")), "height": folds.median(of("height")), "is_bold": F.when(one, of("is_bold")[0]).otherwise(F.exists(g, lambda r: F.coalesce(r["is_bold"], F.lit(False)))), "font_names": F.when(one, of("font_names")[0]).otherwise(names),
+    }
+    return groups.select(*[made[c].alias(c) if c in made else F.col(c) for c in [*LINE, *extra]])
+
+
 def merge_print_fragments(lines: DataFrame) -> DataFrame:
     """Pieces of one printed line put together: they overlap in height and not in width.
 
     In order of (y0, x0) a line joins the latest group on its page that it overlaps in height
-    while lying beside every member. Pages without any such pair pass by the fold.
+    while lying beside every member. A line below all lines before it can join none of them, so a page
+    falls into runs of lines that overlap in height, and a run of one line passes by the fold.
     """
     by = Window.partitionBy("book_id", "pdf_page").orderBy("y0", "x0", "line_id")
-    tall = F.max("y1").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = lines.withColumn("near", F.coalesce(tall > F.col("y0"), F.lit(False)))
-    pages = flagged.groupBy("book_id", "pdf_page").agg(F.max("near").alias("any")).where("any").select("book_id", "pdf_page")
-    rest = lines.join(pages, ["book_id", "pdf_page"], "left_anti")
-    kind = lines.select(*LINE).schema
-
-    def of_page(pdf: pd.DataFrame) -> pd.DataFrame:
-        from statistics import median
-
-        groups: list[list] = []
-        for line in pdf.sort_values(["y0", "x0", "line_id"], kind="stable").to_dict("records"):
-            for group in reversed(groups):
-                low, high = min(g["y0"] for g in group), max(g["y1"] for g in group)
-                if min(line["y1"], high) > max(line["y0"], low) and all(line["x1"] <= g["x0"] or line["x0"] >= g["x1"] for g in group):
-                    group.append(line)
-                    break
-            else:
-                groups.append([line])
-        out = []
-        for group in groups:
-            if len(group) == 1:
-                out.append(group[0])
-                continue
-            group.sort(key=lambda g: g["x0"])
-            out.append(group[0] | {
-                "text": " ".join(" ".join(g["text"] for g in group).split()),
-                "x0": min(g["x0"] for g in group), "y0": min(g["y0"] for g in group), "x1": max(g["x1"] for g in group), "y1": max(g["y1"] for g in group),
-                "font_size": float(median(g["font_size"] for g in group)), "height": float(median(g["height"] for g in group)),
-                "is_bold": any(bool(g["is_bold"]) for g in group), "font_names": sorted({n for g in group if g["font_names"] is not None for n in g["font_names"]}),
-            })
-        return pd.DataFrame(out, columns=[f.name for f in kind])
-
-    merged = lines.select(*LINE).join(pages, ["book_id", "pdf_page"]).select(*LINE).groupBy("book_id", "pdf_page").applyInPandas(of_page, kind)
-    return rest.select(*LINE).unionByName(merged)
+    below = F.coalesce(F.max("y1").over(by.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("y0"), F.lit(True))
+    runs = lines.select(*LINE).withColumn("below", below).withColumn("run", F.sum(F.col("below").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    row = F.struct(*_ROW)
+    kind = runs.select(row.alias("r")).schema["r"].dataType.simpleString()
+
+    def fits(g: Column, r: Column) -> Column:
+        over = F.least(r["y1"], folds.high(folds.members(g, "y1"))) > F.greatest(r["y0"], folds.low(folds.members(g, "y0")))
+        return over & F.forall(g, lambda m: (r["x1"] <= m["x0"]) | (r["x0"] >= m["x1"]))
+
+    rows = F.array_sort(F.collect_list(row), lambda a, b: _before(a, b))
+    merged = runs.groupBy("book_id", "pdf_page", "run").agg(rows.alias("rows"))
+    return _joined(merged.select("book_id", "pdf_page", F.explode(F.when(F.size("rows") == 1, F.array("rows")).otherwise(folds.grouped(F.col("rows"), kind, fits, latest_only=False))).alias("g")))
+
+
+def _before(a: Column, b: Column) -> Column:
+    """Order of rows by y0, x0 and id."""
+    key = lambda r: F.struct(r["y0"].alias("y"), r["x0"].alias("x"), r["line_id"].alias("i"))
+    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
 
 
 def merge_same_tier_lines(lines: DataFrame, config: TypographyConfig = TypographyConfig()) -> DataFrame:
     """Neighbouring lines of one font tier and page joined while their gap is small (the older heading path).
 
-    ``lines`` has a ``tier`` column. The gap is measured from the joined box, so a page is folded in order.
+    ``lines`` has a ``tier`` column. A line joins what was put together before it if it lies no farther below its foot
+    than a share of the larger height; it may overlap it. Sizes and heights are those of the
+    joined line and the next one in the middle, to two places, at every step. A change of tier parts a page into runs.
     """
-    kind = lines.select(*LINE, "tier").schema
-    gap = config.heading_merge_gap_ratio
-
-    def of_page(pdf: pd.DataFrame) -> pd.DataFrame:
-        from statistics import median
-
-        groups: list[list[dict]] = []
-        for line in pdf.sort_values(["y0", "x0", "line_id"], kind="stable").to_dict("records"):
-            if groups:
-                g = groups[-1]
-                bottom, height = max(m["y1"] for m in g), max(median(m["height"] for m in g), line["height"])
-                if g[-1]["tier"] == line["tier"] and 0 <= line["y0"] - bottom <= height * gap:
-                    g.append(line)
-                    continue
-            groups.append([line])
-        out = [
-            g[0] | {
-                "text": " ".join(m["text"] for m in g), "x0": min(m["x0"] for m in g), "x1": max(m["x1"] for m in g), "y1": max(m["y1"] for m in g),
-                "font_size": float(median(m["font_size"] for m in g)), "height": float(median(m["height"] for m in g)), "is_bold": any(bool(m["is_bold"]) for m in g),
-            }
-            for g in groups
-        ]
-        return pd.DataFrame(out, columns=[f.name for f in kind])
-
-    return lines.select(*LINE, "tier").groupBy("book_id", "pdf_page").applyInPandas(of_page, kind)
+    by = Window.partitionBy("book_id", "pdf_page").orderBy("y0", "x0", "line_id")
+    changed = F.coalesce(F.lag("tier").over(by) != F.col("tier"), F.lit(True))
+    runs = lines.select(*LINE, "tier").withColumn("changed", changed).withColumn("run", F.sum(F.col("changed").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    row = F.struct(*_ROW, F.col("y1").alias("foot"), F.col("height").alias("tall"), F.col("font_size").alias("sized"))
+    kind = runs.select(row.alias("r")).schema["r"].dataType.simpleString()
+    mid = lambda a, b: F.round((a + b) / 2, 2)
+
+    # every row keeps what was put together up to it: foot, tall and sized of the last one stand for the joined line
+    def put(groups: Column, r: Column) -> Column:
+        last = F.element_at(groups, -1)
+        end = F.element_at(last, -1)
+        joins = (F.size(groups) > 0) & F.coalesce(r["y0"] - end["foot"] <= F.greatest(end["tall"], r["height"]) * config.heading_merge_gap_ratio, F.lit(False))
+        carried = r.withField("foot", F.greatest(end["foot"], r["y1"])).withField("tall", mid(end["tall"], r["height"])).withField("sized", mid(end["sized"], r["font_size"]))
+        return F.when(joins, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(F.concat(last, F.array(carried))))).otherwise(F.concat(groups, F.array(F.array(r))))
+
+    rows = F.array_sort(F.collect_list(row), lambda a, b: _before(a, b))
+    folded = runs.groupBy("book_id", "pdf_page", "run", "tier").agg(rows.alias("rows")).select("book_id", "pdf_page", "tier", F.explode(F.aggregate("rows", F.array().cast(f"array<array<{kind}>>"), put)).alias("g"))
+    end = F.element_at("g", -1)
+    texts = X.normalized(F.array_join(F.transform("g", lambda r: r["text"]), " "))
+    sized = folded.withColumn("__s", end["sized"]).withColumn("__h", end["tall"]).withColumn("__t", texts)
+    return _joined(sized, ("tier", "__s", "__h", "__t")).withColumn("font_size", F.col("__s")).withColumn("height", F.col("__h")).withColumn("text", F.col("__t")).select(*LINE, "tier")

@@ -183,6 +183,13 @@ sp as (select gq.book_id, mid as body_spacing, coalesce((select min(cut) from sv
 ORACLE["font_tier_cuts"] = _LINES + "select book_id, (row_number() over (partition by book_id order by cut) - 1)::int as n, round(cut, 6) as cut from fv"
 ORACLE["body_spacing"] = _TIERS + _SPACING + "select book_id, round(body_spacing, 6) as body_spacing, round(continuation_upper, 6) as continuation_upper from sp"
 
+_BPE = _LINES + """
+, mode as (select book_id, arg_max(tier, n * 1000 + tier) as body_tier from (select book_id, tier, count(*) as n from t group by all) group by all),
+bl as (select t.*, y0 - lag(y0) over w as dy, greatest(height, lag(height) over w, 1e-6) as hh from t join mode using (book_id) where tier >= body_tier window w as (partition by book_id, pdf_page order by y0, x0, line_id)),
+rs as (select book_id, pdf_page, dy / hh as gap from bl where dy > 0)
+"""
+ORACLE["bpe_body"] = _BPE + "select mode.book_id, body_tier, coalesce((select quantile_cont(gap, 0.5) from rs where rs.book_id = mode.book_id), 1.0) as book_spacing from mode"
+ORACLE["bpe_page_spacing"] = _BPE + "select book_id, pdf_page, quantile_cont(gap, 0.5) as page_spacing from rs group by all"
 _CHUNKS = _TIERS + _SPACING + """
 , c0 as (select l.*, case when y0 - lag(y0) over w <= coalesce(continuation_upper, 1.0) then 0 else 1 end as new, row_number() over w as n from l left join sp using (book_id) window w as (partition by book_id, pdf_page order by y0, x0, line_id)),
 c1 as (select *, sum(new) over (partition by book_id, pdf_page order by n) as part from c0),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioweave.config import MarkdownSplitConfig, OutlineQualityConfig, TypographyConfig
 from folioweave.functions import text as X
 from folioweave.functions.similarity import blocked_pairs
+from folioweave.operators import bpe as B
 from folioweave.operators import contents as T
 from folioweave.operators import density as D
 from folioweave.operators import evaluation as V
@@ -254,6 +255,33 @@ def anchor_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.anchor_patterns(_chunks(spark, sf_dir), _spacing(spark, sf_dir)).select("book_id", "chunk_id", *[F.round(F.col("values")[k], 6).alias(f"v{k}") for k in range(4)])
 
 
+@query
+def bpe_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book's body class by count, and the relative spacing of its body lines."""
+    rows = B.flagged(_tiered(spark, sf_dir))
+    _, book = B.body_spacing(rows)
+    return B.body_tier(_tiered(spark, sf_dir)).join(book, "book_id", "left").select("book_id", "body_tier", F.coalesce("book_spacing", F.lit(1.0)).alias("book_spacing"))
+
+
+@query
+def bpe_page_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page, _ = B.body_spacing(B.flagged(_tiered(spark, sf_dir)))
+    return page
+
+
+@query
+def bpe_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings by merged pairs of size classes; pairs count from two on, as these books are short."""
+    return B.bpe_headings(_tiered(spark, sf_dir), TypographyConfig(bpe_min_pair_count=2)).select("book_id", "pdf_page", "title", "tier", "y0", "y1", "merged_line_count", "is_pollution")
+
+
+@query
+def bpe_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same headings as a plan."""
+    found = B.bpe_headings(_tiered(spark, sf_dir), TypographyConfig(bpe_min_pair_count=2))
+    return O.plan_of_headings(found).select("book_id", "ord", "title", "level", "pdf_page")
+
+
 @query
 def position_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cluster_statistics(G.position_clusters(G.anchor_patterns(_chunks(spark, sf_dir), _spacing(spark, sf_dir))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,17 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(stored.queryExecution().toRdd(), stored.schema(), False), spark)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """``df`` written as a table into the shared checkpoint folder and read from there.
+
+    For what many passes read, each its own columns: a table is read column by column, where a cut is
+    read row by row and whole. The files stay until the folder is cleaned.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rounds_for(n: int | None) -> int:
     """Doubling rounds that cover chains of ``n`` links."""
     return max(1, int(n or 1).bit_length())
