@@ -1,9 +1,9 @@
 """Text that was decoded with the wrong character encoding: finding it and restoring it.
 
 Clean rows of a bounded sample are garbled on purpose by every known encoding chain, and a
-multinomial model of hashed byte bigrams learns which chain a word looks like. A chain that the
-model prefers to "clean" is inverted, and the word is only restored if every step back decodes
-strictly.
+multinomial model of hashed byte bigrams learns which chain a word looks like. A word is garbled if the
+model prefers a chain to "clean"; that chain is inverted, and the word is only restored if every step back
+decodes strictly. Nothing but the model's scores tells a garbled word from a clean one.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 #: Rows of the sample that the model is trained on; the rest of the data is only scored.
 TRAIN_ROWS = 8000
 BUCKETS = 1 << 14
-#: Log-likelihood that a strict multi-byte decoding is worth, for each sequence that it explains.
-STRICT_BONUS = 6.0
+#: Log-probability of a word being garbled by any one chain, against being clean: what a model must make up for.
+PRIOR = -2.0
 
 # Encoding chains, each the encodings that a text was written in and then read in, in turn.
 CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
@@ -103,9 +103,14 @@ def plausible(text: str) -> bool:
     return len(alphabets - {"greek"}) <= 1 or alphabets == {"latin", "korean"}
 
 
-def features(word: str) -> list[int]:
-    raw = b"\x02" + word.encode("utf-8", "replace") + b"\x03"
-    return [(a * 257 + b * 131 + a * b) % BUCKETS for a, b in zip(raw, raw[1:])]
+def hashed(raw: bytes) -> np.ndarray:
+    """Buckets of the byte bigrams of a byte string."""
+    x = np.frombuffer(raw, dtype=np.uint8).astype(np.int64)
+    return (x[:-1] * 257 + x[1:] * 131 + x[:-1] * x[1:]) % BUCKETS
+
+
+def features(word: str) -> np.ndarray:
+    return hashed(b"\x02" + word.encode("utf-8", "replace") + b"\x03")
 
 
 def special_words(text: str) -> list[str]:
@@ -113,106 +118,102 @@ def special_words(text: str) -> list[str]:
     return [w for w in re.split(r"[ \t\n]+", text) if not w.isascii()]
 
 
+def _counts(words: list[str]) -> np.ndarray:
+    """How often each bucket occurs in the words; pairs across two words are left out."""
+    raw = "".join(f"\x02{w}\x03" for w in words).encode("utf-8", "replace")
+    if not raw:
+        return np.zeros(BUCKETS)
+    across = np.frombuffer(raw[:-1], dtype=np.uint8) == 3
+    return np.bincount(hashed(raw)[~across], minlength=BUCKETS).astype(float)
+
+
 def train(rows: list[str], passes: int = 2) -> np.ndarray:
     """Log-probabilities [clean, *chains] x buckets.
 
     The sample holds garbled rows too. The second pass leaves out what the first one finds.
     """
-    clean = rows
-    table = None
+    clean, table = rows, None
     for _ in range(passes):
-        counts = np.full((len(CHAINS) + 1, BUCKETS), 0.05)
-        for text in clean:
-            for w in special_words(text):
-                np.add.at(counts[0], features(w), 1.0)
-            if text.isascii():
-                continue
-            for k, chain in enumerate(CHAINS, 1):
-                bad = garble(text, chain)
-                if bad is not None and bad != text:
-                    for w in special_words(bad):
-                        np.add.at(counts[k], features(w), 1.0)
+        beyond = [t for t in clean if not t.isascii()]
+        garbled = [[g for t in beyond if (g := garble(t, chain)) is not None and g != t] for chain in CHAINS]
+        counts = np.stack([_counts([w for t in texts for w in special_words(t)]) for texts in (beyond, *garbled)]) + 0.05
         table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
         judge = Judge(table)
         clean = [t for t in rows if not judge.row(t)[0]]
     return table
 
 
+#: Chains that lose bytes, and those that can be undone.
+LOSSY = [k for k, c in enumerate(CHAINS, 1) if c[-1][1] in ("utf-8", "cp949")]
+EXACT = [k for k, c in enumerate(CHAINS, 1) if c[-1][1] != "utf-8"]
+
+
 class Judge:
     """Scores words with a trained table; words recur, so verdicts are remembered."""
 
     def __init__(self, table: np.ndarray):
         self.table = table
-        self.known: dict[str, tuple[str | None, int, bool]] = {}
-
-    def word(self, w: str) -> tuple[str | None, int, bool]:
-        """(restored word or None, chain, sure): chain 0 for clean, -1 for garbled beyond repair."""
-        if w in self.known:
-            return self.known[w]
-        if "�" in w:
-            # the bytes are gone; the model still names the likeliest of the chains that lose them
-            return None, -1, True
-        f = features(w)
-        scores = self.table[:, f].sum(axis=1)
-        best, out = float(scores[0]), (None, 0, True)
-        for k, chain in enumerate(CHAINS, 1):
-            write, read = chain[0]
-            if read == "utf-8":
-                continue
-            got = restore(w, chain)
-            if got is None or got == w or not plausible(got):
-                continue
-            beyond = sum(not c.isascii() for c in got)
-            score, sure = float(scores[k]), True
-            if write == "utf-8":
-                # every step back explains sequences of its own
-                steps = beyond + sum(sum(not c.isascii() for c in restore(w, chain[n:]) or "") for n in range(1, len(chain)))
-                score += STRICT_BONUS * steps * (read != "cp949")
-            elif write == "euc_kr":
-                if not all(c.isascii() or "가" <= c <= "힣" for c in got):
-                    continue
-                sure = beyond > 1
-            else:
-                if any(c.isascii() and c.isalpha() for c in w) or not all(c.isascii() or "Ѐ" <= c <= "ӿ" or c in "«»—–№ " for c in got):
-                    continue
-                # any byte is a letter here, so what comes out must look like clean text as well
-                score += 0.5 * float(self.table[0, features(got)].sum() - scores[0])
-                sure = beyond > 3
-            if score > best:
-                best, out = score, (got, k, sure)
-        if out[1] == 0 and any("\x80" <= c <= "\x9f" for c in w):
-            out = (None, -1, True)
+        self.known: dict[tuple[str, bool], tuple[str | None, int, bool]] = {}
+
+    def scores(self, w: str) -> np.ndarray:
+        s = self.table[:, features(w)].sum(axis=1)
+        s[1:] += PRIOR
+        return s
+
+    def word(self, w: str, part: bool = False) -> tuple[str | None, int, bool]:
+        """(restored word or None, chain, sure): chain 0 for clean.
+
+        Of the chains that score above "clean" the best one counts that can be undone strictly to a plausible text;
+        failing that, a word with lost bytes or with control characters is garbled beyond repair by the best chain. ``part``: a run within a word,
+        which stands for itself and not for the word's beginning and end.
+        """
+        if (w, part) in self.known:
+            return self.known[w, part]
+        scores = self.scores(w)
+        order = [k for k in np.argsort(-scores, kind="stable").tolist() if k and scores[k] > scores[0]]
+        out = (None, 0, True)
+        for k in order:
+            if k in EXACT and (got := restore(w, CHAINS[k - 1])) is not None and got != w and self.fits(w, got, k):
+                out = (got, k, self.sure(got, k))
+                break
+        if not out[1] and order and ("\ufffd" in w or any("\x80" <= c <= "\x9f" for c in w)):
+            out = (None, next((k for k in order if k in LOSSY), order[0]) if "\ufffd" in w else order[0], True)
         if len(self.known) > 200_000:
             self.known.clear()
-        self.known[w] = out
+        self.known[w, part] = out
         return out
 
-    def runs(self, w: str) -> tuple[str, bool]:
-        """A word that is garbled in part: its runs beyond ASCII are judged one by one, if UTF-8 explains them."""
-        hit = False
+    @staticmethod
+    def fits(w: str, got: str, k: int) -> bool:
+        """Whether what a chain gives back is text that it could have been made from."""
+        write = CHAINS[k - 1][0][0]
+        if not plausible(got):
+            return False
+        if write == "euc_kr":
+            return all(c.isascii() or "가" <= c <= "힣" for c in got)
+        if write in ("cp1251", "koi8_r"):
+            return not any(c.isascii() and c.isalpha() for c in w) and all(c.isascii() or "Ѐ" <= c <= "ӿ" or c in "«»—–№ " for c in got)
+        return True
+
+    @staticmethod
+    def sure(got: str, k: int) -> bool:
+        """Short words in a one-byte alphabet may be anything: they need a longer one beside them."""
+        beyond = sum(not c.isascii() for c in got)
+        return beyond > {"euc_kr": 1, "cp1251": 3, "koi8_r": 3}.get(CHAINS[k - 1][0][0], 0)
+
+    def runs(self, w: str) -> tuple[str, int]:
+        """A word that is garbled in part: its runs beyond ASCII judged one by one; the chain of the first that is garbled, else 0."""
+        found = 0
 
         def one(m: re.Match) -> str:
-            nonlocal hit
-            run, best = m.group(), None
-            for k, chain in enumerate(CHAINS, 1):
-                if chain[0][0] == "utf-8" and chain[0][1] in ("latin-1", "sloppy-1252", "mac_roman", "cp437", "cp850") and len(run) > 1:
-                    got = restore(run, chain)
-                    if got and got != run and plausible(w.replace(run, got)):
-                        s = float(self.table[k, features(run)].sum())
-                        if best is None or s > best[0]:
-                            best = (s, got)
-            if best is None:
-                return run
-            hit = True
-            return best[1]
-
-        return re.sub(r"[^\x00-\x7f]+", one, w), hit
-
-    def lossy(self, text: str) -> int:
-        """The likeliest chain that ends in lost bytes."""
-        f = [x for w in special_words(text) if "�" in w for x in features(w)]
-        ks = [k for k, c in enumerate(CHAINS, 1) if c[0][1] in ("utf-8", "cp949")]
-        return max(ks, key=lambda k: float(self.table[k, f].sum()))
+            nonlocal found
+            restored, chain, sure = self.word(m.group(), part=True)
+            if not chain or not sure or restored is None or CHAINS[chain - 1][0][0] != "utf-8" or not plausible(w.replace(m.group(), restored)):
+                return m.group()
+            found = found or chain
+            return restored
+
+        return re.sub(r"[^\x00-\x7f]{2,}", one, w), found
 
     def row(self, text: str) -> tuple[bool, str, bool, int]:
         """(garbled, text with restored words, wholly restored, chain number of the first garbled word)."""
@@ -225,32 +226,31 @@ class Judge:
                 continue
             restored, chain, sure = self.word(w)
             if chain == 0 or not sure:
-                fixed, hit = self.runs(w)
-                if hit:
-                    restored, chain, sure = fixed, 1, True
+                fixed, part = self.runs(w)
+                if part:
+                    restored, chain, sure = fixed, part, True
             if chain:
                 (found if sure else doubtful)[n] = (restored, chain)
         # a word of one or two characters only counts beside a longer one that went the same way
-        ways = {CHAINS[c - 1] for _, c in found.values() if c > 0}
-        writes = {w[0][0] for w in ways}
+        ways = {c for _, c in found.values()}
+        writes = {CHAINS[c - 1][0][0] for c in ways}
         for n, (restored, chain) in doubtful.items():
             if CHAINS[chain - 1][0][0] in writes:
                 found[n] = (restored, chain)
-        for way in ways:
-            if way[0][0] in ("cp1251", "koi8_r"):
+        for k in ways:
+            if CHAINS[k - 1][0][0] in ("cp1251", "koi8_r"):
                 for n in range(0, len(parts), 2):
                     w = parts[n]
                     if n not in found and not w.isascii() and not any(c.isascii() and c.isalpha() for c in w):
-                        got = restore(w, way)
+                        got = restore(w, CHAINS[k - 1])
                         if got and plausible(got):
-                            found[n] = (got, CHAINS.index(way) + 1)
+                            found[n] = (got, k)
         if not found:
             return False, text, False, 0
         for n, (restored, _) in found.items():
             parts[n] = parts[n] if restored is None else restored
         whole = all(r is not None for r, _ in found.values())
-        first = next((c for _, c in sorted(found.values(), key=lambda x: -x[1]) if c > 0), 0)
-        return True, "".join(parts), whole, first or (self.lossy(text) if "�" in text else -1)
+        return True, "".join(parts), whole, found[min(found)][1]
 
 
 def find(rows: DataFrame, keys: list[str], text: str, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -277,7 +277,7 @@ def find(rows: DataFrame, keys: list[str], text: str, train_rows: int = TRAIN_RO
                     "garbled": [o[0] for o in out],
                     "repaired": [o[1] for o in out],
                     "recoverable": [o[2] for o in out],
-                    "chain": [names[o[3] - 1] if o[3] > 0 else ("unknown" if o[0] else None) for o in out],
+                    "chain": [names[o[3] - 1] if o[0] else None for o in out],
                 }
             )
 
