@@ -85,40 +85,66 @@ def _grams(key: str) -> Column:
     return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(F.col(key), i, F.lit(3))))).otherwise(F.array(F.col(key)))
 
 
-def _weighted(rows: DataFrame, rarity: DataFrame) -> DataFrame:
-    """Rows with ``grams``: (piece, weight); a piece's weight falls with its share of the book's titles."""
-    parts = rows.select("book", "id", F.explode(_grams("key")).alias("gram")).join(rarity, ["book", "gram"])
-    lists = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("df"), F.col("gram"), F.col("weight")))).alias("grams"))
+def _pieces(rows: DataFrame) -> DataFrame:
+    """(book, id, gram) of each title, with and without its conjunctions."""
+    both = F.when(F.col("short") == "", _grams("key")).otherwise(F.array_union(_grams("key"), _grams("short")))
+    return rows.select("book", "id", F.explode(both).alias("gram"))
+
+
+def _coded(rows: DataFrame, rarity: DataFrame) -> DataFrame:
+    """Rows with ``codes``, a whole number for each piece, the rarest piece of the book first.
+
+    The low byte of a code is the piece's weight in tenths, which falls with its share of the book's
+    titles; the rest is its hash, so equal pieces of a book have equal codes.
+    """
+    parts = _pieces(rows).join(rarity, ["book", "gram"])
+    lists = parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "code"))), lambda x: x["code"]).alias("codes"))
     return rows.join(lists, "id")
 
 
+def _mass(codes: Column) -> Column:
+    return F.aggregate(codes, F.lit(0), lambda a, c: a + c.bitwiseAND(F.lit(255)))
+
+
 def candidates(items: DataFrame, outline: DataFrame) -> DataFrame:
-    """(i, o, weight) of pairs of one book that share pieces: pages within the tolerance, or one unknown.
+    """(i, o, weight) of pairs of one book that share a rare piece: pages within the tolerance, or one unknown.
 
-    Rows with a page meet on (book, page). A row without one meets the others on all its pieces,
-    as misread pieces are themselves the rarest. The weight is the shared pieces' share of the smaller title's weight.
+    An item's title of n strokes that is MIN_TITLE alike to an outline title, or to the beginning of one, differs in at
+    most (1 - MIN_TITLE) n strokes, each of which breaks three pieces at most. So of its pieces all but
+    3 (1 - MIN_TITLE) n are in the other title, and at least one of its 3 (1 - MIN_TITLE) n + 1 rarest ones is: those are
+    looked up among all pieces of the outline titles, and no alike pair is missed. Rows with a page meet on (book, page,
+    piece), a row without one on (book, piece). The weight is the shared pieces' share of the smaller title's weight.
     """
-    both = items.select("book", "id", "key").unionByName(outline.select("book", "id", "key"))
-    grams = both.select("book", F.explode(_grams("key")).alias("gram")).groupBy("book", "gram").count()
+    both = items.select("book", "id", "key", "short").unionByName(outline.select("book", "id", "key", "short"))
+    grams = _pieces(both).groupBy("book", "gram").agg(F.count("*").alias("df"))
     total = both.groupBy("book").agg(F.count("*").alias("total"))
-    rarity = grams.join(total, "book").select("book", "gram", F.col("count").alias("df"), F.log1p(F.col("total") / F.col("count")).alias("weight"))
-    left, right = cut(_weighted(items, rarity)), cut(_weighted(outline, rarity))
-    near = left.where("page is not null").withColumn("at", F.explode(F.sequence(F.col("page") - PAGE_TOLERANCE, F.col("page") + PAGE_TOLERANCE)))
-    by_page = near.select("book", F.col("at").alias("page"), F.col("id").alias("i")).join(right.where("page is not null").select("book", "page", F.col("id").alias("o")), ["book", "page"]).select("i", "o")
-
-    def all_pieces(df: DataFrame, name: str) -> DataFrame:
-        return df.select("book", F.col("id").alias(name), F.explode("grams").alias("g")).select("book", name, F.col("g.gram").alias("gram"))
-
-    lost_i = all_pieces(left.where("page is null"), "i").join(all_pieces(right, "o"), ["book", "gram"]).select("i", "o")
-    lost_o = all_pieces(left.where("page is not null"), "i").join(all_pieces(right.where("page is null"), "o"), ["book", "gram"]).select("i", "o")
+    weight = F.least(F.lit(255), F.greatest(F.lit(1), F.round(10 * F.log1p(F.col("total") / F.col("df"))))).cast("int")
+    code = F.shiftleft(F.hash("gram").bitwiseAND(F.lit((1 << 23) - 1)), 8).bitwiseOR(weight)
+    rarity = cut(grams.join(total, "book").select("book", "gram", "df", code.alias("code")))
+    left, right = cut(_coded(items, rarity)), cut(_coded(outline, rarity))
+    rare = F.slice("codes", F.lit(1), F.ceil(3 * (1 - MIN_TITLE) * F.length("key")).cast("int") + 1)
+    i = left.select("book", F.col("id").alias("i"), "page", F.explode(rare).alias("c"))
+    o = right.select("book", F.col("id").alias("o"), "page", F.explode("codes").alias("c"))
+    near = i.where("page is not null").withColumn("page", F.explode(F.sequence(F.col("page") - PAGE_TOLERANCE, F.col("page") + PAGE_TOLERANCE)))
+    by_page = near.join(o.where("page is not null"), ["book", "page", "c"]).select("i", "o")
+    lost_i = i.where("page is null").drop("page").join(o.drop("page"), ["book", "c"]).select("i", "o")
+    lost_o = i.where("page is not null").drop("page").join(o.where("page is null").drop("page"), ["book", "c"]).select("i", "o")
     pairs = by_page.unionByName(lost_i).unionByName(lost_o).distinct()
-    full = pairs.join(left.select(F.col("id").alias("i"), F.col("grams").alias("gi")), "i").join(right.select(F.col("id").alias("o"), F.col("grams").alias("go")), "o")
+    full = pairs.join(left.select(F.col("id").alias("i"), F.col("codes").alias("ci")), "i").join(right.select(F.col("id").alias("o"), F.col("codes").alias("co")), "o")
+    return full.select("i", "o", F.try_divide(_mass(F.array_intersect("ci", "co")), F.least(_mass(F.col("ci")), _mass(F.col("co")))).alias("weight"))
 
-    def mass(c: Column) -> Column:
-        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x["weight"])
 
-    shared = mass(F.array_intersect("gi", "go"))
-    return full.select("i", "o", F.coalesce(F.try_divide(shared, F.least(mass(F.col("gi")), mass(F.col("go")))), F.lit(0.0)).alias("weight"))
+def _placed(rows: DataFrame, within: list[str], first: Column, part: Column, order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, their number in the order of ``first``, ``part`` and ``order`` within ``within``.
+
+    Numbered within each (first, part) and moved on by the rows before it, so that no book is one task.
+    """
+    marked = rows.withColumn("__a", first).withColumn("__b", part)
+    block = [*within, "__a", "__b"]
+    sizes = marked.groupBy(*block).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*within).orderBy("__a", "__b")) - F.col("__n")
+    own = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
+    return marked.withColumn("pos", own).join(sizes.withColumn("__s", before), block).withColumn("pos", (F.col("pos") + F.col("__s")).cast("int")).drop("__a", "__b", "__n", "__s")
 
 
 def prune(pairs: DataFrame, share: float = 0.5) -> DataFrame:
@@ -176,11 +202,11 @@ def link(items: DataFrame, outline: DataFrame, tolerance: float = 1e-3) -> DataF
     facts = _facts_udf()
     it = items.where("book is not null and title is not null and coalesce(kind, '') <> 'caption'").dropDuplicates(["id"]).withColumn("f", facts("title")).select("id", "book", "arm", "page", "level", "f.*").where("key <> ''")
     ol = outline.where("book is not null and title is not null").dropDuplicates(["id"]).withColumn("f", facts("title")).select("id", "book", "ord", "page", "level", "f.*").where("key <> ''")
-    order_i = Window.partitionBy("book", "arm").orderBy(F.coalesce("page", F.lit(1 << 30)), "id")
-    order_o = Window.partitionBy("book").orderBy("ord", "id")
-    it = cut(it.withColumn("pos", F.row_number().over(order_i)))
-    ol = cut(ol.withColumn("pos", F.row_number().over(order_o)))
-    kept = prune(candidates(it, ol))
+    far = F.coalesce("page", F.lit(1 << 30))
+    it, ol = cut(it), cut(ol)
+    it = cut(_placed(it, ["book", "arm"], far, F.floor(F.col("id") / (1 << 14)), ["id"]))
+    ol = cut(_placed(ol, ["book"], F.floor(F.col("ord") / (1 << 12)), F.lit(0), ["ord", "id"]))
+    kept = prune(cut(candidates(it, ol)))
     left = it.select(F.col("id").alias("i"), "book", "arm", F.col("pos").alias("pi"), F.col("page").alias("gi"), F.col("level").alias("li"), F.col("key").alias("ki"), F.col("short").alias("si"), F.col("number").alias("ni"), F.col("series").alias("ri"), F.col("truncated").alias("ti"))
     right = ol.select(F.col("id").alias("o"), F.col("pos").alias("po"), F.col("page").alias("go"), F.col("level").alias("lo"), F.col("key").alias("ko"), F.col("short").alias("so"), F.col("number").alias("no"), F.col("series").alias("ro"))
     scored = kept.join(left, "i").join(right, "o").withColumn("title", _title_similarity()).where(F.col("title") >= MIN_TITLE)
