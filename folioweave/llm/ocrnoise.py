@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.runtime import cut
+from folioweave.runtime import cut, cut_table
 
 # What is seen, and what it may have been before it was misread.
 CONFUSIONS = (
@@ -44,8 +44,18 @@ CONTENTS = r"^(?i)(?:contents|table of contents|inhalt|inhaltsverzeichnis|índic
 ENTRY_PAGE = rf"(?:\.\s?){{3,}}\s*({DIGITS_SEEN}{{1,4}})(?=\s*(?:$|[|/I]\s|\s{{2}}))|•\s*({DIGITS_SEEN}{{1,4}})(?=\s*(?:$|[|/I]\s|\s{{2}}))|\S\s{{2,}}({DIGITS_SEEN}{{1,4}})(?=$|\s*[|/I]\s|\s{{2}})"
 
 
+#: The tables, named by their place while rows are worked on.
+SOURCES = ("visual_rows", "ocr_line_stats", "subsection_report")
+REPORT = SOURCES.index("subsection_report")
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """``df`` with its tables' names."""
+    return df.withColumn("source_table", F.element_at(F.array(*[F.lit(s) for s in SOURCES]), F.col("source_table") + 1))
+
+
 def rows_of(visual: DataFrame, ocr: DataFrame, report: DataFrame) -> DataFrame:
-    """The three tables as (source_table, row_id, flow, page, seq, height, text, counted), once for each key.
+    """The three tables as (source_table: its place in SOURCES, row_id, flow, page, seq, height, text, counted), once for each key.
 
     ``flow`` is what is read in one go: a book, or a report's contents list. ``height`` is the
     place on the page from 0 to 1, null where it is not known and for contents lines. ``counted``
@@ -53,43 +63,44 @@ def rows_of(visual: DataFrame, ocr: DataFrame, report: DataFrame) -> DataFrame:
     are counted once for each line.
     """
     none = F.lit(None).cast("double")
-    v = visual.select(F.lit("visual_rows").alias("source_table"), F.col("row_id").cast("long").alias("row_id"), F.col("book_id").alias("flow"), F.col("pdf_page").alias("page"), F.col("row_seq").cast("long").alias("seq"), F.try_divide("y0", "page_height").alias("height"), "text")
-    o = ocr.select(F.lit("ocr_line_stats").alias("source_table"), F.col("stat_id").cast("long").alias("row_id"), F.col("book_id").alias("flow"), F.col("pdf_page").alias("page"), F.col("stat_id").cast("long").alias("seq"), F.col("y_center_ratio").alias("height"), "text")
-    r = report.select(F.lit("subsection_report").alias("source_table"), F.col("sub_id").cast("long").alias("row_id"), F.col("report_id").alias("flow"), F.col("chapter").alias("page"), F.col("sub_id").cast("long").alias("seq"), none.alias("height"), F.col("raw_line").alias("text"))
+    v = visual.select(F.lit(0).cast("byte").alias("source_table"), F.col("row_id").cast("long").alias("row_id"), F.col("book_id").alias("flow"), F.col("pdf_page").alias("page"), F.col("row_seq").cast("long").alias("seq"), F.try_divide("y0", "page_height").alias("height"), "text")
+    o = ocr.select(F.lit(1).cast("byte").alias("source_table"), F.col("stat_id").cast("long").alias("row_id"), F.col("book_id").alias("flow"), F.col("pdf_page").alias("page"), F.col("stat_id").cast("long").alias("seq"), F.col("y_center_ratio").alias("height"), "text")
+    r = report.select(F.lit(2).cast("byte").alias("source_table"), F.col("sub_id").cast("long").alias("row_id"), F.col("report_id").alias("flow"), F.col("chapter").alias("page"), F.col("sub_id").cast("long").alias("seq"), none.alias("height"), F.col("raw_line").alias("text"))
     # grouped, not windowed, so that a line that very many rows share is no single task
     lines = r.groupBy("flow", "text").agg(F.min("row_id").alias("row_id")).select("row_id", F.lit(True).alias("first"))
     r = r.join(lines, "row_id", "left").withColumn("counted", F.coalesce("first", F.lit(False))).drop("first")
     books = v.unionByName(o).withColumn("counted", F.lit(True))
-    return books.unionByName(r).dropDuplicates(["source_table", "row_id"])
+    # rows repeated under one key agree in all columns that are read, and whole rows are made distinct by hash, without a sort
+    return books.unionByName(r).distinct()
 
 
 def margins(rows: DataFrame) -> DataFrame:
-    """Rows with ``margin``: ``running_header``, ``page_number`` or null.
+    """Rows that aren't blank, with ``margin``: ``running_header``, ``page_number`` or null.
 
     A row in the top or foot band is one or the other. A row of unknown height is, if it is the
     first or last of its page and reads like a number, or like a header of the same flow.
     Contents lines are, if they are a contents title or nothing but a number.
     """
     t = F.trim("text")
-    contents = F.col("source_table") == "subsection_report"
+    contents = F.col("source_table") == REPORT
     band = (F.col("height") <= TOP) | (F.col("height") >= FOOT)
-    number = t.rlike(NUMBER_ROW)
-    spaced = F.regexp_replace(t, r"(?<=\p{L})\s(?=\p{L}(?:\s|$))", "")
-    # letters set apart, case and misreadings don't make another header
-    bare = F.regexp_replace(F.regexp_replace(F.lower(t), r"^\s*[\divxlc]+\s*\|\s*|(?:\s{2,}|\s*\|\s*)[\divxlczsbo]+\s*$", ""), r"[^\p{L}]", "")
-    plain = F.when(contents, F.when(number, "page_number").when(t.rlike(CONTENTS) | spaced.rlike(CONTENTS), "running_header")).when(band, F.when(number, "page_number").otherwise("running_header"))
     lost = ~contents & F.col("height").isNull()
+    spaced = F.regexp_replace(t, r"(?<=\p{L})\s(?=\p{L}(?:\s|$))", "")
+    kind = F.when(t.rlike(NUMBER_ROW), "page_number").when(contents, F.when(t.rlike(CONTENTS) | spaced.rlike(CONTENTS), "running_header")).when(band, "running_header")
+    # the forms are looked at once, where a row may be a margin at all; every later pass only reads what was found
+    base = cut_table(rows.where(F.length(t) > 0).withColumn("lost", F.coalesce(lost, F.lit(False))).withColumn("margin", F.when(contents | band | lost, kind)).drop("height"))
+    # the longest part between bars and wide gaps, without case, blanks and signs: the page number is another part
+    parts = F.array_sort(F.transform(F.split(F.lower(t), r"\s{2,}|\|"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    bare = F.regexp_replace(F.element_at(parts, -1)["x"], r"[^\p{L}]+", "")
     # only rows of unknown height, which are few, look at their page and at the headers of their flow
-    placed = rows.where(contents | F.col("height").isNotNull()).withColumn("margin", plain)
-    known = rows.where(~contents & band & ~number).select("source_table", "flow", bare.alias("bare")).where("bare <> ''").distinct().withColumn("known", F.lit(True))
-    unsure = rows.where(lost).withColumn("bare", bare)
+    known = base.where(~contents & ~F.col("lost") & (F.col("margin") == "running_header")).select("source_table", "flow", bare.alias("bare")).distinct().withColumn("known", F.lit(True))
+    unsure = base.where("lost").withColumn("bare", F.nullif(bare, F.lit("")))
     pages = unsure.select("source_table", "flow", "page").distinct()
-    ends = rows.where(~contents).select("source_table", "flow", "page", "seq").join(pages, ["source_table", "flow", "page"], "left_semi").groupBy("source_table", "flow", "page").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    ends = base.where(~contents).select("source_table", "flow", "page", "seq").join(pages, ["source_table", "flow", "page"], "left_semi").groupBy("source_table", "flow", "page").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     judged = unsure.join(ends, ["source_table", "flow", "page"], "left").join(known, ["source_table", "flow", "bare"], "left")
     edge = (F.col("seq") == F.col("lo")) | (F.col("seq") == F.col("hi"))
-    judged = judged.withColumn("margin", F.when(edge & number, "page_number").when(edge & F.col("known"), "running_header"))
-    # cut, for every later pass over the rows would judge them again
-    return placed.unionByName(cut(judged.select(*rows.columns, "margin")))
+    judged = judged.withColumn("margin", F.when(edge & (F.col("margin") == "page_number"), "page_number").when(edge & F.col("known"), "running_header"))
+    return base.where(~F.col("lost")).drop("lost").unionByName(cut(judged.select(*base.drop("lost").columns)))
 
 
 def following(body: DataFrame) -> DataFrame:
@@ -97,24 +108,25 @@ def following(body: DataFrame) -> DataFrame:
 
     ``a`` is the word before the hyphen, ``b`` the first word of the next row in reading order and
     ``next`` the hash of that row's text. Ordered within a page, and pages within a flow, so that
-    no flow is a single task; only hashes and the two words travel. Contents lines that several
+    no flow is a single task; only hashes (a flow's own among them) and the two words travel. Contents lines that several
     rows share count as one row: the next one is the next row with another text.
     """
-    keys = ["source_table", "flow", "page"]
+    keys = ["f", "page"]
     last = rf"([\p{{L}}\p{{M}}'’]+)([{HYPHENS}])\s*$"
     ends = F.col("text").rlike(rf"[{HYPHENS}]\s*$")
     word = lambda k: F.when(ends, F.lower(F.regexp_extract("text", last, k))).otherwise("")
-    slim = body.select(*keys, "row_id", "seq", F.xxhash64("text").alias("h"), word(1).alias("a"), word(2).alias("sign"), F.lower(F.regexp_extract("text", r"^\s*[“\"«(]*([\p{L}\p{M}]+)", 1)).alias("b"))
+    flow = F.xxhash64("source_table", "flow").alias("f")
+    slim = body.select(flow, "page", "row_id", "seq", (F.col("source_table") == REPORT).alias("shared"), F.xxhash64("text").alias("h"), F.when(ends, F.col("source_table")).alias("source_table"), F.when(ends, F.col("flow")).alias("flow"), word(1).alias("a"), word(2).alias("sign"), F.lower(F.regexp_extract("text", r"^\s*[“\"«(]*([\p{L}\p{M}]+)", 1)).alias("b"))
     here = F.struct("b", "h")
     by = Window.partitionBy(*keys).orderBy("seq")
     # a row's next text in its page; rows that repeat the text before them are passed over
     after = F.first(F.when(F.col("changed"), here), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    shared = F.col("source_table") == "subsection_report"
+    shared = F.col("shared")
     changed = ~shared | F.coalesce(F.lag("h").over(by) != F.col("h"), F.lit(True))
-    cutrows = slim.withColumn("changed", changed).withColumn("x", F.when(shared, after).otherwise(F.lead(here).over(by))).where("sign <> ''")
-    first = slim.groupBy(*keys).agg(F.min_by(here, "seq").alias("head"))
-    heads = first.select(*keys, F.lead("head").over(Window.partitionBy("source_table", "flow").orderBy("page")).alias("next_page"))
-    full = cutrows.join(heads, keys, "left").withColumn("x", F.coalesce("x", "next_page")).where("x is not null")
+    ordered = slim.withColumn("changed", changed).withColumn("x", F.when(shared, after).otherwise(F.lead(here).over(by))).withColumn("n", F.row_number().over(by))
+    few = cut(ordered.where("sign <> '' or n = 1").select(*keys, "source_table", "flow", "row_id", "a", "sign", "x", "n", here.alias("head")))
+    heads = few.where("n = 1").select(*keys, F.lead("head").over(Window.partitionBy("f").orderBy("page")).alias("next_page"))
+    full = few.where("sign <> ''").join(heads, keys, "left").withColumn("x", F.coalesce("x", "next_page")).where("x is not null")
     return full.select("source_table", "row_id", "flow", "a", "sign", F.col("x.b").alias("b"), F.col("x.h").alias("next"))
 
 
@@ -219,50 +231,56 @@ def _decode(total: float):
     return decode
 
 
-def _small(big: DataFrame, few: DataFrame, on: list[str], bound: int = 400_000) -> DataFrame:
-    """``big``'s rows that ``few`` names: ``few`` goes to every executor if its counted rows are at most ``bound``, else both are shuffled."""
+def _small(big: DataFrame, few: DataFrame, on: list[str], bound: int = 48 << 20) -> DataFrame:
+    """``big``'s rows that ``few`` names: ``few`` goes to every executor if its counted bytes are at most ``bound``, else both are shuffled."""
     few = cut(few)
-    return big.join(F.broadcast(few) if few.count() <= bound else few, on, "left_semi")
+    size = few.agg(F.sum(F.lit(48) + sum((F.octet_length(F.col(c).cast("string")) for c in on), F.lit(0)))).first()[0] or 0
+    return big.join(F.broadcast(few) if size <= bound else few, on, "left_semi")
 
 
-def word_counts(body: DataFrame) -> DataFrame:
-    """(word, n) over all rows, a line that rows of a report share once."""
-    return cut(body.where("counted").select(F.explode(_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+def word_counts(body: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables (word, n) over all rows, a line that rows of a report share once: words, and words with a hyphen inside."""
+    text = F.col("text")
+    inside = F.when(text.rlike(r"\p{L}-\p{L}"), F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)+"), F.lit(0)))
+    both = F.when(inside.isNotNull(), F.concat(_tokens(text), inside)).otherwise(_tokens(text))
+    counts = cut(body.where("counted").select(F.explode(both).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    return counts.where(~F.col("word").contains("-")), counts.where(F.col("word").contains("-"))
 
 
-def corrected(body: DataFrame, counts: DataFrame) -> DataFrame:
-    """(source_table, row_id, tokens, decoded) of the lines of which at least one word is misread; ``counts`` are the corpus's."""
+def corrected(body: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(source_table, row_id, tokens, decoded) of the lines of which at least one word is misread; ``counts`` are the corpus's, ``parts`` the cut rows."""
     keys = ["source_table", "row_id"]
-    # the last word of a cut line and the first of the next one are pieces of a word
-    cut_end = F.col("text").rlike(rf"\p{{L}}[{HYPHENS}]\s*$")
-    words = body.select(*keys, "counted", _tokens(F.col("text")).alias("tokens"), cut_end.alias("cut_end"), F.coalesce("cut_start", F.lit(False)).alias("cut_start"))
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     wrong = cut(misreadings(counts))
-    at = words.select(*keys, "tokens", "cut_end", "cut_start", F.posexplode("tokens").alias("pos", "seen"))
-    at = _small(at, wrong.select("seen"), ["seen"]).where(~(F.col("cut_end") & (F.col("pos") == F.size("tokens") - 1)) & ~(F.col("cut_start") & (F.col("pos") == 0)))
-    hits = cut(at.join(wrong, "seen").select(*keys, "tokens", "pos", "seen", "own", "options"))
-    lattice = hits.groupBy(*keys).agg(F.collect_list(F.struct("pos", "own", "options")).alias("options"), F.first("tokens").alias("tokens"))
-    # only the bigrams around a doubtful word are counted, over all rows
-    before, after = F.get("tokens", F.col("pos") - 1), F.get("tokens", F.col("pos") + 1)
-    asked = hits.select(*keys, F.explode(F.flatten(F.transform(F.concat(F.array("seen"), F.transform("options", lambda o: o["word"])), lambda w: F.array(F.struct(before.alias("a"), w.alias("b")), F.struct(w.alias("a"), after.alias("b")))))).alias("p")).select(*keys, "p.a", "p.b").where("a is not null and b is not null").distinct()
-    asked = cut(asked)
-    pairs = words.where(F.col("counted") & (F.size("tokens") > 1)).select(F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), F.size("tokens") - 1).alias("a"), F.slice("tokens", F.lit(2), F.size("tokens") - 1).alias("b"))).alias("p")).select("p.a", "p.b")
-    all_pairs = _small(pairs, asked.select("a", "b").distinct(), ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
-    bigrams = asked.join(all_pairs, ["a", "b"]).groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n")).alias("bigrams"))
+    # only a word and its place travel; the lines of the doubtful words are fetched afterwards
+    at = body.select(*keys, F.posexplode(_tokens(F.col("text"))).alias("pos", "seen")).where((F.length("seen") >= 3) | F.col("seen").rlike("[0-9@|!]"))
+    hits = _small(at, wrong.select("seen"), ["seen"]).join(wrong, "seen").groupBy(*keys).agg(F.collect_list(F.struct("pos", "own", "options")).alias("options"))
+    # the last word of a cut line and the first of the next one are pieces of a word
+    last = F.when(F.col("text").rlike(rf"\p{{L}}[{HYPHENS}]\s*$"), F.size("tokens") - 1).otherwise(-1)
+    first = F.when(F.coalesce("cut_start", F.lit(False)), 0).otherwise(-1)
+    lines = _starts_cut(body.select(*keys, "flow", "text").join(hits, keys), parts).withColumn("tokens", _tokens(F.col("text"))).withColumn("last", last).withColumn("first", first)
+    lattice = cut(lines.select(*keys, "tokens", F.filter("options", lambda o: (o["pos"] != F.col("last")) & (o["pos"] != F.col("first"))).alias("options")).where(F.size("options") > 0))
+    # only the bigrams around a doubtful word are counted, over all rows, under the hash of their words
+    one = lattice.select(*keys, "tokens", F.explode("options").alias("o")).select(*keys, F.get("tokens", F.col("o.pos") - 1).alias("before"), F.get("tokens", F.col("o.pos") + 1).alias("after"), F.explode(F.concat(F.array(F.get("tokens", F.col("o.pos"))), F.transform("o.options", lambda x: x["word"]))).alias("w"))
+    asked = one.select(*keys, F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("w").alias("b")), F.struct(F.col("w").alias("a"), F.col("after").alias("b")))).alias("p")).select(*keys, "p.a", "p.b").where("a is not null and b is not null").distinct()
+    asked = cut(asked.withColumn("h", F.xxhash64("a", "b")))
+    tokens = _tokens(F.col("text"))
+    # the last word's missing neighbour makes a null, which no pair is
+    pairs = body.where("counted").select(tokens.alias("t")).select(F.explode(F.zip_with("t", F.slice("t", F.lit(2), F.size("t")), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))).alias("h"))
+    all_pairs = _small(pairs, asked.select("h").distinct(), ["h"]).groupBy("h").agg(F.count("*").alias("n"))
+    bigrams = asked.join(all_pairs, "h").groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n")).alias("bigrams"))
     full = lattice.join(bigrams, keys, "left")
     return full.select(*keys, "tokens", _decode(total)("tokens", "options", "bigrams").alias("decoded")).where(F.col("tokens") != F.col("decoded"))
 
 
-def hyphenated(body: DataFrame, words: DataFrame) -> DataFrame:
+def hyphenated(body: DataFrame, words: DataFrame, seen: DataFrame) -> DataFrame:
     """(source_table, row_id, flow, joined, b, next): body rows whose last word is cut and goes on in the next row.
 
     A soft hyphen or a not-sign always cuts. Another hyphen does unless the two parts are seen
-    with a hyphen inside a line more often than as one word; ``words`` are the corpus's counts.
+    with a hyphen inside a line more often than as one word; ``words`` and ``seen`` are the corpus's counts.
     """
     cutrows = cut(following(body).where("b <> ''"))
     asked = cutrows.select(F.explode(F.array(F.concat("a", "b"), F.concat_ws("-", "a", "b"), F.concat("a", F.lit("-")))).alias("word")).distinct()
-    inside = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)+"), F.lit(0))
-    seen = body.where(F.col("counted") & F.col("text").rlike(r"\p{L}-\p{L}")).select(F.explode(inside).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     heads = seen.groupBy(F.concat(F.substring_index("word", "-", 1), F.lit("-")).alias("word")).agg(F.sum("n").alias("n"))
     counts = cut(seen.unionByName(heads).unionByName(words.select("word", "n")).join(asked, "word", "left_semi"))
     out = cutrows
@@ -278,7 +296,7 @@ def wrong_page_numbers(body: DataFrame) -> DataFrame:
     entry = F.array_compact(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(ENTRY_PAGE), F.lit(k)) for k in (1, 2, 3)])))
     letters = F.exists(entry, lambda x: x.rlike(r"\D") & ~x.rlike(r"^[ivxl]+$|^I$|^$"))
     mixed = F.col("text").rlike("[0-9]") & F.col("text").rlike(r"(?<![\p{L}\p{N}])(?=[0-9lIOoZSBqb]*[0-9])(?=[0-9lIOoZSBqb]*[lIOoZSBqb])[0-9lIOoZSBqb]{2,4}(?![\p{L}\p{N}])")
-    return body.where(mixed | ((F.col("source_table") == "subsection_report") & letters)).select("source_table", "row_id")
+    return body.where(mixed | ((F.col("source_table") == REPORT) & letters)).select("source_table", "row_id")
 
 
 def noise(rows: DataFrame) -> DataFrame:
@@ -286,13 +304,12 @@ def noise(rows: DataFrame) -> DataFrame:
 
     Null and blank texts have none. Headers and page numbers have no other kind.
     """
-    marked = margins(cut(rows.where(F.length(F.trim("text")) > 0)))
-    body = marked.where("margin is null").drop("margin", "height")
-    counts = word_counts(body)
-    parts = cut(hyphenated(body, counts))
-    lines = _starts_cut(body, parts)
-    wrong = corrected(lines, counts).select("source_table", "row_id").unionByName(wrong_page_numbers(body)).distinct()
-    return (
+    marked = margins(rows)
+    body = marked.where("margin is null").drop("margin")
+    counts, compounds = word_counts(body)
+    parts = cut(hyphenated(body, counts, compounds))
+    wrong = corrected(body, parts, counts).select("source_table", "row_id").unionByName(wrong_page_numbers(body)).distinct()
+    return _named(
         marked.where("margin is not null").select("source_table", "row_id", F.col("margin").alias("noise"))
         .unionByName(parts.select("source_table", "row_id", F.lit("hyphenated").alias("noise")))
         .unionByName(wrong.select("source_table", "row_id", F.lit("misread").alias("noise")))
@@ -315,12 +332,12 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     end with their page, save that a word cut at a page's end is completed there.
     """
     keys = ["source_table", "row_id"]
-    marked = margins(cut(rows.where(F.length(F.trim("text")) > 0)))
-    body = marked.where("margin is null").drop("margin", "height")
-    counts = word_counts(body)
-    parts = cut(hyphenated(body, counts))
+    marked = margins(rows)
+    body = marked.where("margin is null").drop("margin")
+    counts, compounds = word_counts(body)
+    parts = cut(hyphenated(body, counts, compounds))
     lines = _starts_cut(body, parts)
-    fixes = corrected(lines, counts).select(*keys, F.filter(F.arrays_zip("tokens", "decoded"), lambda x: x["tokens"] != x["decoded"]).alias("fixes"))
+    fixes = corrected(body, parts, counts).select(*keys, F.filter(F.arrays_zip("tokens", "decoded"), lambda x: x["tokens"] != x["decoded"]).alias("fixes"))
     full = lines.join(fixes, keys, "left").join(parts.select(*keys, F.col("b").alias("tail"), F.lit(True).alias("cut_end")), keys, "left")
 
     def put(text: Column, fix: Column) -> Column:
@@ -334,6 +351,6 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     page = Window.partitionBy("source_table", "flow", "page").orderBy("seq")
     whole = Window.partitionBy("source_table", "flow", "page")
     out = full.withColumn("clean", F.trim(clean)).withColumn("width", F.percentile(F.length("text"), F.lit(0.75)).over(whole))
-    closes = (F.col("source_table") == "subsection_report") | (F.col("text").rlike(r"[.!?…。][\"”’»)]*\s*$") & (F.length("text") < 0.8 * F.col("width"))) | (F.col("page").isNull())
+    closes = (F.col("source_table") == REPORT) | (F.col("text").rlike(r"[.!?…。][\"”’»)]*\s*$") & (F.length("text") < 0.8 * F.col("width"))) | (F.col("page").isNull())
     numbered = out.withColumn("closes", F.coalesce(F.lag(closes).over(page), F.lit(True))).withColumn("paragraph", F.max(F.when(F.col("closes"), F.col("seq"))).over(page.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.where("clean <> ''").groupBy("source_table", "flow", "page", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "clean"))), lambda x: x["clean"]), " ").alias("text"))
+    return _named(numbered.where("clean <> ''").groupBy("source_table", "flow", "page", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "clean"))), lambda x: x["clean"]), " ").alias("text")))
