@@ -15,100 +15,114 @@ class ConfigError(ValueError):
     """A setting that is unknown, of the wrong type or out of bounds."""
 
 
-def setting(default: Any, low: float | None = None, high: float | None = None, open_low: bool = False, choices: tuple[str, ...] = ()) -> Any:
-    return field(default=default, metadata={"low": low, "high": high, "open_low": open_low, "choices": choices})
-
-
-def _check(owner: Any) -> None:
-    for f in dataclasses.fields(owner):
-        value, meta = getattr(owner, f.name), f.metadata
-        if not meta:
-            continue
-        if isinstance(f.default, bool):
-            if not isinstance(value, bool):
-                raise ConfigError(f"{f.name}: true or false expected, got {value!r}")
-            continue
-        if meta["choices"]:
-            if value not in meta["choices"]:
-                raise ConfigError(f"{f.name}: one of {', '.join(meta['choices'])} expected, got {value!r}")
-            continue
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or (isinstance(f.default, int) and not isinstance(value, int)):
-            raise ConfigError(f"{f.name}: a number expected, got {value!r}")
-        low, high = meta["low"], meta["high"]
-        if low is not None and (value <= low if meta["open_low"] else value < low) or high is not None and value > high:
-            raise ConfigError(f"{f.name}: {value!r} is out of bounds")
+# The settings of each section, as name | default | bounds; [ and ] include the bound, ( and ) don't, choices stand apart by blanks.
+SETTINGS = """
+[typography]
+heading_candidate_mode | font | position font position_and_font
+body_font_text_coverage | 0.95 | (0, 1]
+body_font_max_words | 20 | [1,
+max_headings_per_page | 0 | [0,
+size_class_depth | 0 | [0,
+position_min_repeated_pages | 5 | [1,
+line_y_tolerance_ratio | 0.55 | (0,
+min_tier_count | 5 | [1,
+max_heading_tier | 3 | [1,
+max_heading_length | 160 | [1,
+min_heading_confidence | 0.45 | [0, 1]
+heading_merge_gap_ratio | 1.5 | (0,
+bpe_min_pair_count | 15 | [1,
+bpe_max_iterations | 50 | [1,
+bpe_max_node_words | 30 | [1,
+bpe_level_pollution_ratio | 0.3 | [0, 1]
+margin_band_ratio | 0.12 | (0, 0.25]
+margin_position_tolerance_ratio | 0.015 | (0,
+margin_min_consecutive_pages | 10 | [2,
+margin_min_repeated_lines | 3 | [1,
+margin_max_page_number | 3000 | [1,
+position_fallback_enabled | true |
+position_fallback_tolerance | 2.0 | (0,
+position_fallback_min_isolation_ratio | 1.0 | [0,
+position_fallback_body_font_ratio_low | 0.97 | (0,
+position_fallback_body_font_ratio_high | 1.03 | (0,
+position_fallback_title_dedupe_threshold | 0.8 | [0, 1]
+[markdown]
+enabled | true |
+max_words | 10000 | [1,
+max_words_coverage | 0.95 | (0, 1]
+prefer | coarsest | coarsest
+[outline_quality]
+min_item_count | 4 | [0,
+max_item_to_page_ratio | 0.9 | (0,
+flag_numeric_only_titles | true |
+replace_when_low_quality | false |
+[processing]
+skip_existing_bookmarks | true |
+write_artifacts | true |
+ocr_policy | never | never
+markdown_content_mode | direct | direct inclusive
+"""
 
 
 @dataclass(frozen=True)
-class TypographyConfig:
-    heading_candidate_mode: str = setting("font", choices=("position", "font", "position_and_font"))
-    body_font_text_coverage: float = setting(0.95, 0, 1, open_low=True)
-    body_font_max_words: int = setting(20, 1)
-    max_headings_per_page: int = setting(0, 0)
-    size_class_depth: int = setting(0, 0)
-    position_min_repeated_pages: int = setting(5, 1)
-    line_y_tolerance_ratio: float = setting(0.55, 0, open_low=True)
-    min_tier_count: int = setting(5, 1)
-    max_heading_tier: int = setting(3, 1)
-    max_heading_length: int = setting(160, 1)
-    min_heading_confidence: float = setting(0.45, 0, 1)
-    heading_merge_gap_ratio: float = setting(1.5, 0, open_low=True)
-    bpe_min_pair_count: int = setting(15, 1)
-    bpe_max_iterations: int = setting(50, 1)
-    bpe_max_node_words: int = setting(30, 1)
-    bpe_level_pollution_ratio: float = setting(0.30, 0, 1)
-    margin_band_ratio: float = setting(0.12, 0, 0.25, open_low=True)
-    margin_position_tolerance_ratio: float = setting(0.015, 0, open_low=True)
-    margin_min_consecutive_pages: int = setting(10, 2)
-    margin_min_repeated_lines: int = setting(3, 1)
-    margin_max_page_number: int = setting(3000, 1)
-    position_fallback_enabled: bool = setting(True)
-    position_fallback_tolerance: float = setting(2.0, 0, open_low=True)
-    position_fallback_min_isolation_ratio: float = setting(1.0, 0)
-    position_fallback_body_font_ratio_low: float = setting(0.97, 0, open_low=True)
-    position_fallback_body_font_ratio_high: float = setting(1.03, 0, open_low=True)
-    position_fallback_title_dedupe_threshold: float = setting(0.8, 0, 1)
-
-    def __post_init__(self) -> None:
-        _check(self)
-        if self.position_fallback_body_font_ratio_low > self.position_fallback_body_font_ratio_high:
-            raise ConfigError("position_fallback_body_font_ratio_low is above position_fallback_body_font_ratio_high")
+class Rule:
+    """What a setting may be: of the kind of its default, one of the choices, or within the bounds."""
+
+    default: Any
+    choices: tuple[str, ...] = ()
+    low: float | None = None
+    high: float | None = None
+    open_low: bool = False
+
+    def accepts(self, value: Any) -> bool:
+        if isinstance(self.default, bool) or isinstance(value, bool):
+            return isinstance(self.default, bool) and isinstance(value, bool)
+        if self.choices:
+            return value in self.choices
+        if not isinstance(value, (int, float)) or isinstance(self.default, int) and not isinstance(value, int):
+            return False
+        above = self.low is None or value > self.low or value == self.low and not self.open_low
+        return above and (self.high is None or value <= self.high)
+
+
+def _rules(text: str) -> dict[str, dict[str, Rule]]:
+    sections: dict[str, dict[str, Rule]] = {}
+    for line in text.strip().splitlines():
+        if line.startswith("["):
+            here = sections.setdefault(line.strip("[]"), {})
+            continue
+        name, default, limits = (part.strip() for part in line.split("|"))
+        if default in ("true", "false") or default[0].isdigit():
+            low, _, high = limits[1:].rstrip("]").partition(",")
+            bounds = {"low": float(low), "high": float(high) if high.strip() else None, "open_low": limits[0] == "("} if limits else {}
+            here[name] = Rule(json.loads(default), **bounds)
+        else:
+            here[name] = Rule(default, choices=tuple(limits.split()))
+    return sections
 
 
-@dataclass(frozen=True)
-class MarkdownSplitConfig:
-    enabled: bool = setting(True)
-    max_words: int = setting(10000, 1)
-    max_words_coverage: float = setting(0.95, 0, 1, open_low=True)
-    prefer: str = setting("coarsest", choices=("coarsest",))
+RULES = _rules(SETTINGS)
 
-    def __post_init__(self) -> None:
-        _check(self)
 
+def _checked(section: str):
+    def check(self) -> None:
+        for name, rule in RULES[section].items():
+            if not rule.accepts(getattr(self, name)):
+                raise ConfigError(f"{name}: {getattr(self, name)!r} is no value that {section} takes")
+        if section == "typography" and self.position_fallback_body_font_ratio_low > self.position_fallback_body_font_ratio_high:
+            raise ConfigError("position_fallback_body_font_ratio_low is above position_fallback_body_font_ratio_high")
 
-@dataclass(frozen=True)
-class OutlineQualityConfig:
-    min_item_count: int = setting(4, 0)
-    max_item_to_page_ratio: float = setting(0.9, 0, open_low=True)
-    flag_numeric_only_titles: bool = setting(True)
-    replace_when_low_quality: bool = setting(False)
+    return check
 
-    def __post_init__(self) -> None:
-        _check(self)
 
+def _section(name: str, section: str, parts: tuple[tuple[str, type], ...] = ()) -> type:
+    fields = [(k, type(r.default), field(default=r.default, metadata={"rule": r})) for k, r in RULES[section].items()]
+    return dataclasses.make_dataclass(name, [*fields, *((k, t, field(default=t())) for k, t in parts)], frozen=True, namespace={"__post_init__": _checked(section), "__module__": __name__})
 
-@dataclass(frozen=True)
-class ProcessingConfig:
-    skip_existing_bookmarks: bool = setting(True)
-    write_artifacts: bool = setting(True)
-    ocr_policy: str = setting("never", choices=("never",))
-    markdown_content_mode: str = setting("direct", choices=("direct", "inclusive"))
-    typography: TypographyConfig = TypographyConfig()
-    markdown: MarkdownSplitConfig = MarkdownSplitConfig()
-    outline_quality: OutlineQualityConfig = OutlineQualityConfig()
 
-    def __post_init__(self) -> None:
-        _check(self)
+TypographyConfig = _section("TypographyConfig", "typography")
+MarkdownSplitConfig = _section("MarkdownSplitConfig", "markdown")
+OutlineQualityConfig = _section("OutlineQualityConfig", "outline_quality")
+ProcessingConfig = _section("ProcessingConfig", "processing", (("typography", TypographyConfig), ("markdown", MarkdownSplitConfig), ("outline_quality", OutlineQualityConfig)))
 
 
 SECTIONS = {"typography": TypographyConfig, "markdown": MarkdownSplitConfig, "outline_quality": OutlineQualityConfig}
@@ -180,16 +194,10 @@ def schema() -> dict[str, Any]:
     """JSON Schema of the settings."""
 
     def of(f: dataclasses.Field) -> dict[str, Any]:
-        m = f.metadata
-        kind = "boolean" if isinstance(f.default, bool) else "integer" if isinstance(f.default, int) else "number" if isinstance(f.default, float) else "string"
-        out: dict[str, Any] = {"type": kind, "default": f.default}
-        if m["choices"]:
-            out["enum"] = list(m["choices"])
-        if m["low"] is not None:
-            out["exclusiveMinimum" if m["open_low"] else "minimum"] = m["low"]
-        if m["high"] is not None:
-            out["maximum"] = m["high"]
-        return out
+        r = f.metadata["rule"]
+        kind = next(n for t, n in ((bool, "boolean"), (int, "integer"), (float, "number"), (str, "string")) if isinstance(r.default, t))
+        bounds = {"enum": list(r.choices) or None, "exclusiveMinimum" if r.open_low else "minimum": r.low, "maximum": r.high}
+        return {"type": kind, "default": r.default, **{k: v for k, v in bounds.items() if v is not None}}
 
     parts = {s: {"type": "object", "additionalProperties": False, "properties": {f.name: of(f) for f in dataclasses.fields(k)}} for s, k in SECTIONS.items()}
     own = {f.name: of(f) for f in dataclasses.fields(ProcessingConfig) if f.name not in SECTIONS}
@@ -207,3 +215,22 @@ def to_toml(config: ProcessingConfig) -> str:
         if isinstance(values, dict):
             out += ["", f"[{section}]", *(f"{k} = {lit(v)}" for k, v in values.items())]
     return "\n".join(out) + "\n"
+
+
+def explain(name: str) -> dict[str, Any]:
+    """What ``section.key`` may be: its default, choices and bounds, with the layers that can set it."""
+    section, _, key = name.partition(".")
+    _known(section, {key: None}, set(RULES.get(section, {})))
+    if section not in RULES:
+        raise ConfigError(f"unknown section {section}")
+    r = RULES[section][key]
+    return {"name": name, "default": r.default, "choices": list(r.choices), "low": r.low, "high": r.high, "open_low": r.open_low, "layers": ["defaults", "TOML file", "options", "single overrides"]}
+
+
+def validate(toml_text: str) -> list[str]:
+    """Faults of a TOML text, one message each; none for a good one."""
+    try:
+        resolve(toml_text)
+    except (ConfigError, tomllib.TOMLDecodeError, TypeError) as e:
+        return [str(e)]
+    return []

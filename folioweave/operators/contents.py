@@ -75,32 +75,130 @@ def chapter_of_page(pages: DataFrame, chapters: DataFrame) -> DataFrame:
     return pages.join(best, ["report_id", "page"], "left").select(*pages.columns, F.col("k.chapter").alias("owner_chapter"))
 
 
+# How a chapter begins, in Korean and in English; what a contents page and a chapter's first page say; a subsection's number; exercises.
+CHAPTER_KO = r"^\s*(?:제\s*)?(\d{1,3})\s*(?:장|잠)(.*)$"
+CHAPTER_EN = r"(?i)^\s*(?:chapter|chap\.)\s+(\d{1,3}|[ivxlcdm]+)(.*)$"
+CONTENTS_WORDS = r"(?i)목차|contents|table\s+of\s+contents"
+OPENER_WORDS = r"(?i)무엇을\s*배우|왜\s*필요|언제\s*필요|what\s+you|why\s+(?:is|do)|introduction"
+SUBSECTION = r"^\s*(\d{1,3})\s*[.-]\s*(\d{1,3}(?:\s*[.-]\s*\d{1,3})?)\s*(.*)$"
+EXERCISES = r"^\s*(?:[<〈]?\s*)연습문제"
+PARTICLE = r"^(?:의|에서|을|를|이|가|그|과)\s"
+
+
+def clean_title(title: Column) -> Column:
+    """A title without odd blanks, outer signs and a page number at its end."""
+    ends = lambda t: F.regexp_replace(t, r"^[ \-:|_]+|[ \-:|_]+$", "")
+    return ends(F.regexp_replace(ends(F.regexp_replace(title, r"\s+", " ")), r"(?i)\s+(?:page\s*)?\d{1,4}\s*$", ""))
+
+
+def _chapter(line: Column) -> tuple[Column, Column]:
+    """Number of the chapter that a line opens, null if none, and the rest of the line."""
+    ko, en = F.regexp_extract(line, CHAPTER_KO, 1), F.regexp_extract(line, CHAPTER_EN, 1)
+    number = F.when(ko != "", ko.cast("int")).when(en.rlike(r"^\d+$"), F.try_to_number(en, F.lit("999")).cast("int")).when(en != "", roman_value(en))
+    return number, F.when(ko != "", F.regexp_extract(line, CHAPTER_KO, 2)).otherwise(F.regexp_extract(line, CHAPTER_EN, 2))
+
+
+def _following(lines: Column, stops: Column, most: int) -> Column:
+    """Up to ``most`` of ``lines`` put together, until one stops; ``stops(line)`` is "skip", "stop" or null."""
+    empty = F.struct(F.lit(False).alias("over"), F.array().cast("array<string>").alias("parts"))
+
+    def put(acc: Column, line: Column) -> Column:
+        what = stops(line)
+        over = acc["over"] | (F.size(acc["parts"]) >= most) | F.coalesce(what == "stop", F.lit(False))
+        return F.struct(over.alias("over"), F.when(over | F.coalesce(what == "skip", F.lit(False)), acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.trim(line)))).alias("parts"))
+
+    return clean_title(F.array_join(F.aggregate(lines, empty, put)["parts"], " "))
+
+
 def chapter_candidates(page_texts: DataFrame) -> DataFrame:
-    """(book_id, pdf_page, number, title, score) of pages that open with a chapter heading.
+    """(book_id, pdf_page, number, title, score, standalone, toc_like, line): lines among a page's first 24 that open a chapter.
 
-    A chapter word scores 3, a bare number 1; half of the letters upper case or a short line add 1 each.
+    A line that is the marker alone scores 5 and takes its title from the lines below; a place among the first five lines 3, among the
+    first fourteen 1; a title of three characters 1; a page of eight lines 1; the words of a first page 2. A page that reads like
+    contents (says so, or names three chapters) loses 8, a page number at the end of the line 1. Without a title it is "Chapter n".
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\R"), lambda l: F.regexp_replace(l, r"\s+$", "")), lambda l: F.trim(l) != "")
+    pages = page_texts.select("book_id", "pdf_page", lines.alias("lines"))
+    found = pages.select("*", F.posexplode(F.slice("lines", F.lit(1), F.lit(24))).alias("at", "raw")).withColumn("line", F.trim("raw"))
+    number, rest = _chapter(F.col("line"))
+    found = found.withColumn("number", number).where("number is not null").withColumn("rest", rest)
+    standalone = F.trim("rest") == ""
+
+    def stops(line: Column) -> Column:
+        t = F.trim(line)
+        return F.when(is_page_number(t), "skip").when(_chapter(t)[0].isNotNull() | t.rlike(r"^[•*-]") | (F.length(t) > 100), "stop")
+
+    below = _following(F.slice("lines", F.col("at") + 2, F.lit(3)), stops, 2)
+    title = F.when(standalone, below).otherwise(clean_title(F.col("rest")))
+    found = found.withColumn("standalone", standalone).withColumn("title", F.when(title == "", F.concat(F.lit("Chapter "), "number")).otherwise(title))
+    page = Window.partitionBy("book_id", "pdf_page")
+    distinct = F.size(F.collect_set("number").over(page))
+    head = lambda n: F.array_join(F.slice("lines", F.lit(1), F.lit(n)), " ")
+    place = F.array_position(F.transform("lines", lambda l: F.trim(l)), F.col("line")) - 1
+    part = lambda c, n: F.when(c, n).otherwise(0)
+    rated = found.withColumn("toc_like", head(40).rlike(CONTENTS_WORDS) | (distinct >= 3)).withColumn("place", place)
+    score = (
+        part(F.col("standalone"), 5) + F.when(F.col("place") < 5, 3).when(F.col("place") < 14, 1).otherwise(0) + part(F.length("title") >= 3, 1) + part(F.size("lines") >= 8, 1)
+        + part(head(30).rlike(OPENER_WORDS), 2) - part(F.col("toc_like"), 8) - part(F.col("line").rlike(r"\s\d{1,4}$"), 1)
+    )
+    return rated.select("book_id", "pdf_page", "number", "title", score.alias("score"), "standalone", "toc_like", F.col("at").alias("line_no"), "line")
+
+
+def chapter_boundaries(candidates: DataFrame, minimum_score: int = 5) -> DataFrame:
+    """(book_id, number, start_page, title, score): where each chapter begins, one chapter a page.
+
+    A number's best candidate counts, of equals the earliest page, if it scores enough. A number without one is put in between its
+    neighbours: the first of its candidates behind all chapters of smaller numbers and before all strong ones of larger
+    numbers, those put in before it included. Pages that read like contents give none.
     """
-    first = page_texts.select("book_id", "pdf_page", F.get(X.text_lines("text"), F.lit(0)).alias("head")).where("head is not null")
-    word = F.regexp_extract("head", r"(?i)^(?:chapter|kapitel|chapitre|capítulo|глава)\s+(\d+|[ivxlc]+)\b[.:]?\s*(.*)$", 1)
-    bare = F.regexp_extract("head", r"^(\d{1,2})\.?\s+(\p{Lu}.*)$", 1)
-    number = F.when(word != "", F.coalesce(F.expr("try_cast(word as int)"), roman_value(F.col("word")))).otherwise(F.expr("try_cast(bare as int)"))
-    rows = first.withColumn("word", word).withColumn("bare", bare).withColumn("number", number).where("number is not null")
-    title = F.when(F.col("word") != "", F.regexp_extract("head", r"(?i)^\S+\s+\S+?[.:]?\s+(.*)$", 1)).otherwise(F.regexp_extract("head", r"^\d{1,2}\.?\s+(.*)$", 1))
-    upper = F.try_divide(F.regexp_count("head", F.lit(r"\p{Lu}")), F.regexp_count("head", F.lit(r"\p{L}")))
-    score = F.when(F.col("word") != "", 3).otherwise(1) + F.when(upper >= 0.5, 1).otherwise(0) + F.when(F.length("head") <= 60, 1).otherwise(0)
-    return rows.select("book_id", "pdf_page", "number", title.alias("title"), score.alias("score"))
-
-
-def chapter_boundaries(candidates: DataFrame) -> DataFrame:
-    """(book_id, number, start_page): for each number the best candidate that keeps the chapters in page order.
-
-    The best candidate of a number is its highest score, of equals the earliest page; those that
-    go back behind an earlier number's page are left out.
+    option = F.struct("pdf_page", (-F.col("score")).alias("minus"), "title")
+    strong = F.max_by(F.struct("pdf_page", "score", "title"), F.when(F.col("score") >= minimum_score, F.struct(F.col("score").alias("s"), (-F.col("pdf_page")).alias("p"), (-F.col("line_no")).alias("l"))))
+    each = candidates.where("not toc_like").groupBy("book_id", "number").agg(strong.alias("best"), F.max("score").alias("top"), F.array_sort(F.collect_list(option)).alias("options"))
+    each = each.withColumn("best", F.when(F.col("top") >= minimum_score, F.col("best")))
+    later = Window.partitionBy("book_id").orderBy("number").rowsBetween(1, Window.unboundedFollowing)
+    each = each.withColumn("upper", F.coalesce(F.min("best.pdf_page").over(later), F.lit(1 << 30)))
+    # chapters of one book, in order: each one's choice depends on the pages chosen before it
+    books = each.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("number", "best", "options", "upper"))).alias("c"))
+    start = F.struct(F.lit(0).alias("low"), F.array().cast("array<struct<number:int,page:int,title:string,score:int>>").alias("out"))
+
+    def put(acc: Column, c: Column) -> Column:
+        fits = F.get(F.filter(c["options"], lambda o: (o["pdf_page"] > acc["low"]) & (o["pdf_page"] < c["upper"])), F.lit(0))
+        page = F.coalesce(c["best"]["pdf_page"], fits["pdf_page"])
+        one = F.struct(c["number"].alias("number"), page.cast("int").alias("page"), F.when(c["best"].isNotNull(), c["best"]["title"]).otherwise(fits["title"]).alias("title"), F.coalesce(c["best"]["score"], -fits["minus"]).cast("int").alias("score"))
+        return F.when(page.isNull(), acc).otherwise(F.struct(F.greatest(acc["low"], page).cast("int").alias("low"), F.concat(acc["out"], F.array(one)).alias("out")))
+
+    chosen = books.select("book_id", F.explode(F.aggregate("c", start, put)["out"]).alias("x")).select("book_id", "x.number", F.col("x.page").alias("start_page"), "x.title", "x.score")
+    first = Window.partitionBy("book_id", "start_page").orderBy("number")
+    return chosen.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+
+
+def subsections(page_texts: DataFrame, chapters: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(book_id, chapter, number, title, pdf_page, line_no, raw_line): numbered subsections in the text of each chapter (book_id, number, start_page, end_page).
+
+    A title that the line lacks is taken from the next two lines. Titles of under 2 or over 100 characters, without
+    a letter, with a digit, ending like a sentence or beginning with a particle are none. From a chapter's exercises on nothing counts. Of equal numbers
+    on a page the first counts; with ``allowed`` (book_id, subsection) only those do, each once a chapter.
     """
-    best = Window.partitionBy("book_id", "number").orderBy(F.desc("score"), "pdf_page")
-    one = candidates.withColumn("r", F.row_number().over(best)).where("r = 1")
-    before = F.max("pdf_page").over(Window.partitionBy("book_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
-    return one.withColumn("b", before).where("b is null or pdf_page > b").select("book_id", "number", F.col("pdf_page").alias("start_page"), "title", "score")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\R"), lambda l: F.regexp_replace(l, r"\s+$", ""))
+    pages = chapters.select("book_id", F.col("number").alias("chapter"), F.explode(F.sequence("start_page", "end_page")).alias("pdf_page")).join(page_texts.select("book_id", "pdf_page", lines.alias("lines")), ["book_id", "pdf_page"])
+    rows = pages.select("*", F.posexplode("lines").alias("line_no", "raw")).withColumn("raw_line", F.trim("raw"))
+    ends = rows.where(F.col("raw").rlike(EXERCISES)).groupBy("book_id", "chapter").agg(F.min(F.struct("pdf_page", "line_no")).alias("end"))
+    hit = rows.where(F.col("raw_line").rlike(SUBSECTION)).join(ends, ["book_id", "chapter"], "left").where(F.col("end").isNull() | (F.struct("pdf_page", "line_no") < F.col("end")))
+    group = lambda k: F.regexp_extract("raw_line", SUBSECTION, k)
+    hit = hit.where(group(1).cast("int") == F.col("chapter"))
+    below = _following(F.slice("lines", F.col("line_no") + 2, F.lit(2)), lambda l: F.when((F.trim(l) == "") | (F.length(F.trim(l)) > 100) | F.trim(l).rlike(SUBSECTION), "stop"), 2)
+    title = F.when(F.trim(group(3)) != "", clean_title(group(3))).otherwise(F.when(below == "", "Untitled subsection").otherwise(below))
+    number = F.concat(group(1), F.lit("."), F.regexp_replace(group(2), r"\s+", ""))
+    found = hit.select("book_id", "chapter", number.alias("number"), title.alias("title"), "pdf_page", "line_no", "raw_line")
+    t = F.col("title")
+    found = found.where(F.length(t).between(2, 100) & t.rlike(r"\p{L}") & ~t.rlike(r"\d|[.!?]$") & ~t.rlike(PARTICLE))
+    key = ["book_id", "chapter", "number"]
+    if allowed is not None:
+        found = found.join(allowed.select("book_id", F.col("subsection").alias("number")).distinct(), ["book_id", "number"], "left_semi")
+    else:
+        key = [*key, "pdf_page"]
+    first = Window.partitionBy(*key).orderBy("pdf_page", "line_no")
+    return found.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
 def unwrapped(page_texts: DataFrame) -> DataFrame:

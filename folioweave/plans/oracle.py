@@ -216,7 +216,7 @@ _CANDIDATES = _CHUNKS + f"""
 , bs as (select t.book_id, quantile_cont(font_size::double, 0.5) as body_size from t join bod on t.book_id = bod.book_id and t.tier = bod.tier and bod.body group by all),
 kt as (select book_id, tier, row_number() over (partition by book_id order by tier) as sr from bod where not body),
 cc as (select c3.*, 1 + (select count(*) from fv where fv.book_id = c3.book_id and fv.cut > c3.font_size)::int as tier from c3),
-cd as (select cc.*, sr from cc join kt using (book_id, tier) join bs using (book_id) where cc.font_size > body_size and {_words('text')} <= 30)
+cd as (select cc.*, sr from cc join kt using (book_id, tier) join bs using (book_id) where cc.font_size > body_size and {_words('text')} <= 20)
 """
 ORACLE["page_cap_filter"] = _CANDIDATES + "select book_id, chunk_id, tier from (select *, count(*) over (partition by book_id, pdf_page) as n from cd) where n <= 2"
 
