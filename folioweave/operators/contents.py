@@ -63,7 +63,7 @@ def filled_pages(rows: DataFrame, group: list[str], order: str, page: str) -> Da
         F.when(before.isNotNull() & after.isNotNull(), after - halved(after - before, k))
         .when(before.isNotNull(), F.least(before + k, hi))
         .when(after.isNotNull(), after - halved(after - head, k - 1))
-        .otherwise(F.least(lo + k - 1, hi))
+        .otherwise(F.when(k == 1, lo).otherwise(F.least(lo + k - 1, hi)))
     )
     return near.withColumn("inferred_page", F.coalesce("__ok", inferred).cast("int")).drop("__ok", "__n", "__b", "__f")
 
