@@ -36,12 +36,16 @@ def boundaries(docs: DataFrame, key: list[str]) -> DataFrame:
     """(key, n, max_words, overlap, pos, rank) of the legal boundaries of each oversized text.
 
     A boundary is named by the number of words before it. Natural ones are as :func:`_rank`
-    says. Where two of them are farther apart than a quarter of what a piece may add, word
-    boundaries at that spacing stand in, so that a successor always exists.
+    says; inside a fenced block of code there are none. Where two of them are farther apart than a
+    quarter of what a piece may add, word boundaries at that spacing stand in, so that a successor always exists.
     """
     step = F.greatest(F.lit(1), F.floor((F.col("max_words") - F.col("overlap")) / 4)).cast("int")
     marked = docs.withColumn("marks", F.zip_with("words", F.concat(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(1))), F.array(F.lit(""))), lambda a, b: _rank(a, F.coalesce(b, F.lit("")))))
+    fences = F.filter(F.transform("words", lambda w, i: F.when(w.startswith("```") | w.startswith("~~~"), i)), lambda i: i.isNotNull())
+    marked = marked.withColumn("fences", fences)
+    outside = lambda pos: F.size(F.filter("fences", lambda f: f < pos)) % 2 == 0
     natural = F.filter(F.transform("marks", lambda r, i: F.struct((i + 1).alias("pos"), r.alias("rank"))), lambda x: (x["rank"] > 0) & (x["pos"] < F.col("n")))
+    natural = F.when(F.size("fences") > 0, F.filter(natural, lambda x: outside(x["pos"]))).otherwise(natural)
     start, end = F.struct(F.lit(0).alias("pos"), F.lit(3).alias("rank")), F.struct(F.col("n").alias("pos"), F.lit(3).alias("rank"))
     wide = marked.withColumn("marks", F.concat(F.array(start), natural, F.array(end))).withColumn("step", step)
     filled = F.flatten(
@@ -63,17 +67,15 @@ def successors(bounds: DataFrame, key: list[str]) -> DataFrame:
     """(key, pos, next): the farthest legal successor of each boundary.
 
     A piece from boundary b begins ``overlap`` words earlier (except at 0), so it may reach
-    b + max_words - overlap. Of the boundaries there, the best rank wins among those that fill
-    the piece at least half; failing that the farthest one. Joined on (key, block of positions),
+    b + max_words - overlap. The farthest natural boundary there is its successor, the end of the text first of all; a word
+    boundary is legal only where no natural one is within reach. Joined on (key, block of positions),
     blocks being as wide as a piece: a boundary meets only the boundaries within its reach.
     """
     b = bounds.withColumn("reach", F.col("max_words") - F.when(F.col("pos") > 0, F.col("overlap")).otherwise(0))
     left = b.where("pos < n").select(*key, "pos", "reach", F.col("max_words").alias("w"), F.explode(F.array(F.floor(F.col("pos") / F.col("max_words")), F.floor(F.col("pos") / F.col("max_words")) + 1)).alias("blk"))
     right = b.where("pos > 0").select(*key, F.col("pos").alias("to"), "rank", F.floor(F.col("pos") / F.col("max_words")).alias("blk"), F.col("n"))
     pairs = left.join(right, [*key, "blk"]).where((F.col("to") > F.col("pos")) & (F.col("to") <= F.col("pos") + F.col("reach")))
-    half = 2 * (F.col("to") - F.col("pos")) >= F.col("reach")
-    # the end of the text is always the best place to stop at
-    order = F.struct((F.col("to") == F.col("n")).alias("a"), F.when(half, F.col("rank")).otherwise(-1).alias("b"), F.col("to").alias("c"))
+    order = F.struct((F.col("rank") > 0).alias("natural"), F.col("to").alias("to"))
     return pairs.groupBy(*key, "pos").agg(F.max_by("to", order).alias("next"))
 
 
@@ -107,7 +109,7 @@ def split(docs: DataFrame, key: list[str], text: str, max_words: str, overlap: s
     over = over.withColumn("words", words_of("__text")).drop("__text").withColumn("n", F.size("words")).where("n > max_words")
     over = cut(over)
     bounds = boundaries(over, key)
-    # every two pieces together pass more than half of what a piece may add
+    # two pieces in a row always pass what one may add, else the first would have reached farther; so their number is bounded
     longest = over.agg(F.max(F.ceil(4 * F.col("n") / F.greatest(F.lit(1), F.col("max_words") - F.col("overlap"))) + 2)).first()[0]
     places = cuts(successors(cut(bounds), key), key, longest or 1)
     ends = places.groupBy(*key).agg(F.array_sort(F.collect_list("pos")).alias("ends"))
