@@ -13,12 +13,23 @@ from pyspark.sql import functions as F
 
 from folioweave.llm.tokenize import WHITE
 
-# Thresholds of the published document-quality rules for web corpora (word length,
-# symbol share, bullet share, lines ending in punctuation, common words), in that order, with the
-# structural thresholds of this project after them.
+# Published rules for web corpora. Rae et al. 2021 (Gopher): mean word length from 3 to 10, marks (# and ellipses) up to a
+# tenth of the words, bullets on up to 0.9 and ellipses on up to 0.3 of the lines, two stop words at least.
+# Penedo et al. 2024 (FineWeb): over 0.12 of the lines end in punctuation, under 0.67 of them are short. Gopher's bounds on a document's
+# number of words are left out, as these documents are pages.
+WORD_LENGTH = (3.0, 10.0)
+MAX_MARK_RATIO = 0.1
+MAX_BULLET_LINES = 0.9
+MAX_ELLIPSIS_LINES = 0.3
+MIN_STOP_WORDS = 2
+MIN_PUNCTUATED_LINES = 0.12
+MAX_SHORT_LINES = 0.67
+# Thresholds of this project: they tell what kind of document it is that a published rule fails.
 MAX_WORD_LENGTH = 9.0
 MAX_SYMBOL_SHARE = 0.40
 MIN_COMMON_SHARE = 0.03
+#: Lines of fewer characters are short.
+SHORT_LINE = 30
 TABLE_SHARE = 0.5
 LIST_SHARE = 0.5
 MAX_ODD_PUNCTUATION = 0.3
@@ -46,16 +57,20 @@ ODD_PUNCTUATION = r"(?<=[\p{L}\p{N}])[.,;:?!]++(?=\p{L})|(?<=\s)[.,](?=[\p{L}\s]
 MIXED_WORD = r"\p{L}\p{N}+\p{L}|\p{Ll}\p{Lu}|\p{N}\p{L}+\p{N}"
 
 
-def common_word_table(words: DataFrame, word: str) -> tuple[list[str], int]:
-    """The fixed list of common words as a hash table without collisions, under Spark's own hash."""
-    rows = words.where(F.length(word) > 1).select(word, F.hash(word)).distinct().collect()
-    size = 256
-    while len({h & (size - 1) for _, h in rows}) < len({h for _, h in rows}):
-        size *= 2
-    table = [""] * size
+def common_word_table(words: DataFrame, word: str) -> tuple[list[str], int, int]:
+    """The fixed list of common words as a hash table of eight places a word, under Spark's own hash.
+
+    Words whose place is taken go on to the next free one and ``probes`` tells how far; so the table's size follows the list.
+    """
+    rows = words.where(F.length(word) > 1).select(word, F.hash(word)).distinct().orderBy(word).collect()
+    size = 1 << max(8, (8 * len(rows)).bit_length())
+    table, probes = [""] * size, 1
     for w, h in rows:
-        table[h & (size - 1)] = w
-    return table, size - 1
+        n = 0
+        while table[(h + n) & (size - 1)]:
+            n += 1
+        table[(h + n) & (size - 1)], probes = w, max(probes, n + 1)
+    return table, size - 1, probes
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -66,9 +81,9 @@ def _total(lines: Column, of) -> Column:
     return F.aggregate(lines, F.lit(0), lambda n, x: n + of(x))
 
 
-def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[str], int]) -> DataFrame:
-    """(key, n_words, mean_word_length, symbol_ratio, punct_line_share, bullet_line_share,
-    common_share, table_share, list_share, odd_share, mixed_share, repeats), one row a document.
+def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[str], int, int]) -> DataFrame:
+    """(key, n_words, mean_word_length, symbol_ratio, punct_line_share, bullet_line_share, common_share, n_common,
+    mark_ratio, ellipsis_line_share, short_line_share, table_share, list_share, odd_share, mixed_share, repeats), one row a document.
 
     ``odd_share`` and ``mixed_share`` are of running text only: null for tables and lists.
 
@@ -102,6 +117,7 @@ def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[st
                 lambda k: F.struct(
                     k.alias("k"), x["n"].alias("n"), F.when(k == "u", F.regexp_count(s, F.lit(INNER_END))).otherwise(0).alias("e"),
                     F.when(x["end"], one).otherwise(0).alias("p"), F.when(x["b"], one).otherwise(0).alias("b"),
+                    F.when(s.endswith("...") | s.endswith("…"), one).otherwise(0).alias("y"), F.when(x["n"] < SHORT_LINE, one).otherwise(0).alias("q"),
                 ),
             )[0]
 
@@ -111,10 +127,17 @@ def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[st
         return F.transform(F.array(facts), sized)[0]
 
     lines = F.transform(F.filter(F.split(t, "\n"), lambda l: F.trim(l) != ""), line)
-    table, mask = common_words
+    table, mask, probes = common_words
     literal = F.from_json(F.lit(json.dumps(table)), "array<string>")
-    common = F.size(F.filter(F.array_remove(F.split(F.lower(F.col("plain")), " "), ""), lambda w: F.get(literal, F.hash(w).bitwiseAND(F.lit(mask))) == w))
-    counts = ("all", "t", "l", "u", "nu", "e", "p", "b", "np")
+
+    def is_common(w: Column) -> Column:
+        hit = F.get(literal, F.hash(w).bitwiseAND(F.lit(mask))) == w
+        for n in range(1, probes):
+            hit = hit | (F.get(literal, (F.hash(w) + n).bitwiseAND(F.lit(mask))) == w)
+        return hit
+
+    common = F.size(F.filter(F.array_remove(F.split(F.lower(F.col("plain")), " "), ""), is_common))
+    counts = ("all", "t", "l", "u", "nu", "e", "p", "b", "np", "y", "q")
     wide = base.withColumn("plain", plain).withColumn("lines", lines)
     sums = wide.select(
         key,
@@ -123,6 +146,7 @@ def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[st
         F.length(F.replace("plain", F.lit(" "), F.lit(""))).alias("chars"),
         F.regexp_count(t, F.lit(rf"[^{WHITE}\p{{L}}\p{{N}}\p{{M}}]")).alias("symbols"),
         common.alias("common"),
+        (F.length("plain") - F.length(F.replace(F.replace(F.replace("plain", F.lit("#"), F.lit("")), F.lit("..."), F.lit("..")), F.lit("…"), F.lit("")))).alias("marks"),
         F.size("lines").alias("n_lines"),
         F.aggregate(
             "lines",
@@ -137,6 +161,8 @@ def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[st
                 (a["p"] + i["p"]).alias("p"),
                 (a["b"] + i["b"]).alias("b"),
                 (a["np"] + F.when(i["k"] == "p", 1).otherwise(0)).alias("np"),
+                (a["y"] + i["y"]).alias("y"),
+                (a["q"] + i["q"]).alias("q"),
             ),
         ).alias("s"),
     )
@@ -162,6 +188,10 @@ def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[st
         _share(s["p"], F.col("n_lines")).alias("punct_line_share"),
         _share(s["b"], F.col("n_lines")).alias("bullet_line_share"),
         _share(F.col("common"), F.size("words")).alias("common_share"),
+        F.col("common").alias("n_common"),
+        _share(F.col("marks"), F.size("words")).alias("mark_ratio"),
+        _share(s["y"], F.col("n_lines")).alias("ellipsis_line_share"),
+        _share(s["q"], F.col("n_lines")).alias("short_line_share"),
         _share(s["t"], s["all"]).alias("table_share"),
         _share(s["l"] + F.when(bare, s["u"]).otherwise(0), s["all"]).alias("list_share"),
     )
@@ -171,7 +201,7 @@ def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[st
     filled = t.isNotNull()
     return shares.select(
         key,
-        *[F.when(filled, F.col(c)).alias(c) for c in ("n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "bullet_line_share", "common_share", "table_share", "list_share")],
+        *[F.when(filled, F.col(c)).alias(c) for c in ("n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "bullet_line_share", "common_share", "n_common", "mark_ratio", "ellipsis_line_share", "short_line_share", "table_share", "list_share")],
         F.when(running & filled, odd).alias("odd_share"),
         F.when(running & filled, mixed).alias("mixed_share"),
         F.when(filled, repeats).otherwise(False).alias("repeats"),
@@ -182,30 +212,41 @@ def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[st
 
 
 def classify(stats: DataFrame, key: str) -> DataFrame:
-    """``stats`` with ``reasons`` (an array, in the order of the rules) and ``kind``.
+    """``stats`` with ``failed`` (the published rules that fail, in their order), ``reasons`` (what speaks for a kind) and ``kind``.
 
-    Kind is ``prose``, ``list``, ``table``, ``junk`` or ``blank``. Junk wins over list, except
+    Kind is ``prose``, ``list``, ``table``, ``junk`` or ``blank``. A document is prose unless a published rule fails; then the
+    reasons tell its kind, and without any it is prose that fails a rule. Junk wins over list, except
     that a table's symbols and figures are no junk.
     """
-    table = F.col("table_share") >= TABLE_SHARE
-    listed = F.col("list_share") >= LIST_SHARE
-    reason = [
+    c = F.col
+    published = [
+        (~c("mean_word_length").between(*WORD_LENGTH), "gopher_word_length"),
+        (c("mark_ratio") > MAX_MARK_RATIO, "gopher_symbol_ratio"),
+        (c("bullet_line_share") > MAX_BULLET_LINES, "gopher_bullet_lines"),
+        (c("ellipsis_line_share") > MAX_ELLIPSIS_LINES, "gopher_ellipsis_lines"),
+        (c("n_common") < MIN_STOP_WORDS, "gopher_stop_words"),
+        (c("punct_line_share") <= MIN_PUNCTUATED_LINES, "fineweb_line_punctuation"),
+        (c("short_line_share") >= MAX_SHORT_LINES, "fineweb_short_lines"),
+    ]
+    table = c("table_share") >= TABLE_SHARE
+    listed = c("list_share") >= LIST_SHARE
+    kinds = [
         (table, "table_rows"),
-        ((F.col("symbol_ratio") > MAX_SYMBOL_SHARE) & ~table, "symbols"),
-        ((F.col("mean_word_length") > MAX_WORD_LENGTH) & ~table, "word_length"),
-        (F.col("repeats") & ~table, "repetition"),
-        ((F.col("odd_share") >= MAX_ODD_PUNCTUATION) & ~table & ~listed, "scattered_punctuation"),
-        ((F.col("mixed_share") > MAX_MIXED_WORDS) & ~table & ~listed, "mixed_words"),
-        ((F.col("common_share") < MIN_COMMON_SHARE) & (F.col("n_words") >= 15) & ~F.col("hangul") & ~table & ~listed, "no_common_words"),
+        ((c("symbol_ratio") > MAX_SYMBOL_SHARE) & ~table, "symbols"),
+        ((c("mean_word_length") > MAX_WORD_LENGTH) & ~table, "word_length"),
+        (c("repeats") & ~table, "repetition"),
+        ((c("odd_share") >= MAX_ODD_PUNCTUATION) & ~table & ~listed, "scattered_punctuation"),
+        ((c("mixed_share") > MAX_MIXED_WORDS) & ~table & ~listed, "mixed_words"),
+        ((c("common_share") < MIN_COMMON_SHARE) & (c("n_words") >= 15) & ~c("hangul") & ~table & ~listed, "no_common_words"),
         (listed & ~table, "entries"),
     ]
-    reasons = F.array_compact(F.array(*[F.when(c & F.col("filled"), F.lit(r)) for c, r in reason]))
+    told = lambda rules: F.array_compact(F.array(*[F.when(r & c("filled"), F.lit(n)) for r, n in rules]))
     first = F.get("reasons", F.lit(0))
     kind = (
-        F.when(~F.col("filled"), "blank")
-        .when(F.size("reasons") == 0, "prose")
+        F.when(~c("filled"), "blank")
+        .when((F.size("failed") == 0) | (F.size("reasons") == 0), "prose")
         .when(first == "table_rows", "table")
         .when(first == "entries", "list")
         .otherwise("junk")
     )
-    return stats.withColumn("reasons", reasons).withColumn("kind", kind).drop("hangul", "filled")
+    return stats.withColumn("failed", told(published)).withColumn("reasons", told(kinds)).withColumn("kind", kind).drop("hangul", "filled")
