@@ -402,3 +402,31 @@ select report_id, page, chapter as owner_chapter from b where n = 1"""
 ORACLE["character_classes"] = r"""
 select doc_id, len(regexp_extract_all(coalesce(text, ''), '[가-힣]'))::int as hangul, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]'))::int as latin, len(regexp_extract_all(coalesce(text, ''), '[0-9]'))::int as digits,
   len(regexp_extract_all(coalesce(text, ''), '[^\s\p{L}\p{N}\p{P}]'))::int as odd from documents"""
+
+# the documents of the level that 300 words ask for, over plans whose levels have no gaps; parts are put in order by page, kind and item
+_RAW_PLAN, _TOTALS = _PLAN.split("tot as (")
+_NORMAL = ORACLE["plan_levels"].split(_PLAN)[1].rsplit("select o.book_id", 1)[0].replace("from p where", "from p0 where").strip().lstrip(",")
+_SPLIT_TAIL = _SPLIT[len(_PLAN.replace("with p", "with recursive p")) :]
+_DOCUMENTS = (
+    _RAW_PLAN.replace("with p as", "with recursive p0 as") + _NORMAL + ", p as (select o.book_id, o.ord::int as ord, title, (1 + above)::int as level, pdf_page from o join d using (book_id, ord)), tot as (" + _TOTALS + _SPLIT_TAIL
+    + f"""
+, cv as (select book_id, split_level, avg((words <= 300)::int) as c from s4 group by all),
+lvl as (select book_id, coalesce(min(split_level) filter (c >= 0.95), max(split_level)) as split_level from cv group by all),
+sx as (select s3.* from s3 join lvl using (book_id, split_level)),
+it as (select sg.book_id, sg.segment, sg.ord, sg.pdf_page, sg.level, sg.title, sx.start_ord, sx.a, sx.b from sg join sx using (book_id, split_level, segment)),
+pt as (select book_id, pdf_page, string_agg({_norm('text')}, chr(10) order by stat_id) as text from (select distinct stat_id, book_id, pdf_page, text from ocr_line_stats where text is not null) group by all),
+parts as (
+  select sx.book_id, segment, -2 as page, 0 as kind, p.ord, {_TITLE} as part, {_words(_TITLE)} as w from sx join ch on ch.book_id = sx.book_id and ch.ord = sx.start_ord join p on p.book_id = ch.book_id and p.ord = ch.above
+  union all select book_id, segment, case when ord = start_ord then -1 when pdf_page between a and b then pdf_page else 1000000000 end, 0, ord, {_TITLE}, {_words(_TITLE)} from it
+  union all select sx.book_id, segment, pt.pdf_page, 1, 0, '<!-- pdf_page ' || pt.pdf_page || ' -->' || chr(10) || chr(10) || text, {_words('text')} from sx join pt on pt.book_id = sx.book_id and pt.pdf_page between a and b where text <> ''),
+md as (select book_id, segment, regexp_replace(string_agg(part, chr(10) || chr(10) order by page, kind, ord), '\\s+$', '') || chr(10) as md, sum(w)::bigint as word_count from parts group by all),
+hd as (select sx.*, p.level, p.title from sx join p on p.book_id = sx.book_id and p.ord = sx.start_ord),
+ct as (select book_id, segment, string_agg(printf('n%04d', ord), '|' order by ord) as contained_ids from it group by all)
+"""
+)
+ORACLE["split_documents"] = _DOCUMENTS + """
+select hd.book_id, printf('n%04d', start_ord) as node_id, row_number() over w as ord, level, a as content_start_page, b::int as content_end_page,
+  (select printf('n%04d', max(x.start_ord)) from hd x where x.book_id = hd.book_id and x.start_ord < hd.start_ord and x.level < hd.level and not exists (select 1 from hd y where y.book_id = hd.book_id and y.start_ord > x.start_ord and y.start_ord < hd.start_ord and y.level <= x.level and false)) as parent_id,
+  printf('n%04d', lag(start_ord) over w) as previous_id, printf('n%04d', lead(start_ord) over w) as next_id, contained_ids, word_count, md5(md) as content_md5, length(md)::int as content_length
+from hd join md using (book_id, segment) join ct using (book_id, segment) window w as (partition by hd.book_id order by start_ord)"""
+ORACLE["split_documents"] = ORACLE["split_documents"].replace(" and not exists (select 1 from hd y where y.book_id = hd.book_id and y.start_ord > x.start_ord and y.start_ord < hd.start_ord and y.level <= x.level and false)", "")

@@ -401,8 +401,7 @@ def node_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each book's split at the level that 300 words ask for, as nodes."""
-    p = O.normalized_plan(_plan(spark, sf_dir))
-    totals = _totals(spark, sf_dir)
+    p, totals = cut(O.normalized_plan(_plan(spark, sf_dir))), cut(_totals(spark, sf_dir))
     level = E.split_level(E.split_segments(p, totals, _page_words(spark, sf_dir)), MarkdownSplitConfig(max_words=300))
     return E.split_nodes(E.split_documents(p, totals, _page_texts(spark, sf_dir), level))
 

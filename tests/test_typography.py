@@ -81,6 +81,16 @@ def test_position_clusters_against_first_fit(spark):
     assert got == want
 
 
+def test_nearest_centres_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [("b", i, i, [float(x) for x in rng.uniform(0, 40, 2)], int(i)) for i in range(60)] + [("one", 1, 1, [1.0, 1.0], 1)]
+    got = {(r.book_id, r.cluster): r.isolation_ratio for r in G.cluster_statistics(spark.createDataFrame(rows, "book_id string, chunk_id bigint, pdf_page int, values array<double>, cluster int")).collect()}
+    c = np.array([r[3] for r in rows[:-1]])
+    d = np.abs(c[:, None] - c[None]).max(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got.pop(("one", 1)) == 0 and np.allclose([got["b", i] for i in range(60)], d.min(axis=1) / 0.05)
+
+
 def test_spans_become_lines(spark):
     kind = "book_id string, pdf_page int, span_seq int, text string, x0 double, y0 double, x1 double, y1 double, size double, font string, flags int"
     rows = [("b", 1, 1, "World", 50.0, 10.0, 90.0, 20.0, 10.0, "Sans-Bold", 0), ("b", 1, 2, "Hello", 10.0, 10.5, 45.0, 20.5, 10.0, "Serif", 0), ("b", 1, 3, "next", 10.0, 30.0, 45.0, 40.0, 10.0, None, 16), ("b", 1, 4, "...", 1.0, 30.0, 2.0, 40.0, 9.0, "x", 0)]
