@@ -58,12 +58,16 @@ MIXED_WORD = r"\p{L}\p{N}+\p{L}|\p{Ll}\p{Lu}|\p{N}\p{L}+\p{N}"
 
 
 def common_word_table(words: DataFrame, word: str) -> tuple[list[str], int, int]:
-    """The fixed list of common words as a hash table of eight places a word, under Spark's own hash.
+    """The fixed list of common words as a hash table under Spark's own hash.
 
-    Words whose place is taken go on to the next free one and ``probes`` tells how far; so the table's size follows the list.
+    Of 8 to 256 places a word, the fewest that part all words are taken. If none do, words whose place is taken go on to the next
+    free one and ``probes`` tells how far; so the table's size follows the list.
     """
     rows = words.where(F.length(word) > 1).select(word, F.hash(word)).distinct().orderBy(word).collect()
     size = 1 << max(8, (8 * len(rows)).bit_length())
+    for _ in range(5):
+        if len({h & (size - 1) for _, h in rows}) < len({h for _, h in rows}):
+            size *= 2
     table, probes = [""] * size, 1
     for w, h in rows:
         n = 0
@@ -146,7 +150,11 @@ def statistics(docs: DataFrame, key: str, text: str, common_words: tuple[list[st
         F.length(F.replace("plain", F.lit(" "), F.lit(""))).alias("chars"),
         F.regexp_count(t, F.lit(rf"[^{WHITE}\p{{L}}\p{{N}}\p{{M}}]")).alias("symbols"),
         common.alias("common"),
-        (F.length("plain") - F.length(F.replace(F.replace(F.replace("plain", F.lit("#"), F.lit("")), F.lit("..."), F.lit("..")), F.lit("…"), F.lit("")))).alias("marks"),
+        # most texts have none of the marks, which is quickly seen
+        F.when(
+            F.col("plain").contains("#") | F.col("plain").contains("...") | F.col("plain").contains("…"),
+            F.length("plain") - F.length(F.replace(F.replace(F.replace("plain", F.lit("#"), F.lit("")), F.lit("..."), F.lit("..")), F.lit("…"), F.lit(""))),
+        ).otherwise(0).alias("marks"),
         F.size("lines").alias("n_lines"),
         F.aggregate(
             "lines",
