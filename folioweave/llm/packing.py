@@ -16,18 +16,21 @@ from pyspark.sql import types as T
 
 from folioweave.runtime import cut
 
+#: What a bin costs besides its capacity, in tokens.
+BIN_COST = 64
 #: Items of one size are ranked in parts of about so many rows.
 RANK_PART = 200_000
 #: Rank blocks for each size, over which the slots of the size are spread.
-BLOCKS = 128
+BLOCKS = 16
 
 
-def plan_bins(histogram: dict[int, int], capacities: Sequence[int]) -> list[tuple[int, int, dict[int, int]]]:
+def plan_bins(histogram: dict[int, int], capacities: Sequence[int], bin_cost: int = BIN_COST) -> list[tuple[int, int, dict[int, int]]]:
     """(capacity, how many such bins, {size: items of it in each bin}) covering the histogram.
 
     The largest remaining size opens a bin. For each permitted capacity the bin is filled with
     the best-fitting (largest) remaining sizes; the capacity with the least cost for each token
-    held is opened, of equals the larger one. The same bin is repeated as long as the counts allow. At the end
+    held is opened, of equals the larger one. A bin costs its capacity and ``bin_cost`` besides, so a short bin is opened where it
+    saves more room than a further bin is worth. The same bin is repeated as long as the counts allow. At the end
     every bin is reduced to the smallest permitted capacity that holds its contents.
     """
     left = {s: n for s, n in histogram.items() if s > 0 and n > 0}
@@ -52,7 +55,7 @@ def plan_bins(histogram: dict[int, int], capacities: Sequence[int]) -> list[tupl
                 k = min(left[s] - need.get(s, 0), room // s)
                 need[s] = need.get(s, 0) + k
                 room -= k * s
-            cost = cap / (cap - room)
+            cost = (cap + bin_cost) / (cap - room)
             if best is None or cost <= best[0]:
                 best = (cost, cap, need, room)
         _, cap, need, room = best

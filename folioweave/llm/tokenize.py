@@ -60,10 +60,9 @@ def merge_word(ranks: dict[bytes, int], parts: list[bytes], limit: int) -> list[
 
 @dataclass(frozen=True)
 class MergeTable:
-    """Open-addressed table of (left id, right id) -> merged id, as two literal arrays."""
+    """Open-addressed table of (left id, right id) -> merged id as one literal array: the pair in the high bits, the merged id in the low 16, -1 where free."""
 
-    keys: str
-    values: str
+    slots: str
     mask: int
     mix: tuple[int, int]
     probes: int
@@ -73,22 +72,22 @@ class MergeTable:
 
 @lru_cache(maxsize=4)
 def merge_table(path: str) -> MergeTable:
-    ranks = load_ranks(path)
+    ranks = read_ranks(path)
     pairs = {}
     for token, rank in ranks.items():
         if len(token) > 1:
             two = merge_word(ranks, [bytes([b]) for b in token], rank)
             if len(two) == 2:
                 pairs[(ranks[two[0]], ranks[two[1]])] = rank
-    size = 1 << (len(pairs) * 4).bit_length()
+    size = 1 << (len(pairs) * 2).bit_length()
     mix = (40503, 9973)
-    keys, values, far = [-1] * size, [-1] * size, 0
+    slots, far = [-1] * size, 0
     for (a, b), rank in sorted(pairs.items(), key=lambda x: x[1]):
         h, n = (a * mix[0] + b * mix[1]) & (size - 1), 1
-        while keys[h] >= 0:
+        while slots[h] >= 0:
             h, n = (h + 1) & (size - 1), n + 1
-        keys[h], values[h], far = a * 65536 + b, rank, max(far, n)
-    return MergeTable(json.dumps(keys), json.dumps(values), size - 1, mix, far, tuple(ranks[bytes([b])] for b in range(256)), max(ranks.values()) + 1)
+        slots[h], far = (a << 32) | (b << 16) | rank, max(far, n)
+    return MergeTable(json.dumps(slots, separators=(",", ":")), size - 1, mix, far, tuple(ranks[bytes([b])] for b in range(256)), max(ranks.values()) + 1)
 
 
 def words_of(text: Column | str) -> Column:
@@ -101,17 +100,15 @@ def _literal(js: str, kind: str) -> Column:
     return F.from_json(F.lit(js), kind)
 
 
-def _rank_of(table: MergeTable, ranks: Column, left: Column, right: Column) -> Column:
-    """Id of the merge of two ids, null where there is none; ``ranks`` holds the literal arrays."""
-    keys, values = ranks["k"], ranks["v"]
-    key = left.cast("long") * 65536 + right
+def _rank_of(table: MergeTable, slots: Column, left: Column, right: Column) -> Column:
+    """Id of the merge of two ids, null where there is none; ``slots`` holds the literal array."""
+    key = F.shiftleft(left.cast("long"), 16).bitwiseOR(right.cast("long"))
     slot = left.cast("long") * table.mix[0] + right * table.mix[1]
     out = None
     for n in range(table.probes):
-        at = (slot + n).bitwiseAND(F.lit(table.mask)).cast("int")
-        here = F.get(keys, at)
-        out = F.when(here == key, F.get(values, at)) if out is None else out.when(here == key, F.get(values, at))
-        out = out.when(here < 0, F.lit(None).cast("int"))
+        here = F.get(slots["k"], (slot + n).bitwiseAND(F.lit(table.mask)).cast("int"))
+        hit, rank = F.shiftright(here, 16) == key, here.bitwiseAND(F.lit(65535)).cast("int")
+        out = (F.when(hit, rank) if out is None else out.when(hit, rank)).when(here < 0, F.lit(None).cast("int"))
     return out
 
 
@@ -124,7 +121,7 @@ def fold_ids(word: Column, table: MergeTable) -> Column:
     # bound once as a lambda's argument, so that the plan holds a single copy
     literal = F.array(
         F.struct(
-            _literal(table.keys, "array<bigint>").alias("k"), _literal(table.values, "array<int>").alias("v"), _literal(json.dumps(table.byte_ids), "array<int>").alias("b"),
+            _literal(table.slots, "array<bigint>").alias("k"), _literal(json.dumps(table.byte_ids), "array<int>").alias("b"),
             F.split(F.lit("".join(chr(FIRST_CHAR + i) for i in range(table.size))), "").alias("c"),
         )
     )
