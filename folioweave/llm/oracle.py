@@ -5,7 +5,7 @@ from __future__ import annotations
 ORACLE: dict[str, str] = {}
 
 # every text survives the round trip
-ORACLE["p8_roundtrip"] = "select doc_id from documents where false"
+ORACLE["p8_roundtrip"] = "select doc_id, length(coalesce(text, ''))::int as n_chars, md5(coalesce(text, '')) as md5 from documents"
 
 # groups are sets of lines all alike, so the lowest line that a line is like names its group
 ORACLE["p2_found"] = """
@@ -21,3 +21,20 @@ select * from o where line_id_b is not null"""
 ORACLE["p1_found"] = r"""
 select distinct run_id, node_id from segments s join split_limits l using (export_mode)
 where len(regexp_extract_all(content_markdown, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > l.max_words"""
+
+_W = r"[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+# size and mean of every group of two lines or more, the groups as in p2_found; which lines are the most typical is told by no SQL
+ORACLE["p2_sizes"] = ORACLE["p2_found"].split("o as (")[0].rstrip(",\n ") + """,
+z as (select n.book_id, n.g, v.* exclude (book_id) from n join v on n.line_id = v.line_id)
+select book_id, count(*) as size, round(avg(x), 4) as mean_x, round(avg(y), 4) as mean_y, round(avg(r), 4) as mean_ratio from z group by book_id, g having count(*) >= 2"""
+
+# what holds of all pieces of a text, wherever they are cut: the first begins at 0, the last ends at the end, each is within the limit, neighbours share the overlap
+ORACLE["p1_coverage"] = f"""
+select distinct run_id, node_id, len(regexp_extract_all(content_markdown, '{_W}'))::bigint as words, true as whole, true as within, true as shared
+from segments join split_limits l using (export_mode) where len(regexp_extract_all(content_markdown, '{_W}')) > l.max_words"""
+
+# statistics that SQL can tell as well
+ORACLE["p10_counts"] = r"""
+with w as (select doc_id, text, list_filter(string_split(regexp_replace(text, '[\n\t\r\x{a0}\x{3000}]', ' ', 'g'), ' '), lambda x: x <> '') as ws from documents where regexp_matches(text, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')),
+c as (select *, list_sum(list_transform(ws, lambda x: length(x))) as chars from w)
+select doc_id, len(ws)::int as n_words, round(chars / len(ws), 6) as mean_word_length, round(len(regexp_extract_all(text, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\p{L}\p{N}\p{M}]')) / chars, 6) as symbol_ratio from c"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioweave.llm import clustering, linkage, mojibake, ocrnoise, packing, quality, splitting, tokenize
@@ -31,24 +31,25 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose decoded ids are not their text: none."""
-    docs = _documents(spark, sf_dir)
-    back = tokenize.decode(tokenize.encode(docs, "doc_id", "text"), "doc_id").withColumnRenamed("text", "back")
-    return docs.join(back, "doc_id").where(~F.coalesce("text", F.lit("")).eqNullSafe(F.col("back"))).select("doc_id")
+    """Length and checksum of every document's text as its ids give it back."""
+    back = tokenize.decode(tokenize.encode(_documents(spark, sf_dir), "doc_id", "text"), "doc_id")
+    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+CAPACITIES = (256, 512, 1024, 2048)
 
 
 @query
 def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's parts with the container of 2,048 tokens that holds them."""
+    """Every document's parts with the container of 2,048 tokens that holds them; a container that holds less is cut down to the next permitted length."""
     sizes = tokenize.encode(_documents(spark, sf_dir), "doc_id", "text", count_only=True)
-    return packing.pack(sizes, "doc_id", "n_tokens", (2048,))
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITIES)
 
 
 @query
-def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with four permitted sequence lengths."""
-    sizes = tokenize.encode(_documents(spark, sf_dir), "doc_id", "text", count_only=True)
-    return packing.pack(sizes, "doc_id", "n_tokens", (256, 512, 1024, 2048))
+def p9_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, parts and tokens by permitted length."""
+    return p9_bins(spark, sf_dir).groupBy("bin_capacity").agg(F.count_distinct("bin_id").alias("bins"), F.count("*").alias("parts"), F.sum("n_tokens").alias("tokens"))
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.where("kind in ('list', 'table', 'junk')")
 
 
+@query
+def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, mean word length and symbol ratio of every document that isn't blank."""
+    q = _quality(spark, sf_dir).where("kind <> 'blank'")
+    return q.select("doc_id", "n_words", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("symbol_ratio", 6).alias("symbol_ratio"))
+
+
 @query
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics of every document, with the rules it fails."""
@@ -91,6 +99,13 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.described(_style_clusters(spark, sf_dir), "line_id", "book_id", STYLE).drop("cluster")
 
 
+@query
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and middle of every group of two lines or more."""
+    d = clustering.described(_style_clusters(spark, sf_dir), "line_id", "book_id", STYLE)
+    return d.select("book_id", "size", *[F.round(f"mean_{a.column}", 4).alias(n) for a, n in zip(STYLE, ("mean_x", "mean_y", "mean_ratio"))])
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = load(spark, sf_dir, "segments", ["run_id", "node_id", "export_mode", "content_markdown"])
     # the limits are a fixed table with a row for each export mode
@@ -110,6 +125,21 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+@query
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every oversized segment: its words, and whether its pieces cover it, keep the limit and share the overlap."""
+    p = _pieces(spark, sf_dir)
+    seg = load(spark, sf_dir, "segments", ["run_id", "node_id", "export_mode"]).distinct()
+    limits = load(spark, sf_dir, "split_limits", ["export_mode", "max_words", "overlap_words"])
+    one = p.join(seg.join(F.broadcast(limits), "export_mode"), ["run_id", "node_id"])
+    end = F.col("start_word") + F.col("n_words")
+    by = Window.partitionBy("run_id", "node_id").orderBy("piece")
+    shared = F.coalesce(F.lag(end).over(by) - F.col("start_word") == F.col("overlap_words"), F.col("start_word") == 0)
+    counted = F.size(splitting.words_of(F.col("content"))) == F.col("n_words")
+    each = one.select("run_id", "node_id", end.alias("end"), "start_word", (counted & (F.col("n_words") <= F.col("max_words"))).alias("within"), shared.alias("shared"))
+    return each.groupBy("run_id", "node_id").agg(F.max("end").cast("long").alias("words"), (F.min("start_word") == 0).alias("whole"), F.bool_and("within").alias("within"), F.bool_and("shared").alias("shared"))
+
+
 GARBLED = (("ocr_line_stats", "stat_id", "text"), ("bpe_headings", "heading_id", "title"))
 
 

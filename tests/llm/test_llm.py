@@ -63,6 +63,13 @@ def test_pieces_cover_the_text_and_overlap(spark):
     assert splitting.split(df.where("false"), ["k"], "t", "m", "o").count() == 0
 
 
+def test_pieces_reach_as_far_as_a_natural_boundary_allows(spark):
+    text = " ".join(["w"] * 11) + " end. " + " ".join(["v"] * 5) + " stop. " + " ".join(["u"] * 30) + "\n\n```\n" + "code. " * 6 + "\n```\n\nlast words here"
+    got = [r.n_words for r in splitting.split(spark.createDataFrame([("a", text, 20, 0)], "k string, t string, m int, o int"), ["k"], "t", "m", "o").orderBy("piece").collect()]
+    # 12 and 18 are natural, 18 is farther; a run without any is cut at words; no cut inside the code
+    assert got == [18, 20, 18, 3]
+
+
 def test_clusters_against_brute_force(spark):
     rng = random.Random(4)
     rows, n = [], 0
@@ -86,6 +93,22 @@ def test_clusters_against_brute_force(spark):
     assert C.clustered(members.drop("cluster").where("false"), "i", "b", axes).count() == 0
 
 
+def test_cells_with_outliers_are_split(spark):
+    rows = [("b", i, x, 1.0, 1.0) for i, x in enumerate([0.45] * 5 + [0.55] * 5 + [0.05, 0.95])]
+    axes = [C.Axis("x", 0.5), C.Axis("y", 0.5), C.Axis("r", 1.05, ratio=True)]
+    got = {r.i: r.cluster for r in C.clustered(spark.createDataFrame(rows, "b string, i bigint, x double, y double, r double"), "i", "b", axes).collect()}
+    assert len({got[i] for i in range(10)}) == 1
+
+
+def test_typical_members_have_the_strongest_flow(spark):
+    # nine in the middle that are like all, two at either end that are only like the middle
+    rows = [("b", i, x, 1.0, 1.0) for i, x in enumerate([0.3] * 9 + [0.01] * 2 + [0.74] * 2)]
+    axes = [C.Axis("x", 0.5), C.Axis("y", 0.5), C.Axis("r", 1.05, ratio=True)]
+    members = C.clustered(spark.createDataFrame(rows, "b string, i bigint, x double, y double, r double"), "i", "b", axes)
+    best = max(C.described(members, "i", "b", axes).collect(), key=lambda r: r["size"])
+    assert set(best.typical) <= set(range(9)) and len(best.typical) == 3
+
+
 def test_encoding_chains_on_held_out_rows():
     clean = ["la méthode détermine la société", "según la energía y el diseño", "Größe und Übersicht", "температура и скорость", "압력을 다시 나눈다", "CORAÇÃO, PÃO, LÃ, MAÇÃ", "x² + y³ ≤ ½", "“quoted” — naïve"]
     judge = mojibake.Judge(mojibake.train(clean * 3))
@@ -146,6 +169,24 @@ def test_confusions_of_short_words_and_signs(spark):
     assert _misread(spark, good * 30 + bad) == set(bad)
 
 
+def test_a_lone_sentence_at_the_top_is_no_header(spark):
+    rows = [(1, "b", 1, 0, 40.0, 800.0, "This sentence of the body goes on at the very top of a page."), (2, "b", 2, 0, 40.0, 800.0, "0f Linear Streams 2"), (3, "b", 3, 0, 40.0, 800.0, "Of Linear Streams 3"), (4, "b", 4, 0, 40.0, 800.0, "Pumps")]
+    visual = spark.createDataFrame([(*r[:4], *r[4:]) for r in rows], "row_id bigint, book_id string, pdf_page int, row_seq int, y0 double, page_height double, text string")
+    ocr = spark.createDataFrame([], "stat_id bigint, book_id string, pdf_page int, y_center_ratio double, text string")
+    rep = spark.createDataFrame([], "sub_id bigint, report_id string, chapter int, raw_line string")
+    got = {r.row_id for r in ocrnoise.noise(ocrnoise.rows_of(visual, ocr, rep)).where("noise = 'running_header'").collect()}
+    assert got == {2, 3, 4}
+
+
+def test_confusions_are_weighed_by_how_often_they_happen(spark):
+    words = [("orchard", 4000), ("bridge", 4000), ("0rchard", 30), ("bridqe", 1), ("orch@rd", 2)]
+    counts = spark.createDataFrame(words, "word string, n bigint")
+    theta, rate = ocrnoise.confusion_probabilities(ocrnoise.misreadings(counts), counts)
+    by = dict(zip(ocrnoise.CONFUSIONS, theta))
+    assert by[("0", "o")] > by[("@", "a")] > by[("b", "h")] - 3 and by[("0", "o")] > by[("q", "g")] and 0 < rate < 0.02
+    assert ocrnoise.used("f00tn0te", "footnote") == {12: 1.5} and ocrnoise.used("same", "other") is None
+
+
 def test_rare_and_recurring_misreadings(spark):
     rows = ["the old orbits turn"] * 9 + ["the old memories stay"] * 20 + ["some quarries grow"] * 18 + ["same quarries grow"] * 20
     visual = spark.createDataFrame([(i, "b", 1, i, 300.0, 800.0, t) for i, t in enumerate(rows)] + [(900, "b", 1, 900, 300.0, 800.0, "the old orbifs turn")], "row_id bigint, book_id string, pdf_page int, row_seq int, y0 double, page_height double, text string")
