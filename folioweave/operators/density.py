@@ -132,6 +132,24 @@ def height_cuts(lines: DataFrame, min_tier_count: int = 5) -> DataFrame:
     return _of_books(lines.where("height > 0").select("book_id", F.round("height", 2).alias("value"), place.alias("place")), f, "place")
 
 
+def tier_sets(lines: DataFrame, cuts: DataFrame, column: str) -> DataFrame:
+    """(book_id, tier, lower_bound, upper_bound, peak, count) of every class between a book's cuts, empty ones as well.
+
+    The peak is the one of ``cuts`` (book_id, cuts, peaks) inside the class that is nearest to the median of its lines, of equals the larger;
+    without one it is that median, and of an empty class a bound. The largest class has no upper bound, the smallest no lower one.
+    """
+    falling = F.reverse(F.array_sort("cuts"))
+    classes = cuts.select("book_id", falling.alias("c"), "peaks").select("book_id", "c", "peaks", F.explode(F.sequence(F.lit(1), F.size("c") + 1)).alias("tier"))
+    bounds = classes.withColumn("lower_bound", F.get("c", F.col("tier") - 1)).withColumn("upper_bound", F.when(F.col("tier") > 1, F.get("c", F.col("tier") - 2)))
+    own = F.filter("peaks", lambda p: (F.col("lower_bound").isNull() | (p >= F.col("lower_bound"))) & (F.col("upper_bound").isNull() | (p < F.col("upper_bound"))))
+    held = with_tier(lines.where(F.col(column) > 0), cuts, column).groupBy("book_id", "tier").agg(F.count("*").alias("count"), F.percentile(column, F.lit(0.5)).alias("middle"))
+    full = bounds.withColumn("own", own).join(held, ["book_id", "tier"], "left")
+    middle = F.coalesce("middle", F.get(F.array_sort("own"), F.floor((F.size("own") - 1) / 2).cast("int")))
+    nearest = F.array_min(F.transform("own", lambda p: F.struct(F.abs(p - middle).alias("d"), (-p).alias("m"))))
+    peak = F.when(F.size("own") > 0, -nearest["m"]).otherwise(F.coalesce("middle", "lower_bound", "upper_bound", F.lit(0.0)))
+    return full.select("book_id", "tier", "lower_bound", "upper_bound", F.round(peak, 4).alias("peak"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
 def gap_limit(gaps: DataFrame) -> DataFrame:
     """(book_id, body_spacing, continuation_upper) from the gaps between body lines (book_id, value).
 

@@ -11,8 +11,8 @@ from folioweave.functions.unicode import title_key
 
 def scored_pairs(gold: DataFrame, pred: DataFrame, tolerance: int = 1, threshold: float = 0.7) -> DataFrame:
     """(book_id, gold_ord, pred_ord, similarity, page_gap, both levels and sources) of pairs near enough in page and alike in title."""
-    g = gold.select("book_id", F.col("ord").alias("gold_ord"), F.col("title").alias("gold_title"), F.col("pdf_page").alias("gold_page"), F.col("level").alias("gold_level"))
-    p = pred.select("book_id", F.col("ord").alias("pred_ord"), F.col("title").alias("pred_title"), F.col("pdf_page").alias("pred_page"), F.col("level").alias("pred_level"))
+    g = gold.select("book_id", F.col("ord").alias("gold_ord"), F.col("title").alias("gold_title"), F.col("pdf_page").alias("gold_page"), F.col("level").alias("gold_level"), F.col("source").alias("gold_source"))
+    p = pred.select("book_id", F.col("ord").alias("pred_ord"), F.col("title").alias("pred_title"), F.col("pdf_page").alias("pred_page"), F.col("level").alias("pred_level"), F.col("source").alias("pred_source"))
     pairs = blocked_pairs(g.where("gold_page is not null"), p.where("pred_page is not null"), ["book_id"], "gold_page", "pred_page", tolerance)
     return with_similarity(pairs, "gold_title", "pred_title").where(F.col("similarity") >= threshold).withColumn("page_gap", (F.col("pred_page") - F.col("gold_page")).cast("int"))
 
@@ -52,15 +52,15 @@ def metrics(gold: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def plan_difference(before: DataFrame, after: DataFrame, tolerance: int = 0, threshold: float = 0.7) -> DataFrame:
-    """Counters for each book: added, removed, matched, unchanged, moved, level_changed."""
+    """Counters for each book: added, removed, matched, unchanged (title, page and level alike), moved, level_changed, source_changed."""
     pairs = scored_pairs(before, after, tolerance, threshold)
-    m = greedy_matches(pairs).join(pairs.select("book_id", F.col("gold_ord").cast("int").alias("gold_ord"), F.col("pred_ord").cast("int").alias("pred_ord"), "gold_level", "pred_level", "gold_title", "pred_title"), ["book_id", "gold_ord", "pred_ord"])
+    m = greedy_matches(pairs).join(pairs.select("book_id", F.col("gold_ord").cast("int").alias("gold_ord"), F.col("pred_ord").cast("int").alias("pred_ord"), "gold_level", "pred_level", "gold_title", "pred_title", "gold_source", "pred_source"), ["book_id", "gold_ord", "pred_ord"])
     moved, relevelled = F.col("page_gap") != 0, F.col("gold_level") != F.col("pred_level")
     same = ~moved & ~relevelled & (F.col("gold_title") == F.col("pred_title"))
-    each = m.groupBy("book_id").agg(F.count("*").alias("matched"), F.count_if(same).alias("unchanged"), F.count_if(moved).alias("moved"), F.count_if(relevelled).alias("level_changed"))
+    each = m.groupBy("book_id").agg(F.count("*").alias("matched"), F.count_if(same).alias("unchanged"), F.count_if(moved).alias("moved"), F.count_if(relevelled).alias("level_changed"), F.count_if(~F.col("gold_source").eqNullSafe(F.col("pred_source"))).alias("source_changed"))
     sides = before.groupBy("book_id").agg(F.count("*").alias("b")).join(after.groupBy("book_id").agg(F.count("*").alias("a")), "book_id", "full").join(each, "book_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0))
-    return sides.select("book_id", (n("a") - n("matched")).alias("added"), (n("b") - n("matched")).alias("removed"), *[n(c).alias(c) for c in ("matched", "unchanged", "moved", "level_changed")])
+    return sides.select("book_id", (n("a") - n("matched")).alias("added"), (n("b") - n("matched")).alias("removed"), *[n(c).alias(c) for c in ("matched", "unchanged", "moved", "level_changed", "source_changed")])
 
 
 def node_set_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -36,14 +36,16 @@ def ownership(nodes: DataFrame) -> DataFrame:
 
 
 def coverage(nodes: DataFrame, totals: DataFrame, page_words: DataFrame) -> DataFrame:
-    """(book_id, assigned, unassigned, duplicated, empty_text) pages of each book."""
+    """(book_id, assigned, unassigned, duplicated, empty_text) pages of each book, and its nodes without a page of their own."""
     owners = ownership(nodes).groupBy("book_id", "pdf_page").agg(F.count("*").alias("owners"))
     pages = totals.where("total_pages >= 1").select("book_id", F.explode(F.sequence(F.lit(1), "total_pages")).alias("pdf_page"))
     full = pages.join(owners, ["book_id", "pdf_page"], "left").join(page_words, ["book_id", "pdf_page"], "left")
-    return full.groupBy("book_id").agg(
+    lone = nodes.groupBy("book_id").agg(F.count_if(F.col("content_start_page").isNull()).alias("n"))
+    pages = full.groupBy("book_id").agg(
         F.count_if(F.col("owners") >= 1).alias("assigned_page_count"), F.count_if(F.col("owners").isNull()).alias("unassigned_page_count"),
         F.count_if(F.col("owners") > 1).alias("duplicated_page_count"), F.count_if(F.coalesce("words", F.lit(0)) == 0).alias("empty_text_page_count"),
     )
+    return pages.join(lone, "book_id", "left").withColumn("navigation_only_node_count", F.coalesce("n", F.lit(0))).drop("n")
 
 
 def split_items(plan: DataFrame, totals: DataFrame) -> DataFrame:

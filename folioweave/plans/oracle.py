@@ -181,6 +181,11 @@ _SPACING = _GAPS + ", " + _valleys("sv", "core", 1024, 0) + """,
 sp as (select gq.book_id, mid as body_spacing, coalesce((select min(cut) from sv where sv.book_id = gq.book_id and cut >= mid), (select max(v) from core where core.book_id = gq.book_id)) as continuation_upper from gq)
 """
 ORACLE["font_tier_cuts"] = _LINES + "select book_id, (row_number() over (partition by book_id order by cut) - 1)::int as n, round(cut, 6) as cut from fv"
+ORACLE["font_tier_sets"] = _LINES + """
+, n as (select b.book_id, count(fv.cut) as k from (select distinct book_id from l where font_size is not null) b left join fv using (book_id) group by all), c as (select book_id, unnest(range(1, k + 2))::int as tier from n),
+r as (select book_id, cut, row_number() over (partition by book_id order by cut desc) as i from fv), h as (select book_id, tier, count(*) as n, quantile_cont(font_size::double, 0.5) as m from t where font_size > 0 group by all)
+select c.book_id, c.tier, round(lo.cut, 6) as lower_bound, round(up.cut, 6) as upper_bound, round(coalesce(m, lo.cut, up.cut, 0.0), 4) as peak, coalesce(h.n, 0) as count
+from c left join r lo on lo.book_id = c.book_id and lo.i = c.tier left join r up on up.book_id = c.book_id and up.i = c.tier - 1 left join h on h.book_id = c.book_id and h.tier = c.tier"""
 ORACLE["body_spacing"] = _TIERS + _SPACING + "select book_id, round(body_spacing, 6) as body_spacing, round(continuation_upper, 6) as continuation_upper from sp"
 
 _BPE = _LINES + """
@@ -269,10 +274,11 @@ ORACLE["graph_nodes"] = _NODES + "select book_id, node_id, level, start_page, en
 ORACLE["page_ownership"] = _NODES + "select book_id, pdf_page, node_id from ow"
 _PW = f", pw as (select book_id, pdf_page, coalesce(sum({_words(_norm('text'))}), 0) as words from (select distinct stat_id, book_id, pdf_page, text from ocr_line_stats) group by all)"
 ORACLE["coverage_report"] = _NODES + _PW + """
-, iw as (select book_id, unnest(range(start_page, end_page + 1))::int as pdf_page from nn), oc as (select book_id, pdf_page, count(*) as n from iw group by all),
+, iw as (select 'inclusive' as mode, book_id, unnest(range(start_page, end_page + 1))::int as pdf_page from nn union all select 'direct', book_id, pdf_page from ow), oc as (select mode, book_id, pdf_page, count(*) as n from iw group by all),
+md as (select unnest(['inclusive', 'direct']) as mode),
 pg as (select book_id, unnest(range(1, total_pages + 1))::int as pdf_page from tot)
-select pg.book_id, count(oc.n) as assigned_page_count, count(*) - count(oc.n) as unassigned_page_count, count(*) filter (oc.n > 1) as duplicated_page_count, count(*) filter (coalesce(pw.words, 0) = 0) as empty_text_page_count
-from pg left join oc using (book_id, pdf_page) left join pw using (book_id, pdf_page) group by all"""
+select pg.book_id, md.mode, case when md.mode = 'direct' then (select count(*) from nn where nn.book_id = pg.book_id and ce is null) else 0 end as navigation_only_node_count, count(oc.n) as assigned_page_count, count(*) - count(oc.n) as unassigned_page_count, count(*) filter (oc.n > 1) as duplicated_page_count, count(*) filter (coalesce(pw.words, 0) = 0) as empty_text_page_count
+from pg cross join md left join oc on oc.book_id = pg.book_id and oc.pdf_page = pg.pdf_page and oc.mode = md.mode left join pw on pw.book_id = pg.book_id and pw.pdf_page = pg.pdf_page group by pg.book_id, md.mode"""
 _TITLE = f"(repeat('#', least(greatest(level, 1), 6)::int) || ' ' || {_norm('title')})"
 # the chain of items each one level further up, walked row by row
 _CHAIN = """

@@ -224,6 +224,21 @@ def height_tier_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.height_cuts(_lines(spark, sf_dir)).select("book_id", "cuts", "peaks", "raw_tiers")
 
 
+@query
+def height_tier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds, peak and lines of every height class."""
+    lines = _lines(spark, sf_dir)
+    return D.tier_sets(lines, cut(D.height_cuts(lines)), "height")
+
+
+@query
+def font_tier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds and lines of every size class."""
+    lines = _lines(spark, sf_dir)
+    t = D.tier_sets(lines, cut(D.font_cuts(lines)), "font_size")
+    return t.select("book_id", "tier", F.round("lower_bound", 6).alias("lower_bound"), F.round("upper_bound", 6).alias("upper_bound"), "peak", "count")
+
+
 @query
 def tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.tier_summary(_tiered(spark, sf_dir))
@@ -367,7 +382,8 @@ def page_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _plan(spark, sf_dir)
-    return E.coverage(E.graph_nodes(p, _totals(spark, sf_dir), "inclusive"), _totals(spark, sf_dir), _page_words(spark, sf_dir))
+    totals, words = _totals(spark, sf_dir), _page_words(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [E.coverage(E.graph_nodes(p, totals, mode), totals, words).withColumn("mode", F.lit(mode)) for mode in ("inclusive", "direct")])
 
 
 @query
