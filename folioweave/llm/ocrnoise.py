@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioweave.llm.linkage import STROKES
 from folioweave.runtime import cut, cut_table
 
 # What is seen, and what it may have been before it was misread.
@@ -26,7 +27,14 @@ CONFUSIONS = (
 )
 #: Parts of a page's height that hold nothing but headers and page numbers.
 TOP, FOOT = 0.065, 0.93
-EDIT = math.log(0.004)
+#: Probability of a confusion before the corpus is asked, and how many of its chances that counts for.
+FIRST_GUESS, GUESS_WEIGHT = 0.004, 1000.0
+#: Rounds of estimating the confusions' probabilities from the corpus.
+EM_ROUNDS = 2
+#: A word that is seen nowhere else counts for so many times the rate at which characters are misread.
+OWN_FLOOR = 5.0
+#: Share of a word's probability that comes from the word before it, the rest being its own frequency.
+BIGRAM_SHARE = 0.7
 #: What the same confusion weighs when a word has it again.
 AGAIN = 0.25
 #: Share of a word's occurrences that may be misread in the same way, where a misreading recurs.
@@ -74,11 +82,29 @@ def rows_of(visual: DataFrame, ocr: DataFrame, report: DataFrame) -> DataFrame:
     return books.unionByName(r).distinct()
 
 
+#: A header that no other page repeats has at most so many words.
+HEADER_WORDS = 8
+
+
+def _header_key(text: Column) -> Column:
+    """What repeats of a header have in common: its longest part between bars and wide gaps, without page number, case,
+    blanks and signs, in characters that a misreading doesn't change."""
+    parts = F.array_sort(F.transform(F.split(F.lower(text), r"\s{2,}|\|"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    plain = F.regexp_replace(F.regexp_replace(F.element_at(parts, -1)["x"], r"^\s*(?:\d{1,4}\s+){1,4}|(?:\s\d{1,4}){1,4}\s*$", ""), r"[^\p{L}\p{N}|!@]+", "")
+    one = {k: v for k, v in STROKES.items() if len(v) == 1}
+    key = F.translate(plain, "".join(one), "".join(one.values()))
+    for k, v in STROKES.items():
+        if len(v) > 1:
+            key = F.replace(key, F.lit(k), F.lit(v))
+    return key
+
+
 def margins(rows: DataFrame) -> DataFrame:
     """Rows that aren't blank, with ``margin``: ``running_header``, ``page_number`` or null.
 
-    A row in the top or foot band is one or the other. A row of unknown height is, if it is the
-    first or last of its page and reads like a number, or like a header of the same flow.
+    In the top or foot band what reads like a number is one, and what another page of the flow has there as well,
+    or what has a title's shape (HEADER_WORDS words at most, the first with a capital, no sentence's end), is a header. A row of unknown height is,
+    if it is the first or last of its page and reads like a number, or like a header of the same flow.
     Contents lines are, if they are a contents title or nothing but a number.
     """
     t = F.trim("text")
@@ -88,19 +114,24 @@ def margins(rows: DataFrame) -> DataFrame:
     spaced = F.regexp_replace(t, r"(?<=\p{L})\s(?=\p{L}(?:\s|$))", "")
     kind = F.when(t.rlike(NUMBER_ROW), "page_number").when(contents, F.when(t.rlike(CONTENTS) | spaced.rlike(CONTENTS), "running_header")).when(band, "running_header")
     # the forms are looked at once, where a row may be a margin at all; every later pass only reads what was found
-    base = cut_table(rows.where(F.length(t) > 0).withColumn("lost", F.coalesce(lost, F.lit(False))).withColumn("margin", F.when(contents | band | lost, kind)).drop("height"))
-    # the longest part between bars and wide gaps, without case, blanks and signs: the page number is another part
-    parts = F.array_sort(F.transform(F.split(F.lower(t), r"\s{2,}|\|"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    bare = F.regexp_replace(F.element_at(parts, -1)["x"], r"[^\p{L}]+", "")
+    unsure = F.when(lost, 1).when(~contents & band & (F.col("margin") == "running_header"), 2).otherwise(0)
+    base = cut_table(rows.where(F.length(t) > 0).withColumn("margin", F.when(contents | band | lost, kind)).withColumn("unsure", F.coalesce(unsure, F.lit(0))).drop("height"))
+    flow = ["source_table", "flow"]
+    in_band = base.where("unsure = 2").withColumn("key", _header_key(t))
+    keys = in_band.groupBy(*flow, "key").agg((F.min("page") < F.max("page")).alias("again"))
+    shaped = (F.regexp_count(t, F.lit(r"\p{L}{2,}")) <= HEADER_WORDS) & t.rlike(r"^[^\p{L}]*[\p{Lu}\p{Lo}]") & ~t.rlike(r"[.!?,;:\-]$")
+    headers = in_band.join(keys, [*flow, "key"], "left").withColumn("margin", F.when(F.coalesce("again", F.lit(False)) | shaped, "running_header"))
+    headers = cut(headers.select(*base.columns, "key"))
+    known = headers.where("margin is not null").select(*flow, "key").distinct().withColumn("known", F.lit(True))
     # only rows of unknown height, which are few, look at their page and at the headers of their flow
-    known = base.where(~contents & ~F.col("lost") & (F.col("margin") == "running_header")).select("source_table", "flow", bare.alias("bare")).distinct().withColumn("known", F.lit(True))
-    unsure = base.where("lost").withColumn("bare", F.nullif(bare, F.lit("")))
-    pages = unsure.select("source_table", "flow", "page").distinct()
-    ends = base.where(~contents).select("source_table", "flow", "page", "seq").join(pages, ["source_table", "flow", "page"], "left_semi").groupBy("source_table", "flow", "page").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    judged = unsure.join(ends, ["source_table", "flow", "page"], "left").join(known, ["source_table", "flow", "bare"], "left")
+    lone = base.where("unsure = 1").withColumn("key", _header_key(t))
+    pages = lone.select(*flow, "page").distinct()
+    ends = base.where(~contents).select(*flow, "page", "seq").join(pages, [*flow, "page"], "left_semi").groupBy(*flow, "page").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    judged = lone.join(ends, [*flow, "page"], "left").join(known, [*flow, "key"], "left")
     edge = (F.col("seq") == F.col("lo")) | (F.col("seq") == F.col("hi"))
     judged = judged.withColumn("margin", F.when(edge & (F.col("margin") == "page_number"), "page_number").when(edge & F.col("known"), "running_header"))
-    return base.where(~F.col("lost")).drop("lost").unionByName(cut(judged.select(*base.drop("lost").columns)))
+    out = base.drop("unsure").columns
+    return base.where("unsure = 0").select(*out).unionByName(cut(headers.select(*out).unionByName(judged.select(*out))))
 
 
 def following(body: DataFrame) -> DataFrame:
@@ -113,10 +144,10 @@ def following(body: DataFrame) -> DataFrame:
     """
     keys = ["f", "page"]
     last = rf"([\p{{L}}\p{{M}}'’]+)([{HYPHENS}])\s*$"
-    ends = F.col("text").rlike(rf"[{HYPHENS}]\s*$")
+    ends = F.substring(F.rtrim("text", F.lit(" \t\n\x0b\f\r")), -1, 1).isin(*HYPHENS)
     word = lambda k: F.when(ends, F.lower(F.regexp_extract("text", last, k))).otherwise("")
     flow = F.xxhash64("source_table", "flow").alias("f")
-    slim = body.select(flow, "page", "row_id", "seq", (F.col("source_table") == REPORT).alias("shared"), F.xxhash64("text").alias("h"), F.when(ends, F.col("source_table")).alias("source_table"), F.when(ends, F.col("flow")).alias("flow"), word(1).alias("a"), word(2).alias("sign"), F.lower(F.regexp_extract("text", r"^\s*[“\"«(]*([\p{L}\p{M}]+)", 1)).alias("b"))
+    slim = body.select(flow, "page", "row_id", "seq", (F.col("source_table") == REPORT).alias("shared"), F.xxhash64("text").alias("h"), F.when(ends, F.col("source_table")).alias("source_table"), F.when(ends, F.col("flow")).alias("flow"), word(1).alias("a"), word(2).alias("sign"), F.substring_index(F.ltrim("text", F.lit(" \t\n\x0b\f\r")), " ", 1).alias("b"))
     here = F.struct("b", "h")
     by = Window.partitionBy(*keys).orderBy("seq")
     # a row's next text in its page; rows that repeat the text before them are passed over
@@ -127,7 +158,9 @@ def following(body: DataFrame) -> DataFrame:
     few = cut(ordered.where("sign <> '' or n = 1").select(*keys, "source_table", "flow", "row_id", "a", "sign", "x", "n", here.alias("head")))
     heads = few.where("n = 1").select(*keys, F.lead("head").over(Window.partitionBy("f").orderBy("page")).alias("next_page"))
     full = few.where("sign <> ''").join(heads, keys, "left").withColumn("x", F.coalesce("x", "next_page")).where("x is not null")
-    return full.select("source_table", "row_id", "flow", "a", "sign", F.col("x.b").alias("b"), F.col("x.h").alias("next"))
+    # of most rows the first word is never asked for, so its letters are only looked for here
+    first = F.lower(F.regexp_extract("x.b", r"^[“\"«(]*([\p{L}\p{M}]+)", 1))
+    return full.select("source_table", "row_id", "flow", "a", "sign", first.alias("b"), F.col("x.h").alias("next"))
 
 
 def _tokens(text: Column) -> Column:
@@ -160,23 +193,43 @@ def originals(word: str, confusions: tuple[tuple[str, str], ...] = CONFUSIONS) -
     return found
 
 
-def weighed(word: str) -> dict[str, float]:
-    """``originals`` that are words, with confusions weighed: the same one again in a word is a part of one, as a misread shape recurs."""
-    found = {x: float(n) for x, n in originals(word).items() if x.isalpha()}
-    for one in CONFUSIONS:
-        if word.count(one[0]) > 1:
-            found |= {x: 1 + AGAIN * (n - 1) for x, n in originals(word, (one,)).items() if x.isalpha()}
-    return found
+def used(seen: str, true: str) -> dict[int, float] | None:
+    """The fewest confusions that turn ``true`` into ``seen``: number -> weight."""
+    # by how much of ``seen`` is read: how much of ``true`` that explains, at what cost, by which confusions
+    reached: list[dict[int, tuple[float, tuple[int, ...]]]] = [{} for _ in range(len(seen) + 1)]
+    reached[0][0] = (0.0, ())
+    for i in range(len(seen)):
+        for j, (cost, path) in reached[i].items():
+            ways = [(1, 1, cost, path)] if true[j : j + 1] == seen[i] else []
+            ways += [(len(a), len(b), cost + (AGAIN if k in path else 1.0), (*path, k)) for k, (a, b) in enumerate(CONFUSIONS) if seen.startswith(a, i) and true.startswith(b, j)]
+            for x, y, more, steps in ways:
+                if j + y not in reached[i + x] or more < reached[i + x][j + y][0]:
+                    reached[i + x][j + y] = (more, steps)
+    if len(true) not in reached[-1]:
+        return None
+    weights: dict[int, float] = {}
+    for k in reached[-1][len(true)][1]:
+        weights[k] = weights[k] + AGAIN if k in weights else 1.0
+    return weights
+
+
+USES = T.ArrayType(T.StructType([T.StructField("c", T.IntegerType()), T.StructField("w", T.DoubleType())]))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("edits", T.DoubleType())])))
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _originals(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:
-        yield s.map(lambda w: [{"word": x, "edits": n} for x, n in weighed(w).items()])
+        yield s.map(lambda w: [x for x in originals(w) if x.isalpha()])
+
+
+@F.pandas_udf(USES)
+def _uses(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for seen, true in pairs:
+        yield pd.Series([None if (u := used(a, b)) is None else [{"c": c, "w": v} for c, v in u.items()] for a, b in zip(seen, true)])
 
 
 def misreadings(counts: DataFrame) -> DataFrame:
-    """(seen, own, options): words that a more frequent word may explain, with (word, edits, count) of every explanation.
+    """(seen, n_seen, own, signs, options): words that a more frequent word may explain, with (minus: its count below zero, word, uses) of every explanation.
 
     ``counts`` has (word, n). ``own`` is how often the word was seen beside the place that is judged,
     less what recurring misreadings of its most frequent original may come to; a word with a digit or sign
@@ -188,40 +241,82 @@ def misreadings(counts: DataFrame) -> DataFrame:
     asked = counts.where(latin & ((F.length("word") >= 3) | odd)).withColumn("odd", odd)
     asked = asked.select(F.col("word").alias("seen"), F.col("n").alias("n_seen"), "odd", F.explode(_originals("word")).alias("o"))
     known = counts.select(F.col("word"), F.col("n"))
-    pairs = asked.select("seen", "n_seen", "odd", F.col("o.word").alias("word"), F.col("o.edits").alias("edits")).join(known, "word")
+    pairs = asked.withColumnRenamed("o", "word").join(known, "word")
+    # how a word was misread is only asked of words that there are
     likely = pairs.where(F.when(F.col("odd"), F.col("n") >= 2).otherwise(F.col("n") > F.col("n_seen")))
+    likely = likely.withColumn("uses", _uses("seen", "word")).where("uses is not null")
     own = F.when(F.first("odd"), 0.0).otherwise(F.greatest(F.lit(0.0), F.first("n_seen") - 1 - RECURS * F.max("n")))
-    return likely.groupBy("seen").agg(own.alias("own"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word", "edits"))).alias("options"))
+    signs = F.length("seen") - F.length(F.regexp_replace("seen", f"[{re.escape(''.join(sorted(SIGNS)))}]", ""))
+    return likely.groupBy("seen").agg(F.first("n_seen").alias("n_seen"), own.alias("own"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "word", "uses"))).alias("options")).withColumn("signs", F.greatest(F.lit(0), signs - 1))
+
+
+def _channel(uses: Column, theta: list[float]) -> Column:
+    """Log-probability of a misreading: its confusions' own, weighed."""
+    table = F.array(*[F.lit(x) for x in theta])
+    return F.aggregate(uses, F.lit(0.0), lambda a, u: a + u["w"] * F.get(table, u["c"]))
 
 
-def _decode(total: float):
-    """Viterbi over a line: tokens, options by position, and the counts of the bigrams that matter."""
+def confusion_probabilities(wrong: DataFrame, counts: DataFrame) -> tuple[list[float], float]:
+    """Log-probability of every confusion and the rate of all, estimated from the whole corpus by expectation and maximisation.
+
+    A word's misreading is shared out among its originals by their frequency and the confusions' probabilities so
+    far; what falls to a confusion is divided by the chances that the corpus's words gave it, both with a first guess added. Only
+    a sum for each confusion reaches the driver.
+    """
+    truths = sorted({b for _, b in CONFUSIONS})
+    found = counts.agg(*[F.sum(F.when(F.contains("word", F.lit(b)), F.col("n") * (F.length("word") - F.length(F.replace("word", F.lit(b), F.lit("")))))).alias(b) for b in truths]).first()
+    chances = [(found[b] or 0) / len(b) for _, b in CONFUSIONS]
+    theta, rate = [math.log(FIRST_GUESS)] * len(CONFUSIONS), FIRST_GUESS
+    for _ in range(EM_ROUNDS):
+        scored = wrong.select("n_seen", "own", "signs", F.transform("options", lambda o: F.struct((F.exp(_channel(o["uses"], theta)) * -o["minus"]).alias("p"), o["uses"].alias("uses"))).alias("o"))
+        whole = F.aggregate("o", F.greatest(F.lit(OWN_FLOOR * rate), "own") * F.pow(F.lit(rate), F.col("signs")), lambda a, o: a + o["p"])
+        shares = scored.withColumn("whole", whole).select("n_seen", "whole", F.explode("o").alias("o")).select((F.col("n_seen") * F.col("o.p") / F.col("whole")).alias("e"), F.explode("o.uses").alias("u"))
+        got = {r["c"]: r["e"] for r in shares.groupBy(F.col("u.c").alias("c")).agg(F.sum(F.col("e") * F.col("u.w")).alias("e")).collect()}
+        rate = (sum(got.values()) + FIRST_GUESS * GUESS_WEIGHT) / (sum(chances) + GUESS_WEIGHT)
+        theta = [math.log(min(0.2, (got.get(k, 0.0) + FIRST_GUESS * GUESS_WEIGHT) / (chances[k] + GUESS_WEIGHT))) for k in range(len(CONFUSIONS))]
+    return theta, rate
+
+
+def _decode(total: float, rate: float):
+    """Viterbi over a line: the channel's log-probabilities and interpolated bigrams; ``tokens``, their counts, the options by position, and the counts of the bigrams that matter."""
 
     @F.pandas_udf("array<string>")
     def decode(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         def line(tokens, options, bigrams) -> list[str]:
             by_pos = {int(o["pos"]): o for o in options}
-            pair = {(b["a"], b["b"]): float(b["n"]) for b in (bigrams if bigrams is not None else [])}
-            for i in range(len(tokens) - 1):
-                # what stands here can't bear itself out
-                here = (tokens[i], tokens[i + 1])
-                if here in pair:
-                    pair[here] = max(0.0, pair[here] - 1)
+            pair, single = {}, {}
+            for b in bigrams if bigrams is not None else []:
+                pair[b["a"], b["b"]] = float(b["n"] or 0)
+                single[b["a"]], single[b["b"]] = float(b["na"] or 0), float(b["nb"] or 0)
+            for i, o in by_pos.items():
+                # what stands here can't bear itself out, nor can what recurring misreadings of an original may come to beside the same words
+                for there in ((i - 1, i), (i, i + 1)):
+                    if 0 <= there[0] and there[1] < len(tokens):
+                        beside = [tuple(x["word"] if k == i else tokens[k] for k in there) for x in o["options"]]
+                        here = tuple(tokens[k] for k in there)
+                        pair[here] = max(0.0, pair.get(here, 0.0) - 1 - RECURS * max(pair.get(b, 0.0) for b in beside)) if o["own"] else 0.0
+            for o in by_pos.values():
+                for x in o["options"]:
+                    single[x["word"]] = -float(x["minus"])
+                single[tokens[int(o["pos"])]] = max(OWN_FLOOR * rate, float(o["own"]))
+
+            def follows(a: str, b: str) -> float:
+                # a word that is hardly seen says nothing of the next one
+                return math.log(BIGRAM_SHARE * pair.get((a, b), 0.0) / max(1.0, single.get(a, 0.0)) + (1 - BIGRAM_SHARE) * single.get(b, 1.0) / total)
+
             state: dict[str, tuple[float, list[str]]] = {"": (0.0, [])}
             for i, seen in enumerate(tokens):
                 cands = [(seen, 0.0)]
                 if i in by_pos:
+                    o = by_pos[i]
                     # every further sign in a word is one more confusion
-                    own = math.log(max(0.02, float(by_pos[i]["own"])) / total) + EDIT * max(0, sum(c in SIGNS for c in seen) - 1)
-                    cands = [(seen, own)] + [(o["word"], math.log(-float(o["minus"]) / total) + EDIT * float(o["edits"])) for o in by_pos[i]["options"]]
+                    cands = [(seen, math.log(rate) * float(o["signs"]))] + [(x["word"], float(x["channel"])) for x in o["options"]]
+                near = i in by_pos or i - 1 in by_pos
                 new = {}
                 for word, cost in cands:
-                    best = None
-                    for before, (score, path) in state.items():
-                        s = score + cost + math.log1p(pair.get((before, word), 0.0))
-                        if best is None or s > best[0]:
-                            best = (s, path)
-                    new[word] = (best[0], [*best[1], word])
+                    # only words beside a doubtful one have several ways; elsewhere nothing is to be weighed
+                    score, path = max(((s + (follows(before, word) if near else 0.0), p) for before, (s, p) in state.items()), key=lambda x: x[0])
+                    new[word] = (score + cost, [*path, word])
                 state = new
             return max(state.values(), key=lambda x: x[0])[1]
 
@@ -252,13 +347,16 @@ def corrected(body: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFrame
     keys = ["source_table", "row_id"]
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     wrong = cut(misreadings(counts))
+    theta, rate = confusion_probabilities(wrong, counts)
+    wrong = wrong.select("seen", "own", "signs", F.transform("options", lambda o: F.struct(o["minus"].alias("minus"), o["word"].alias("word"), _channel(o["uses"], theta).alias("channel"))).alias("options"))
     # only a word and its place travel; the lines of the doubtful words are fetched afterwards
     at = body.select(*keys, F.posexplode(_tokens(F.col("text"))).alias("pos", "seen")).where((F.length("seen") >= 3) | F.col("seen").rlike("[0-9@|!]"))
-    hits = _small(at, wrong.select("seen"), ["seen"]).join(wrong, "seen").groupBy(*keys).agg(F.collect_list(F.struct("pos", "own", "options")).alias("options"))
+    hits = _small(at, wrong.select("seen"), ["seen"]).join(wrong, "seen").groupBy(*keys).agg(F.collect_list(F.struct("pos", "own", "signs", "options")).alias("options"))
     # the last word of a cut line and the first of the next one are pieces of a word
     last = F.when(F.col("text").rlike(rf"\p{{L}}[{HYPHENS}]\s*$"), F.size("tokens") - 1).otherwise(-1)
     first = F.when(F.coalesce("cut_start", F.lit(False)), 0).otherwise(-1)
-    lines = _starts_cut(body.select(*keys, "flow", "text").join(hits, keys), parts).withColumn("tokens", _tokens(F.col("text"))).withColumn("last", last).withColumn("first", first)
+    # pieces of a wrongly decoded word, set apart by symbols within it, are no misread words
+    lines = _starts_cut(body.select(*keys, "flow", "text").join(hits, keys).where(~F.col("text").rlike(r"\p{L}[\p{So}\p{Sk}\ufffd]\p{L}|\ufffd")), parts).withColumn("tokens", _tokens(F.col("text"))).withColumn("last", last).withColumn("first", first)
     lattice = cut(lines.select(*keys, "tokens", F.filter("options", lambda o: (o["pos"] != F.col("last")) & (o["pos"] != F.col("first"))).alias("options")).where(F.size("options") > 0))
     # only the bigrams around a doubtful word are counted, over all rows, under the hash of their words
     one = lattice.select(*keys, "tokens", F.explode("options").alias("o")).select(*keys, F.get("tokens", F.col("o.pos") - 1).alias("before"), F.get("tokens", F.col("o.pos") + 1).alias("after"), F.explode(F.concat(F.array(F.get("tokens", F.col("o.pos"))), F.transform("o.options", lambda x: x["word"]))).alias("w"))
@@ -268,9 +366,11 @@ def corrected(body: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFrame
     # the last word's missing neighbour makes a null, which no pair is
     pairs = body.where("counted").select(tokens.alias("t")).select(F.explode(F.zip_with("t", F.slice("t", F.lit(2), F.size("t")), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))).alias("h"))
     all_pairs = _small(pairs, asked.select("h").distinct(), ["h"]).groupBy("h").agg(F.count("*").alias("n"))
-    bigrams = asked.join(all_pairs, "h").groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n")).alias("bigrams"))
+    seen = lambda side: counts.select(F.col("word").alias(side), F.col("n").alias(f"n{side}"))
+    told = asked.join(all_pairs, "h", "left").join(seen("a"), "a").join(seen("b"), "b")
+    bigrams = told.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n", "na", "nb")).alias("bigrams"))
     full = lattice.join(bigrams, keys, "left")
-    return full.select(*keys, "tokens", _decode(total)("tokens", "options", "bigrams").alias("decoded")).where(F.col("tokens") != F.col("decoded"))
+    return full.select(*keys, "tokens", _decode(total, rate)("tokens", "options", "bigrams").alias("decoded")).where(F.col("tokens") != F.col("decoded"))
 
 
 def hyphenated(body: DataFrame, words: DataFrame, seen: DataFrame) -> DataFrame:
