@@ -23,10 +23,9 @@ select distinct run_id, node_id from segments s join split_limits l using (expor
 where len(regexp_extract_all(content_markdown, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > l.max_words"""
 
 _W = r"[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-# size and mean of every group of two lines or more, the groups as in p2_found; which lines are the most typical is told by no SQL
-ORACLE["p2_sizes"] = ORACLE["p2_found"].split("o as (")[0].rstrip(",\n ") + """,
-z as (select n.book_id, n.g, v.* exclude (book_id) from n join v on n.line_id = v.line_id)
-select book_id, count(*) as size, round(avg(x), 4) as mean_x, round(avg(y), 4) as mean_y, round(avg(r), 4) as mean_ratio from z group by book_id, g having count(*) >= 2"""
+# size, first and last line of every group of two lines or more, the groups as in p2_found
+ORACLE["p2_sizes"] = ORACLE["p2_found"].split("o as (")[0].rstrip(",\n ") + """
+select book_id, count(*) as size, min(line_id) as first_line, max(line_id) as last_line from n group by book_id, g having count(*) >= 2"""
 
 # what holds of all pieces of a text, wherever they are cut: the first begins at 0, the last ends at the end, each is within the limit, neighbours share the overlap
 ORACLE["p1_coverage"] = f"""

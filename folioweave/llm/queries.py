@@ -101,9 +101,9 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and middle of every group of two lines or more."""
-    d = clustering.described(_style_clusters(spark, sf_dir), "line_id", "book_id", STYLE)
-    return d.select("book_id", "size", *[F.round(f"mean_{a.column}", 4).alias(n) for a, n in zip(STYLE, ("mean_x", "mean_y", "mean_ratio"))])
+    """Size, first and last line of every group of two lines or more."""
+    one = _style_clusters(spark, sf_dir).dropDuplicates(["line_id"]).groupBy("book_id", "cluster").agg(F.count("*").alias("size"), F.min("line_id").alias("first_line"), F.max("line_id").alias("last_line"))
+    return one.where("size >= 2").drop("cluster")
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
