@@ -38,6 +38,7 @@ def boundaries(docs: DataFrame, key: list[str]) -> DataFrame:
     A boundary is named by the number of words before it. Natural ones are as :func:`_rank`
     says; inside a fenced block of code there are none. Where two of them are farther apart than a
     quarter of what a piece may add, word boundaries at that spacing stand in, so that a successor always exists.
+    Within the first ``overlap`` words no cut is legal: the piece after it would begin before the text does.
     """
     step = F.greatest(F.lit(1), F.floor((F.col("max_words") - F.col("overlap")) / 4)).cast("int")
     marked = docs.withColumn("marks", F.zip_with("words", F.concat(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(1))), F.array(F.lit(""))), lambda a, b: _rank(a, F.coalesce(b, F.lit("")))))
@@ -60,7 +61,7 @@ def boundaries(docs: DataFrame, key: list[str]) -> DataFrame:
             ).otherwise(F.array(x)),
         )
     )
-    return wide.select(*key, "n", "max_words", "overlap", F.explode(filled).alias("b")).select(*key, "n", "max_words", "overlap", "b.pos", "b.rank")
+    return wide.select(*key, "n", "max_words", "overlap", F.explode(filled).alias("b")).select(*key, "n", "max_words", "overlap", "b.pos", "b.rank").where("pos = 0 or pos > overlap")
 
 
 def successors(bounds: DataFrame, key: list[str]) -> DataFrame:

@@ -70,6 +70,23 @@ def test_pieces_reach_as_far_as_a_natural_boundary_allows(spark):
     assert got == [18, 20, 18, 3]
 
 
+def test_a_first_piece_is_longer_than_the_overlap(spark):
+    # the only natural boundary within reach of the text's begin lies within, or at the end of, the overlap
+    rows = [("within", "a short one. " + "w " * 60, 20, 5), ("at", "just five words in here. " + "w " * 60, 20, 5), ("after", "one more than five in here. " + "w " * 60, 20, 5), ("half", "a b. " + "w " * 9, 4, 9)]
+    got = {}
+    for r in splitting.split(spark.createDataFrame(rows, "k string, t string, m int, o int"), ["k"], "t", "m", "o").orderBy("piece").collect():
+        got.setdefault(r.k, []).append(r)
+    for k, t, m, o in rows:
+        w, o, end = t.split(), min(o, m // 2), 0
+        for i, p in enumerate(got[k]):
+            assert p.start_word == (end - o if i else 0) >= 0 and p.content.split() == w[p.start_word : p.start_word + p.n_words]
+            assert o < p.n_words <= m
+            end = p.start_word + p.n_words
+        assert end == len(w)
+    # a natural boundary beyond the overlap is taken as before
+    assert got["after"][0].n_words == 6
+
+
 def test_clusters_against_brute_force(spark):
     rng = random.Random(4)
     rows, n = [], 0
