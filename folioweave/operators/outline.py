@@ -27,8 +27,8 @@ def _ranked(plan: DataFrame, tier: str) -> tuple[DataFrame, int]:
 
 def _seen(depth: int, ahead: bool) -> list[Column]:
     """For every tier, the ``ord`` of its nearest item before (or after) this one."""
-    w = Window.partitionBy("book_id").orderBy("ord")
-    w = w.rowsBetween(1, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, -1)
+    # looking ahead is looking back in falling order; a frame that ends with the partition would be summed up anew for every row
+    w = Window.partitionBy("book_id").orderBy(F.desc("ord") if ahead else "ord").rowsBetween(Window.unboundedPreceding, -1)
     pick = F.min if ahead else F.max
     return [pick(F.when(F.col("__t") == t, F.col("ord"))).over(w).alias(f"__s{t}") for t in range(1, depth + 1)]
 
