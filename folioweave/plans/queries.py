@@ -158,7 +158,7 @@ def inferred_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def position_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings by repeated position alone."""
-    return P.infer(_lines(spark, sf_dir), TypographyConfig(heading_candidate_mode="position")).headings.select("book_id", "chunk_id", "title", "pdf_page", "tier")
+    return P.find_headings(_lines(spark, sf_dir), TypographyConfig(heading_candidate_mode="position"))["headings"].select("book_id", "chunk_id", "title", "pdf_page", "tier")
 
 
 def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,15 @@ def test_nearest_of_many_centres(spark):
         assert near[k] == np.delete(d, k).min()
 
 
+def test_positions_alone_need_no_plan(spark, monkeypatch):
+    lines = spark.createDataFrame(golden(), LINE)
+    config = TypographyConfig(heading_candidate_mode="position")
+    want = sorted(map(str, P.infer(lines, config).headings.collect()))
+    monkeypatch.setattr(P.O, "normalized_plan", None)
+    monkeypatch.setattr(P.G, "fallback_candidates", None)
+    assert want and sorted(map(str, P.find_headings(lines, config)["headings"].collect())) == want
+
+
 def test_alike_keys_against_every_pair():
     words, rng = ["chap", "intro", "of", "a", "seven", "eleven", "elevn", "data", "dat", "한글"], np.random.default_rng(8)
 
