@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioweave.config import TypographyConfig
 from folioweave.functions import folds
@@ -90,13 +95,15 @@ def reliable_page_offsets(lines: DataFrame, config: TypographyConfig = Typograph
 
 def without_margins(lines: DataFrame, config: TypographyConfig = TypographyConfig()) -> DataFrame:
     """Lines less repeated margin texts and margin lines with a reliable page number."""
-    slotted = with_margin_slot(lines, config).withColumn("key", X.lowered("text"))
+    slotted = with_margin_slot(lines, config)
+    inner = slotted.where("side is null").select(*lines.columns)
+    margin = slotted.where("side is not null").withColumn("key", X.lowered("text"))
     repeated = repeated_margin_lines(lines, config).select("book_id", "side", "bucket", "key")
-    kept = slotted.join(repeated, ["book_id", "side", "bucket", "key"], "left_anti")
-    numbered = kept.where("side is not null").select("book_id", "line_id", "pdf_page", F.explode(margin_numbers(config)).alias("n"))
+    kept = margin.join(repeated, ["book_id", "side", "bucket", "key"], "left_anti")
+    numbered = kept.select("book_id", "line_id", "pdf_page", F.explode(margin_numbers(config)).alias("n"))
     reliable = reliable_page_offsets(lines, config)
     bad = numbered.withColumn("offset", F.col("pdf_page") - F.col("n")).join(reliable, ["book_id", "offset", "pdf_page"], "left_semi").select("book_id", "line_id").distinct()
-    return kept.join(bad, ["book_id", "line_id"], "left_anti").select(*lines.columns)
+    return inner.unionByName(kept.join(bad, ["book_id", "line_id"], "left_anti").select(*lines.columns))
 
 
 _ROW = ["y0", "x0", "line_id", "x1", "y1", "text", "font_size", "height", "is_bold", "font_names", "page_width", "page_height"]
@@ -117,12 +124,40 @@ def _joined(groups: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return groups.select(*[made[c].alias(c) if c in made else F.col(c) for c in [*LINE, *extra]])
 
 
+def print_groups(y0: list[float], y1: list[float], x0: list[float], x1: list[float]) -> list[list[int]]:
+    """Places of the lines of each group, for lines in order of (y0, x0).
+
+    A group that ends at or above a line's head can take neither it nor a later one, so only the others are looked at.
+    """
+    groups, live = [], []
+    for n, (top, foot, left, right) in enumerate(zip(y0, y1, x0, x1)):
+        live = [g for g in live if g[1] > top]
+        for g in reversed(live):
+            if min(foot, g[1]) > max(top, g[0]) and all(right <= a or left >= b for a, b in g[3]):
+                g[0], g[1] = min(g[0], top), max(g[1], foot)
+                break
+        else:
+            g = [top, foot, [], []]
+            groups.append(g[2])
+            live.append(g)
+        g[2].append(n)
+        g[3].append((left, right))
+    return groups
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _print_groups(runs: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for columns in runs:
+        yield pd.Series([print_groups(*[v.tolist() for v in run]) for run in zip(*columns)], dtype=object)
+
+
 def merge_print_fragments(lines: DataFrame) -> DataFrame:
     """Pieces of one printed line put together: they overlap in height and not in width.
 
     In order of (y0, x0) a line joins the latest group on its page that it overlaps in height
     while lying beside every member. A line below all lines before it can join none of them, so a page
-    falls into runs of lines that overlap in height, and a run of one line passes by the fold.
+    falls into runs of lines that overlap in height, and a run of one line passes by the fold. A run with a
+    coordinate missing is folded as an expression, by whose rules nulls and NaN are compared.
     """
     by = Window.partitionBy("book_id", "pdf_page").orderBy("y0", "x0", "line_id")
     below = F.coalesce(F.max("y1").over(by.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("y0"), F.lit(True))
@@ -136,7 +171,14 @@ def merge_print_fragments(lines: DataFrame) -> DataFrame:
 
     rows = F.array_sort(F.collect_list(row), lambda a, b: _before(a, b))
     merged = runs.groupBy("book_id", "pdf_page", "run").agg(rows.alias("rows"))
-    return _joined(merged.select("book_id", "pdf_page", F.explode(F.when(F.size("rows") == 1, F.array("rows")).otherwise(folds.grouped(F.col("rows"), kind, fits, latest_only=False))).alias("g")))
+    missing = F.exists("rows", lambda r: reduce(lambda p, q: p | q, [r[k].isNull() | F.isnan(r[k]) for k in ("y0", "y1", "x0", "x1")]))
+    told = merged.withColumn("missing", missing)
+    plain = (F.size("rows") > 1) & ~F.col("missing")
+    of = lambda k: F.when(plain, F.transform("rows", lambda r: r[k])).otherwise(F.array().cast("array<double>"))
+    told = told.withColumn("places", _print_groups(of("y0"), of("y1"), of("x0"), of("x1")))
+    groups = F.when(F.size("rows") == 1, F.array("rows")).when(F.col("missing"), folds.grouped(F.col("rows"), kind, fits, latest_only=False))
+    groups = groups.otherwise(F.transform("places", lambda g: F.transform(g, lambda i: F.get("rows", i))))
+    return _joined(told.select("book_id", "pdf_page", F.explode(groups).alias("g")))
 
 
 def _before(a: Column, b: Column) -> Column:

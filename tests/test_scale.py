@@ -12,6 +12,23 @@ from folioweave.plans import pipeline as P
 from tests.test_typography import LINE, golden
 
 
+def test_print_fragments_of_a_crowded_page(spark):
+    rng = np.random.default_rng(5)
+    rows = sorted(((float(y), float(x), n, float(x + w), float(y + h)) for n, (y, x, w, h) in enumerate(zip(rng.integers(0, 300, 700), rng.integers(0, 90, 700), rng.integers(1, 30, 700), rng.integers(4, 12, 700)))))
+    groups = []
+    for y0, x0, n, x1, y1 in rows:
+        for g in reversed(groups):
+            if min(y1, max(m[4] for m in g)) > max(y0, min(m[0] for m in g)) and all(x1 <= m[1] or x0 >= m[3] for m in g):
+                g.append((y0, x0, n, x1, y1))
+                break
+        else:
+            groups.append([(y0, x0, n, x1, y1)])
+    table = [("b", n, 1, f"t{n}", x0, y0, x1, y1, 100.0, 320.0, 10.0, 8.0, False, []) for y0, x0, n, x1, y1 in rows]
+    got = L.merge_print_fragments(spark.createDataFrame(table, LINE)).collect()
+    assert sorted((r.line_id, r.y1, len(r.text.split())) for r in got) == sorted((g[0][2], max(m[4] for m in g), len(g)) for g in groups)
+    assert L.print_groups(*[[r[k] for r in rows] for k in (0, 4, 1, 3)]) == [[rows.index(m) for m in g] for g in groups]
+
+
 def test_first_fit_looks_at_the_cells_around(spark):
     rng = np.random.default_rng(6)
     for tolerance in (1.0, 0.3):
